@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bindings import Tables
 
-SECTIONS = ["predicates"]
+SECTIONS = ["predicates", "correlating", "reading", "baselining"]
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
