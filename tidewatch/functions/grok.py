@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SEPARATOR = "\x01"
@@ -25,13 +25,10 @@ def grok_parts(text: Column, pattern: str) -> Column:
     return F.split(rewritten, _SEPARATOR)
 
 
-def grok_extract(text: Column, pattern: str) -> dict[str, Column]:
-    """Named groups as columns, null where the group is empty or nothing matched."""
+def grok_fields(parts: Column, pattern: str) -> dict[str, Column]:
+    """Named groups of an already computed ``grok_parts`` array, null where the
+    group is empty or nothing matched."""
     names = group_names(pattern)
-    # One group alone cannot be told from an unmatched text by its part count.
-    if len(names) == 1:
-        return {names[0]: F.nullif(F.regexp_extract(text, f"(?i){pattern}", 1), F.lit(""))}
-    parts = grok_parts(text, pattern)
     matched = F.size(parts) == len(names)
     return {
         name: F.when(matched, F.nullif(F.get(parts, F.lit(i)), F.lit("")))
@@ -39,8 +36,15 @@ def grok_extract(text: Column, pattern: str) -> dict[str, Column]:
     }
 
 
-def grok_matches(text: Column, pattern: str) -> Column:
+def grok_extract(frame: DataFrame, text: Column, pattern: str, stage: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Named groups of ``text`` and the frame that carries them.
+
+    The array of groups becomes the column ``stage``, so the regex runs once per
+    row however many groups are read; unread stages are pruned.
+    """
     names = group_names(pattern)
     if len(names) == 1:
-        return text.rlike(f"(?i){pattern}")
-    return F.size(grok_parts(text, pattern)) == len(names)
+        # One group alone cannot be told from an unmatched text by its part count.
+        frame = frame.withColumn(stage, F.regexp_extract(text, f"(?i){pattern}", 1))
+        return frame, {names[0]: F.nullif(F.col(stage), F.lit(""))}
+    return frame.withColumn(stage, grok_parts(text, pattern)), grok_fields(F.col(stage), pattern)

@@ -1,8 +1,9 @@
 """Raw log lines to normalized events.
 
-Each parser maps a raw text column to a dict of columns with the names of the
-normalized layout plus its own metadata entries, so routing between parsers is
-one projection and columns nobody reads are never computed.
+Each parser takes a frame and its raw text column and gives back the frame with
+its working columns (regex groups, parsed XML; computed once per row) and a dict
+of result columns: those of the normalized layout plus the parser's own. Working
+and result columns nobody reads are never computed.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ WINDOWS_XML = (
     "EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>"
 )
 
-Parsed = dict[str, Column]
+Parsed = tuple[DataFrame, dict[str, Column]]
 
 
 def _text(column: Column) -> Column:
@@ -100,31 +101,37 @@ def string_map(entries: dict[str, Column]) -> Column:
 
 
 # ---------------------------------------------------------------------- syslog
-def parse_syslog(raw: Column, source: Column, year: int | Column | None = None) -> Parsed:
+def parse_syslog(frame: DataFrame, raw: Column, source: Column, year: int | Column | None = None) -> Parsed:
     """Structured, then tagged, then classic lines; else the whole line is the
     message and ``source`` the host."""
-    line = F.trim(raw)
-    structured, tagged, classic = (grok_extract(line, p) for p in (SYSLOG_STRUCTURED, SYSLOG_TAGGED, SYSLOG_CLASSIC))
-    forms = [(f["timestamp"].isNotNull(), f) for f in (structured, tagged, classic)]
+    frame = frame.withColumn("_line", F.trim(raw))
+    line, groups = F.col("_line"), []
+    missed = line
+    for stage, pattern in (("_structured", SYSLOG_STRUCTURED), ("_tagged", SYSLOG_TAGGED),
+                           ("_classic", SYSLOG_CLASSIC)):
+        frame, found = grok_extract(frame, missed, pattern, stage)
+        groups.append(found)
+        # The next form is only tried on lines no earlier form took.
+        missed = F.when(found["timestamp"].isNull(), missed)
+    taken = F.coalesce(*[g["timestamp"] for g in groups])
 
     def pick(name: str, otherwise: Column) -> Column:
-        choice = F.when(forms[0][0], _text(forms[0][1][name]))
-        for matched, form in forms[1:]:
-            choice = choice.when(matched, _text(form[name]))
-        return choice.otherwise(otherwise)
-
-    message, hostname, tag = pick("message", line), pick("hostname", source), pick("tag", F.lit(""))
-    hostname, tag = (F.when(part == "-", F.lit("")).otherwise(part) for part in (hostname, tag))
-    priority = F.coalesce(structured["priority"], tagged["priority"]).try_cast("int")
-    level = F.coalesce(priority.bitwiseAND(7), F.lit(1))
-    timestamp = F.coalesce(*[form["timestamp"] for _, form in forms])
+        return F.when(taken.isNull(), otherwise).otherwise(_text(F.coalesce(*[g[name] for g in groups])))
+
+    dash = lambda part: F.when(part == "-", F.lit("")).otherwise(part)
+    frame = frame.withColumns({
+        "_message": pick("message", line), "_host": dash(pick("hostname", source)),
+        "_tag": dash(pick("tag", F.lit(""))),
+        "_priority": F.coalesce(groups[0]["priority"], groups[1]["priority"]).try_cast("int"), "_taken": taken,
+    }).withColumn("_address", F.regexp_extract("_message", rf"({IPV4_LOOSE})", 1))
+    message, tag, priority = F.col("_message"), F.col("_tag"), F.col("_priority")
     mark = syslog_mark(message)
-    return {
-        "timestamp": parse_timestamp(timestamp, year),
-        "event_type": syslog_event_type(tag, message), "severity": case_map(level, SYSLOG_SEVERITY, "info"),
-        "source_ip": normalize_ip(F.regexp_extract(message, rf"({IPV4_LOOSE})", 1)),
-        "device_name": hostname, "tag": tag, "priority": F.coalesce(priority, F.lit(0)), "message": message,
-        "mark": mark,
+    return frame, {
+        "timestamp": parse_timestamp(F.col("_taken"), year),
+        "event_type": syslog_event_type(tag, message),
+        "severity": case_map(F.coalesce(priority.bitwiseAND(7), F.lit(1)), SYSLOG_SEVERITY, "info"),
+        "source_ip": normalize_ip(F.col("_address")), "device_name": F.col("_host"), "tag": tag,
+        "priority": F.coalesce(priority, F.lit(0)), "message": message, "mark": mark,
         "metadata": string_map({"tag": tag, "priority": F.coalesce(priority, F.lit(0)), "message": message,
                                 "event_type": mark}),
     }
@@ -151,17 +158,22 @@ def syslog_mark(message: Column) -> Column:
     )
 
 
-def parse_syslog_collector(raw: Column, year: int | Column | None = None) -> Parsed:
+def parse_syslog_collector(frame: DataFrame, raw: Column, year: int | Column | None = None) -> Parsed:
     """The collector's reading: structured, then classic with priority, then a
     bare priority, then plain text. ``-`` means empty in structured lines."""
-    structured, classic, bare = (
-        grok_extract(raw, p) for p in (SYSLOG_STRUCTURED, SYSLOG_CLASSIC_PRIORITY, SYSLOG_PRIORITY_ONLY))
+    frame, structured = grok_extract(frame, raw, SYSLOG_STRUCTURED, "_structured")
+    missed = F.when(structured["timestamp"].isNull(), raw)
+    frame, classic = grok_extract(frame, missed, SYSLOG_CLASSIC_PRIORITY, "_classic")
+    missed = F.when(classic["timestamp"].isNull(), missed)
+    frame, bare = grok_extract(frame, missed, SYSLOG_PRIORITY_ONLY, "_bare")
     is_structured, is_classic = structured["timestamp"].isNotNull(), classic["timestamp"].isNotNull()
-    priority = F.coalesce(structured["priority"], classic["priority"], bare["priority"]).try_cast("int")
+    frame = frame.withColumn("_priority", F.coalesce(
+        structured["priority"], classic["priority"], bare["priority"]).try_cast("int"))
+    priority = F.col("_priority")
     dash = lambda part: F.when(_text(part) == "-", F.lit("")).otherwise(_text(part))
     either = lambda name: F.when(is_structured, dash(structured[name])) \
         .when(is_classic, _text(classic[name])).otherwise(F.lit(""))
-    return {
+    return frame, {
         "priority": priority, "facility": F.shiftright(priority, 3), "severity_code": priority.bitwiseAND(7),
         "timestamp": parse_timestamp(F.coalesce(structured["timestamp"], classic["timestamp"]), year),
         "hostname": either("hostname"), "tag": either("tag"),
@@ -180,54 +192,51 @@ def agent_syslog_severity(code: Column) -> Column:
 
 
 # ------------------------------------------------------------------ access logs
-def parse_access_log(raw: Column) -> Parsed:
+def parse_access_log(frame: DataFrame, raw: Column) -> Parsed:
     """Combined access log, with an optional response time at the end."""
-    g = grok_extract(F.trim(raw), ACCESS_LOG)
-    status = F.coalesce(g["status"].try_cast("int"), F.lit(0))
-    elapsed = F.coalesce(g["elapsed"].try_cast("int"), F.lit(0))
-    return {
+    frame, g = grok_extract(frame, F.trim(raw), ACCESS_LOG, "_access")
+    frame = frame.withColumns({
+        "_status": F.coalesce(g["status"].try_cast("int"), F.lit(0)),
+        "_elapsed": F.coalesce(g["elapsed"].try_cast("int"), F.lit(0)), "_client": _text(g["ip"]),
+    })
+    status, elapsed = F.col("_status"), F.when(F.col("_elapsed") > 0, F.col("_elapsed"))
+    own = {"http_method": _text(g["method"]), "http_status": status, "path": _text(g["path"]),
+           "user_agent": _text(g["agent"]), "referrer": _text(g["referrer"]), "response_time_ms": elapsed}
+    return frame, {
         "timestamp": parse_timestamp(g["timestamp"]),
         "event_type": F.when(status >= 500, F.lit("security_alert")).otherwise(F.lit("http_request")),
         "severity": F.when(status >= 500, F.lit("high")).when(status >= 300, F.lit("low"))
         .when(status >= 200, F.lit("info")).otherwise(F.lit("unknown")),
-        "source_ip": normalize_ip(_text(g["ip"])), "username": g["user"],
+        "source_ip": normalize_ip(F.col("_client")), "username": g["user"],
         "protocol": F.when(F.upper(g["method"]).isin(ACCESS_LOG_METHODS), F.lit("http")).otherwise(F.lit("unknown")),
-        "http_method": _text(g["method"]), "http_status": status, "path": _text(g["path"]),
-        "user_agent": _text(g["agent"]), "referrer": _text(g["referrer"]),
-        "response_time_ms": F.when(elapsed > 0, elapsed),
-        "metadata": string_map({
-            "http_method": _text(g["method"]), "http_status": status, "path": _text(g["path"]),
-            "user_agent": _text(g["agent"]), "referrer": _text(g["referrer"]),
-            "response_time_ms": F.when(elapsed > 0, elapsed)}),
+        **own, "metadata": string_map(own),
     }
 
 
 # --------------------------------------------------------------------- firewall
-def parse_firewall(raw: Column) -> Parsed:
-    """Header-and-pairs lines or bare ``key=value`` pairs split at blanks."""
-    line = F.trim(raw)
-    cef = grok_extract(line, FIREWALL_CEF)
+def parse_firewall(frame: DataFrame, raw: Column) -> Parsed:
+    """Header-and-pairs lines or bare ``key=value`` pairs split at blanks. A pair
+    has exactly one ``=``; of the keys with a column the last pair counts."""
+    frame, cef = grok_extract(frame, F.trim(raw), FIREWALL_CEF, "_cef")
     is_cef = cef["severity"].isNotNull()
-    content = F.when(is_cef, _text(cef["content"])).otherwise(line)
-    # A pair has exactly one "="; the last pair of a key counts.
+    frame = frame.withColumn("_content", F.when(is_cef, _text(cef["content"])).otherwise(F.trim(raw)))
     value = lambda key: F.nullif(F.regexp_extract(
-        content, rf"(?is)^(?:.* )?{key}=([^ =]*)(?: .*)?$", 1), F.lit(""))
-    action = F.coalesce(value("action"), F.lit("unknown"))
+        "_content", rf"(?is)^(?:.* )?{key}=([^ =]*)(?: .*)?$", 1), F.lit(""))
+    frame = frame.withColumns({f"_{key}": value(key) for key in FIREWALL_KEYS})
+    action = F.coalesce(F.col("_action"), F.lit("unknown"))
     blocked = F.lower(action).isin("deny", "drop")
     rating = F.when(is_cef, cef_severity(cef["severity"].try_cast("int"))).otherwise(F.lit("info"))
-    port = lambda key: F.when(value(key).try_cast("int") > 0, value(key).try_cast("int"))
-    return {
+    port = lambda key: F.when(F.col(key).try_cast("int") > 0, F.col(key).try_cast("int"))
+    signature = {"signature_id": F.when(is_cef, _text(cef["signature"])),
+                 "signature_name": F.when(is_cef, _text(cef["title"]))}
+    return frame, {
         "event_type": F.when(blocked, F.lit("security_alert")).otherwise(F.lit("network_traffic")),
         "severity": F.when(blocked & (rating == "info"), F.lit("medium")).otherwise(rating),
-        "source_ip": normalize_ip(_text(value("srcip"))), "destination_ip": normalize_ip(_text(value("dstip"))),
-        "source_port": port("srcport"), "destination_port": port("dstport"),
-        "protocol": case_map(value("proto").try_cast("int"), FIREWALL_PROTOCOLS, "unknown"), "action": action,
-        "signature_id": F.when(is_cef, _text(cef["signature"])),
-        "signature_name": F.when(is_cef, _text(cef["title"])),
-        "metadata": merge_maps(
-            firewall_extras(content),
-            string_map({"signature_id": F.when(is_cef, _text(cef["signature"])),
-                        "signature_name": F.when(is_cef, _text(cef["title"])), "action": action})),
+        "source_ip": normalize_ip(_text(F.col("_srcip"))), "destination_ip": normalize_ip(_text(F.col("_dstip"))),
+        "source_port": port("_srcport"), "destination_port": port("_dstport"),
+        "protocol": case_map(F.col("_proto").try_cast("int"), FIREWALL_PROTOCOLS, "unknown"), "action": action,
+        **signature,
+        "metadata": merge_maps(firewall_extras(F.col("_content")), string_map({**signature, "action": action})),
     }
 
 
@@ -250,26 +259,31 @@ def firewall_extras(content: Column) -> Column:
 
 
 # ---------------------------------------------------------------------- windows
-def parse_windows_event(raw: Column) -> Parsed:
+def parse_windows_event(frame: DataFrame, raw: Column) -> Parsed:
     """Windows event XML, read once per row into a struct."""
-    doc = F.from_xml(raw, WINDOWS_XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
-    data = F.filter(F.coalesce(doc["EventData"]["Data"], F.array().cast("array<struct<_Name:string,_VALUE:string>>")),
-                    lambda d: _text(d["_Name"]) != "")
-    last = lambda name: F.try_element_at(F.filter(data, lambda d: d["_Name"] == name), F.lit(-1))
-    value = lambda name: F.when(last(name).isNotNull(), _text(last(name)["_VALUE"]))
-    code = F.coalesce(doc["System"]["EventID"].try_cast("int"), F.lit(0))
+    frame = frame.withColumn("_doc", F.from_xml(raw, WINDOWS_XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}))
+    doc = F.col("_doc")
+    named = F.filter(F.coalesce(doc["EventData"]["Data"], F.array().cast("array<struct<_Name:string,_VALUE:string>>")),
+                     lambda d: _text(d["_Name"]) != "")
+    # The last value of a name counts, so the reversed list keeps its first.
+    entries = F.reverse(F.transform(named, lambda d: F.struct(d["_Name"].alias("key"), _text(d["_VALUE"]).alias("value"))))
+    frame = frame.withColumns({
+        "_data": F.map_from_entries(first_per_key(entries)),
+        "_code": F.coalesce(doc["System"]["EventID"].try_cast("int"), F.lit(0)),
+    })
+    data, code = F.col("_data"), F.col("_code")
+    value = lambda *names: F.coalesce(*[F.try_element_at(data, F.lit(n)) for n in names], F.lit(""))
     known = lambda part, default: case_map(
         code, {number: entry[part] for number, entry in WINDOWS_CODES.items()}, default)
-    username = F.coalesce(value("TargetUserName"), value("UserName"), F.lit(""))
-    computer = _text(doc["System"]["Computer"])
-    return {
+    frame = frame.withColumn("_address", value("IpAddress", "SourceNetworkAddress"))
+    username, computer = value("TargetUserName", "UserName"), _text(doc["System"]["Computer"])
+    return frame, {
         "timestamp": parse_timestamp(doc["System"]["TimeCreated"]["_SystemTime"]),
         "event_code": code, "action": known(0, "unknown_action"), "event_type": known(1, "system_log"),
         "severity": known(2, "info"), "username": username, "device_name": computer,
-        "source_ip": normalize_ip(F.coalesce(value("IpAddress"), value("SourceNetworkAddress"), F.lit(""))),
+        "source_ip": normalize_ip(F.col("_address")),
         "metadata": merge_maps(
-            F.map_from_entries(first_per_key(F.reverse(F.transform(data, lambda d: F.struct(
-                F.concat(F.lit("event_data."), d["_Name"]).alias("key"), _text(d["_VALUE"]).alias("value")))))),
+            F.transform_keys(data, lambda k, v: F.concat(F.lit("event_data."), k)),
             string_map({"event_id": code, "action": known(0, "unknown_action"), "username": username,
                         "computer": computer})),
     }
@@ -314,7 +328,7 @@ def protocol_name(name: Column) -> Column:
 
 
 # ---------------------------------------------------------------------- routing
-def as_normalized(parsed: Parsed, envelope_id: Column, raw: Column, received_at: Column) -> Column:
+def as_normalized(parsed: dict[str, Column], envelope_id: Column, raw: Column, received_at: Column) -> Column:
     """A parser's columns as the normalized struct, defaults filled in. A line
     whose time cannot be read gets the time it was received."""
     defaults = {
@@ -338,23 +352,31 @@ def passthrough(envelope_id: Column, raw: Column, received_at: Column, enrichmen
 
 def normalize_envelopes(envelopes: DataFrame, year: int | Column | None = None) -> DataFrame:
     """Adds the normalized record, chosen by source type regardless of case,
-    and merges parsed metadata into the enrichment, where present keys win."""
+    and merges parsed metadata into the enrichment, where present keys win.
+
+    Every parser sees only the lines of its own kind (null otherwise), so a row
+    pays for one parser.
+    """
     raw, key, received = F.col("raw"), F.col("event_id"), F.col("received_at")
     enrichment = F.coalesce(F.col("enrichment"), empty_map())
     kind = F.lower("source_type")
     parsers = {
-        "syslog": parse_syslog(raw, F.col("source"), year if year is not None else F.year(received)),
-        "apache": parse_access_log(raw), "fortinet": parse_firewall(raw),
-        "windows-eventlog": parse_windows_event(raw),
+        "syslog": lambda frame, line: parse_syslog(
+            frame, line, F.col("source"), year if year is not None else F.year(received)),
+        "apache": parse_access_log, "fortinet": parse_firewall, "windows-eventlog": parse_windows_event,
     }
-    choice = None
-    for name, parsed in parsers.items():
-        record = as_normalized(parsed, key, raw, received)
-        choice = F.when(kind == name, record) if choice is None else choice.when(kind == name, record)
-    record = choice.otherwise(passthrough(key, raw, received, enrichment))
-    taken = kind.isin(list(parsers))
-    return envelopes.withColumn("normalized", record).withColumn(
-        "enrichment", F.when(taken, merge_metadata(enrichment, F.col("normalized.metadata"))).otherwise(enrichment))
+    frame, choice, working = envelopes, None, set()
+    for name, parse in parsers.items():
+        frame, parsed = parse(frame, F.when(kind == name, raw))
+        # Dropped here so that the next parser may use the same working names.
+        used = [c for c in frame.columns if c not in envelopes.columns and c not in working]
+        record = f"_{name}_record"
+        frame = frame.withColumn(record, F.when(kind == name, as_normalized(parsed, key, raw, received))).drop(*used)
+        working.add(record)
+        choice = F.when(kind == name, F.col(record)) if choice is None else choice.when(kind == name, F.col(record))
+    frame = frame.withColumn("normalized", choice.otherwise(passthrough(key, raw, received, enrichment)))
+    merged = F.when(kind.isin(list(parsers)), merge_metadata(enrichment, F.col("normalized.metadata")))
+    return frame.withColumn("enrichment", merged.otherwise(enrichment)).drop(*working)
 
 
 def merge_metadata(enrichment: Column, metadata: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bindings import Tables
 
-SECTIONS = ["predicates", "correlating", "reading", "baselining", "enriching", "alerting"]
+SECTIONS = ["predicates", "correlating", "reading", "baselining", "enriching", "alerting", "parsing_logs"]
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
