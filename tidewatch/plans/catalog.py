@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bindings import Tables
 
-SECTIONS = ["predicates", "correlating", "reading", "baselining", "enriching", "alerting", "parsing_logs"]
+SECTIONS = ["predicates", "correlating", "reading", "baselining", "enriching", "alerting", "parsing_logs",
+            "safeguarding", "streams"]
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
