@@ -374,7 +374,10 @@ def normalize_envelopes(envelopes: DataFrame, year: int | Column | None = None)
         frame = frame.withColumn(record, F.when(kind == name, as_normalized(parsed, key, raw, received))).drop(*used)
         working.add(record)
         choice = F.when(kind == name, F.col(record)) if choice is None else choice.when(kind == name, F.col(record))
-    frame = frame.withColumn("normalized", choice.otherwise(passthrough(key, raw, received, enrichment)))
+    # A generator of one record: later filters on its fields stay above it and are
+    # not rewritten into the parsers' expressions, which would explode the plan.
+    record = choice.otherwise(passthrough(key, raw, received, enrichment))
+    frame = frame.drop("normalized").select("*", F.explode(F.array(record)).alias("normalized"))
     merged = F.when(kind.isin(list(parsers)), merge_metadata(enrichment, F.col("normalized.metadata")))
     return frame.withColumn("enrichment", merged.otherwise(enrichment)).drop(*working)
 

@@ -17,10 +17,10 @@ from .catalog import query
 # --------------------------------------------------------------------- quality
 _EVENT_ERRORS = [
     ("event_type = 'process_execution' AND event_id % 3 = 0", "'event_type is not a known value'"),
-    ("event_id % 11 = 0", "'protocol is not a known value'"), ("event_id % 13 = 0", "'source_ip is not an address'"),
+    ("event_id % 11 = 0", "'protocol is not a known value'"), ("event_id % 19 = 0", "'http_method is not a known value'"),
+    ("event_id % 13 = 0", "'source_ip is not an address'"),
     ("destination_port * 900 > 65535", "'destination_port is out of range'"),
-    ("event_id % 17 = 0", "'bytes_sent is negative'"), ("event_id % 19 = 0", "'http_method is not a known value'"),
-    ("event_id % 23 = 0", "'http_status_code is out of range'"),
+    ("event_id % 17 = 0", "'bytes_sent is negative'"), ("event_id % 23 = 0", "'http_status_code is out of range'"),
 ]
 
 

@@ -76,15 +76,15 @@ def stream_ingest(t: Tables):
 
 
 @query("flatten_events", with_views("""
-    SELECT event_id, event_type, source_ip, '' AS username_or_empty, 0 AS source_port_or_zero, '2024-01' AS event_month
-    FROM routed WHERE event_type <> 'http_request' AND event_type <> 'network_traffic'""", "sec_events", ctes=_ROUTED))
+    SELECT event_id, event_type, source_ip, '2024-01' AS event_month,
+      CASE kind WHEN 2 THEN CASE WHEN sp > 0 THEN sp ELSE 0 END ELSE 0 END AS source_port,
+      CASE kind WHEN 1 THEN CASE WHEN n % 50 = 0 THEN '' ELSE username END WHEN 3 THEN CASE WHEN n % 41 = 0 THEN ''
+        WHEN n % 2 = 0 THEN username ELSE 'fallback' END ELSE '' END AS username
+    FROM routed JOIN (SELECT event_id AS n, concat('e-', event_id) AS event_id, event_id % 5 AS kind, username,
+      CAST(user_id % 70 * 100 AS INT) AS sp FROM sec_events) USING (event_id)""", "sec_events", ctes=_ROUTED))
 def flatten_events(t: Tables):
-    flat = EN.flatten_events(_normalized(t))
-    return flat.filter(~F.col("event_type").isin("http_request", "network_traffic")).select(
-        "event_id", "event_type", "source_ip",
-        F.when(F.col("source_type") == "windows-eventlog", F.lit("")).otherwise(F.col("username"))
-        .alias("username_or_empty"), F.when(F.col("source_type") == "Fortinet", F.lit(0))
-        .otherwise(F.col("source_port")).alias("source_port_or_zero"), "event_month")
+    return EN.flatten_events(_normalized(t)).select(
+        "event_id", "event_type", "source_ip", "event_month", "source_port", "username")
 
 
 def _normalized(t: Tables):

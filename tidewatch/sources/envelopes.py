@@ -50,7 +50,8 @@ def encode_envelopes(envelopes: DataFrame) -> DataFrame:
     """(key, value) messages: event id and JSON without nulls."""
     return envelopes.select(
         F.col("event_id").cast("string").alias("key"),
-        F.to_json(F.struct(*ENVELOPE.fieldNames()).cast(camel_layout(ENVELOPE))).alias("value"))
+        F.to_json(F.struct(*ENVELOPE.fieldNames()).cast(camel_layout(ENVELOPE)),
+                  {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
 
 
 def read_topic(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:

@@ -55,7 +55,7 @@ def check_assets(rows: DataFrame) -> DataFrame:
     error = F.when(stored.isNull(), F.concat(F.lit("unknown asset_type "), kind)) \
         .when(~level.isin(CRITICALITIES), F.concat(F.lit("unknown criticality "), level))
     tags = F.when(F.trim(F.coalesce("tags", F.lit(""))) == "", F.array().cast("array<string>")) \
-        .otherwise(F.transform(F.split("tags", ","), F.trim))
+        .otherwise(F.transform(F.split("tags", ","), lambda tag: F.trim(tag)))
     return rows.select(
         F.coalesce("hostname", F.lit("")).alias("name"), F.coalesce("hostname", F.lit("")).alias("hostname"),
         F.col("ip").alias("ip_address"), F.coalesce(stored, kind).alias("asset_type"), level.alias("criticality"),
