@@ -156,8 +156,7 @@ def stream_dedup_alerts(t: Tables):
        WHERE username <> '' AND event_type = 'authentication_attempt' AND bytes_sent > 700000))
     GROUP BY username, life""", "sec_events"))
 def stream_user_risk(t: Tables):
-    """User risk sessions; the newest event of all closes nothing, so the last
-    sessions are read from the update output."""
+    """User risk sessions, closed by a row from the far future."""
     events = event_stream(t).filter((F.col("event_type") == "authentication_attempt") & (F.col("bytes_sent") > 700000))
     points = H.risk_points(F.lit("web.click")) / 2
     stored = run_append(J.user_risk_sessions(with_sentinel(t, events), points), "user-risk")
@@ -174,8 +173,9 @@ def with_sentinel(t: Tables, events):
     late.write.parquet(path)
     schema = late.schema
     row = t.spark.readStream.schema(schema).parquet(path)
-    blank = [c for c in events.columns if c not in ("event_id", "ts")]
-    row = row.select("event_id", "ts", *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in blank])
+    blank = [c for c in events.columns if c not in ("event_id", "ts", "username")]
+    row = row.select("event_id", "ts", F.lit("~sentinel").alias("username"),
+                     *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in blank])
     return events.unionByName(row.select(*events.columns))
 
 

@@ -153,7 +153,7 @@ def packet_names(packets: DataFrame, names: DataFrame, within_seconds: int = 5,
     """Packets with the names seen on their address pair within the interval;
     a packet without a name comes out once the watermark has passed it. Both
     sides keep only rows the interval can still reach."""
-    near = F.make_interval(secs=F.lit(within_seconds))
+    near = F.expr(f"interval {int(within_seconds)} seconds")
     left = packets.withWatermark("packet_ts", delay)
     right = names.select(F.col("src_ip").alias("_src"), F.col("dst_ip").alias("_dst"), "sni", "name_ts") \
         .withWatermark("name_ts", delay)
