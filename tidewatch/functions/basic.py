@@ -71,8 +71,10 @@ def let(value: Column, body) -> Column:
 
 def first_per_key(entries: Column) -> Column:
     """Array of (key, value) entries without later repeats of a key."""
-    return F.filter(entries, lambda e, i: F.array_position(
-        F.transform(entries, lambda o: o["key"]), e["key"]) == i + 1)
+    def keep(all_entries: Column) -> Column:
+        return let(F.transform(all_entries, lambda e: e["key"]), lambda keys: F.filter(
+            all_entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    return let(entries, keep)
 
 
 def empty_map() -> Column:

@@ -1,18 +1,19 @@
-"""IP address expressions. Addresses stay text; BIGINT form is for ranges."""
+"""IP address expressions. Addresses stay text; the BIGINT form is for ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .basic import any_of, let
+from .basic import let
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4_EXACT = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
 IPV4_LOOSE = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 
 # Address blocks that never leave a site.
-PRIVATE_V4 = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "127.0.0.0/8"]
+# 10/8, 172.16/12, 192.168/16, 169.254/16, 127/8; fc00::/7, fe80::/10, ::1.
+PRIVATE_V4 = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|169\.254\.|127\.)"
 PRIVATE_V6 = r"^([0:]*:0*1$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
 IPV6_SPELLING = (
     r"^(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}"
@@ -20,24 +21,15 @@ IPV6_SPELLING = (
 )
 
 
-def block_bounds(cidr: str) -> tuple[int, int]:
-    """First and last address of a block as integers."""
-    base, bits = cidr.split("/")
-    first = 0
-    for octet in base.split("."):
-        first = first * 256 + int(octet)
-    return first, first + 2 ** (32 - int(bits)) - 1
-
-
 def is_ipv4(ip: Column) -> Column:
     return F.coalesce(ip.rlike(IPV4_EXACT), F.lit(False))
 
 
 def ipv4_to_long(ip: Column) -> Column:
     """Dotted quad as BIGINT, null when it is not one."""
-    octet = lambda i: F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint")
-    value = octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
-    return F.when(is_ipv4(ip), value)
+    octets = F.split(F.nullif(F.regexp_extract(ip, IPV4_EXACT, 0), F.lit("")), r"\.")
+    octet = lambda i: F.get(octets, F.lit(i)).cast("bigint")
+    return octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
 
 
 def _lowered(ip: Column) -> Column:
@@ -97,15 +89,11 @@ def normalize_ip(ip: Column) -> Column:
     )
 
 
-def in_blocks(number: Column, cidrs: list[str]) -> Column:
-    return any_of(number.between(*block_bounds(cidr)) for cidr in cidrs)
-
-
 def is_private_ip(ip: Column) -> Column:
     """Site-local, link-local and loopback addresses of both families."""
     text = F.trim(ip)
     return (
-        F.when(is_ipv4(text), in_blocks(ipv4_to_long(text), PRIVATE_V4))
+        F.when(is_ipv4(text), text.rlike(PRIVATE_V4))
         .when(is_ipv6(text), F.lower(text).rlike(PRIVATE_V6))
         .otherwise(F.lit(False))
     )

@@ -35,10 +35,12 @@ def has_control_chars(text: Column) -> Column:
 def mask_email(text: Column) -> Column:
     """``joanna@corp.example.org`` becomes ``j***a@c***@***org``.
 
-    A local part of one or two characters is hidden whole.
+    A local part of one or two characters is hidden whole. Texts without an
+    ``@`` are passed on without running the patterns.
     """
     masked = F.regexp_replace(text, LONG_EMAIL, "$1***$2@$3***@***$4")
-    return F.regexp_replace(masked, SHORT_EMAIL, "***@$1***@***$2")
+    masked = F.regexp_replace(masked, SHORT_EMAIL, "***@$1***@***$2")
+    return F.when(F.contains(text, F.lit("@")), masked).otherwise(text)
 
 
 def find_urls(text: Column) -> Column:

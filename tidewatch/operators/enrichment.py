@@ -35,10 +35,9 @@ def join_geo(events: DataFrame, ranges: DataFrame, ip_column: str, output: str)
     Private addresses get a fixed record; an address outside every range gets
     null. Ranges (BIGINT ``start_ip``..``end_ip``) must not overlap.
     """
-    ip = F.col(ip_column)
-    private = is_private_ip(ip)
-    keyed = events.withColumn("_ip", F.when(~private, ipv4_to_long(ip))) \
-        .withColumn("_block", F.shiftright("_ip", 16))
+    ip, private = F.col(ip_column), F.col("_private")
+    keyed = events.withColumn("_private", is_private_ip(ip)) \
+        .withColumn("_ip", F.when(~private, ipv4_to_long(ip))).withColumn("_block", F.shiftright("_ip", 16))
     lookup = geo_prefixes(ranges).select(
         "geo_block", "start_ip", "end_ip",
         F.struct(
@@ -56,7 +55,7 @@ def join_geo(events: DataFrame, ranges: DataFrame, ip_column: str, output: str)
         F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
         F.lit(None).cast("string").alias("timezone"), F.lit(True).alias("is_private"))
     return located.withColumn(output, F.when(private, fixed).otherwise(F.col("_geo"))) \
-        .drop("_ip", "_block", "geo_block", "start_ip", "end_ip", "_geo")
+        .drop("_private", "_ip", "_block", "geo_block", "start_ip", "end_ip", "_geo")
 
 
 # ---------------------------------------------------------------------- assets

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.basic import first_per_key
+from ..functions.basic import first_per_key, let
 
 # ---------------------------------------------------------------- fixed values
 # Rule field names with a meaning of their own: stored column or metadata keys.
@@ -158,9 +158,12 @@ def merge_maps(*maps: Column) -> Column:
     """One map out of several; a later map wins on equal keys."""
     merged = maps[0]
     for newer in maps[1:]:
-        merged = F.map_concat(_without_keys(merged, newer), newer)
+        merged = _overlay(merged, newer)
     return merged
 
 
-def _without_keys(older: Column, newer: Column) -> Column:
-    return F.map_filter(older, lambda k, v: ~F.array_contains(F.map_keys(newer), k))
+def _overlay(older: Column, newer: Column) -> Column:
+    def join(over: Column) -> Column:
+        return let(F.map_keys(over), lambda keys: F.map_concat(
+            F.map_filter(older, lambda k, v: ~F.array_contains(keys, k)), over))
+    return let(newer, join)
