@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,74 +126,119 @@ def apply_transitions(alerts: DataFrame, commands: DataFrame, chunk_seconds: int
     }).drop("_chunk", "_code", "_start", "_old")
 
 
-def _next_status() -> list[list[int]]:
-    """Status after wanting ``column`` in ``row``; a forbidden move stays put."""
-    return [[ALERT_STATUSES.index(want) if want == have or want in STATUS_MOVES[have] else row
-             for want in ALERT_STATUSES] for row, have in enumerate(ALERT_STATUSES)]
+def _moves() -> np.ndarray:
+    """Status after wanting ``column`` in ``row``; a forbidden move stays put. The
+    extra last column stands for a status nobody knows."""
+    table = [[ALERT_STATUSES.index(want) if want == have or want in STATUS_MOVES[have] else row
+              for want in ALERT_STATUSES] + [row] for row, have in enumerate(ALERT_STATUSES)]
+    return np.array(table, dtype=np.int32)
 
 
-def _ordered_rows(batch: pa.RecordBatch):
-    return zip(batch.column("alert_id").to_pylist(), batch.column("_chunk").to_pylist(),
-               batch.column("_code").to_pylist(), batch.column("force").to_pylist())
+def _group_starts(*columns: pa.Array) -> np.ndarray:
+    """First row of each stretch of equal values in sorted columns."""
+    changed = np.zeros(max(len(columns[0]) - 1, 0), dtype=bool)
+    for column in columns:
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        changed |= codes[1:] != codes[:-1]
+    return np.flatnonzero(np.append(True, changed))
+
+
+def _steps(starts: np.ndarray, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(groups, rows) for the first rows of all groups, then the second rows and
+    so on, so sequential work on each group is done for all groups at once."""
+    lengths = np.diff(np.append(starts, total))
+    longest_first = np.argsort(-lengths, kind="stable")
+    for step in range(int(lengths.max())):
+        groups = longest_first[: int(np.count_nonzero(lengths > step))]
+        yield groups, starts[groups] + step
+
+
+def _commands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return (batch.column("_code").to_numpy(zero_copy_only=False),
+            batch.column("force").to_numpy(zero_copy_only=False).astype(bool))
+
+
+def _key(batch: pa.RecordBatch, row: int) -> tuple:
+    return batch.column("alert_id")[row].as_py(), batch.column("_chunk")[row].as_py()
 
 
 def _run_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums up each run as the end status for every possible start status."""
-    moves, unchanged = _next_status(), list(range(len(ALERT_STATUSES)))
-    run, effect = None, unchanged
+    moves, unchanged = _moves(), np.arange(len(ALERT_STATUSES), dtype=np.int32)
+    open_run, open_effect, alert_type = None, None, None
+
+    def emit(alerts, chunks, effects) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(len(effects) + 1, dtype=np.int32) * len(unchanged))
+        return pa.RecordBatch.from_arrays(
+            [alerts, chunks, pa.ListArray.from_arrays(offsets, pa.array(effects.ravel(), pa.int32()))],
+            names=["alert_id", "_chunk", "_effect"])
 
-    def emit(rows, alert_type):
-        return pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], alert_type), pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["alert_id", "_chunk", "_effect"])
+    def emit_open() -> pa.RecordBatch:
+        return emit(pa.array([open_run[0]], alert_type), pa.array([open_run[1]], pa.int64()), open_effect[None, :])
 
-    alert_type = None
     for batch in batches:
-        alert_type, done = batch.schema.field("alert_id").type, []
-        for alert, chunk, code, force in _ordered_rows(batch):
-            if (alert, chunk) != run:
-                if run is not None:
-                    done.append((*run, effect))
-                run, effect = (alert, chunk), unchanged
-            if code >= 0:
-                effect = [code] * len(effect) if force else [moves[state][code] for state in effect]
-        if done:
-            yield emit(done, alert_type)
-    if run is not None:
-        yield emit([(*run, effect)], alert_type)
+        if batch.num_rows == 0:
+            continue
+        alert_type = batch.schema.field("alert_id").type
+        codes, forced = _commands(batch)
+        starts = _group_starts(batch.column("alert_id"), batch.column("_chunk"))
+        effects = np.tile(unchanged, (len(starts), 1))
+        if open_run == _key(batch, 0):
+            effects[0] = open_effect
+        elif open_run is not None:
+            yield emit_open()
+        for runs, rows in _steps(starts, batch.num_rows):
+            wanted = codes[rows][:, None]
+            effects[runs] = np.where(forced[rows][:, None] & (wanted >= 0), wanted, moves[effects[runs], wanted])
+        # The last run may go on in the next batch.
+        done = pa.array(starts[:-1])
+        if len(done):
+            yield emit(batch.column("alert_id").take(done), batch.column("_chunk").take(done), effects[:-1])
+        open_run, open_effect = _key(batch, int(starts[-1])), effects[-1]
+    if open_run is not None:
+        yield emit_open()
 
 
 def _run_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Carries an alert's status through the summaries of its runs, in order."""
     current, state = None, 0
     for batch in batches:
-        starts = []
-        for alert, effect, begin in zip(batch.column("alert_id").to_pylist(), batch.column("_effect").to_pylist(),
-                                        batch.column("_begin").to_pylist()):
-            if alert != current:
-                current, state = alert, begin
-            starts.append(state)
-            state = effect[state]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("alert_id"), batch.column("_chunk"), pa.array(starts, pa.int32())],
-            names=["alert_id", "_chunk", "_start"])
+        if batch.num_rows == 0:
+            continue
+        starts = _group_starts(batch.column("alert_id"))
+        effects = batch.column("_effect").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        states = batch.column("_begin").to_numpy(zero_copy_only=False)[starts].astype(np.int32)
+        if batch.column("alert_id")[0].as_py() == current:
+            states[0] = state
+        result = np.empty(batch.num_rows, dtype=np.int32)
+        for alerts, rows in _steps(starts, batch.num_rows):
+            result[rows] = states[alerts]
+            states[alerts] = effects[rows, states[alerts]]
+        current, state = batch.column("alert_id")[int(starts[-1])].as_py(), int(states[-1])
+        yield pa.RecordBatch.from_arrays([batch.column("alert_id"), batch.column("_chunk"), pa.array(result)],
+                                         names=["alert_id", "_chunk", "_start"])
 
 
 def _replay_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replays the commands of each run from its start status."""
-    moves, run, state = _next_status(), None, 0
+    moves, open_run, state = _moves(), None, 0
     for batch in batches:
-        olds, accepted = [], []
-        for (alert, chunk, code, force), start in zip(_ordered_rows(batch), batch.column("_start").to_pylist()):
-            if (alert, chunk) != run:
-                run, state = (alert, chunk), start
-            ok = code >= 0 and (force or moves[state][code] == code)
-            olds.append(state)
-            accepted.append(ok)
-            state = code if ok else state
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(olds, pa.int32()), pa.array(accepted)],
-            names=[*batch.schema.names, "_old", "accepted"])
+        if batch.num_rows == 0:
+            continue
+        codes, forced = _commands(batch)
+        starts = _group_starts(batch.column("alert_id"), batch.column("_chunk"))
+        states = batch.column("_start").to_numpy(zero_copy_only=False)[starts].astype(np.int32)
+        if open_run == _key(batch, 0):
+            states[0] = state
+        olds, accepted = np.empty(batch.num_rows, dtype=np.int32), np.empty(batch.num_rows, dtype=bool)
+        for runs, rows in _steps(starts, batch.num_rows):
+            old, wanted = states[runs], codes[rows]
+            ok = (wanted >= 0) & (forced[rows] | (moves[old, wanted] == wanted))
+            olds[rows], accepted[rows] = old, ok
+            states[runs] = np.where(ok, wanted, old)
+        open_run, state = _key(batch, int(starts[-1])), int(states[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(olds), pa.array(accepted)],
+                                         names=[*batch.schema.names, "_old", "accepted"])
 
 
 def status_history(decided: DataFrame) -> DataFrame:

@@ -146,14 +146,26 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
+    def view(self, name: str, spread: bool = False) -> DataFrame:
         table, select_list = views("spark")[name]
-        return self.raw(table).selectExpr(*[part.replace('"timestamp"', "`timestamp`") for part in select_list])
+        rows = self.spread(self.raw(table)) if spread else self.raw(table)
+        return rows.selectExpr(*[part.replace('"timestamp"', "`timestamp`") for part in select_list])
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows of a file too small to occupy the cores, dealt out to all of them.
+        For work that costs much more per row than moving the row; input that
+        already has enough splits stays as it is."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores // 2 else rows
 
     @cached_property
     def sec_events(self) -> DataFrame:
         return self.view("sec_events")
 
+    @cached_property
+    def spread_events(self) -> DataFrame:
+        return self.view("sec_events", spread=True)
+
     @cached_property
     def rich_events(self) -> DataFrame:
         """Events with their open attributes as a metadata map, in the mixed key

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ip import is_private_ip, normalize_ip
 from ..operators import enrichment as E
 from ..operators import threat_intel as TI
-from .bindings import Tables, with_views
+from .bindings import Tables, with_metadata, with_views
 from .catalog import query
 
 _LONG = ("(CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536 "
@@ -35,7 +35,7 @@ def _geo_sql(side: str) -> str:
       AND {_LONG.format('destination_ip')} BETWEEN destination.start_ip AND destination.end_ip""",
     "sec_events", "geo_ranges"))
 def join_geo(t: Tables):
-    located = E.join_geo(t.sec_events, t.geo_ranges, "source_ip", "source_geo")
+    located = E.join_geo(t.spread_events, t.geo_ranges, "source_ip", "source_geo")
     located = E.join_geo(located, t.geo_ranges, "destination_ip", "destination_geo")
     return located.select("event_id", *[
         F.col(f"{side}_geo.{field}").alias(f"{side}_{field}")
@@ -175,7 +175,7 @@ _SCORES = """scores AS (SELECT type, value, length(value) * 37 % 101 AS score, l
 
 def _indicators(t: Tables):
     """Events whose metadata holds only what can carry an indicator."""
-    return TI.extract_indicators(t.rich_events.withColumn(
+    return TI.extract_indicators(with_metadata(t.spread_events).withColumn(
         "metadata", F.map_filter("metadata", lambda k, v: k.isin("artifact", "queryName"))))
 
 

@@ -76,7 +76,7 @@ _SYSLOG_SQL = """
 
 @query("parse_syslog", with_views(_SYSLOG_SQL, "sec_events", ctes=_SYSLOG_FIELDS.replace(" AS timestamp,", ' AS "timestamp",')))
 def parse_syslog(t: Tables):
-    lines = t.sec_events.withColumns({"raw": syslog_line(), "source": F.lit("sensor")})
+    lines = t.spread_events.withColumns({"raw": syslog_line(), "source": F.lit("sensor")})
     lines, parsed = P.parse_syslog(lines, F.col("raw"), F.col("source"), 2024)
     out = ["message", "tag", "device_name", "priority", "source_ip", "severity", "event_type", "mark"]
     return lines.select("event_id", *[parsed[name].alias(name) for name in out],
@@ -93,7 +93,7 @@ def parse_syslog(t: Tables):
           FROM sec_events)""", "sec_events"))
 def parse_syslog_collector(t: Tables):
     kind, priority = F.col("event_id") % 4, F.col("user_id") % 192
-    events = t.sec_events.withColumns({"msg": F.expr(_MESSAGE), "tag": F.expr(_TAG)})
+    events = t.spread_events.withColumns({"msg": F.expr(_MESSAGE), "tag": F.expr(_TAG)})
     head = F.concat(F.lit("<"), priority, F.lit(">"))
     line = F.when(kind == 0, F.concat(
         head, F.lit("1 "), _stamp(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit(" "),
@@ -114,7 +114,7 @@ def parse_syslog_collector(t: Tables):
     FROM (SELECT event_id, user_id % 9 AS code FROM sec_events)""", "sec_events"))
 def map_syslog_agent(t: Tables):
     code = F.col("user_id") % 9
-    return t.sec_events.select("event_id", P.agent_syslog_type(code).alias("event_type"),
+    return t.spread_events.select("event_id", P.agent_syslog_type(code).alias("event_type"),
                                P.agent_syslog_severity(code).alias("severity"))
 
 
@@ -128,7 +128,7 @@ def map_windows_agent(t: Tables):
         .otherwise(F.lit("Application"))
     code = F.lit(4624) + F.when(F.col("user_id") % 4 == 0, F.lit(0)).when(F.col("user_id") % 4 == 1, F.lit(145)) \
         .otherwise(F.lit(50))
-    return t.sec_events.select("event_id", P.agent_event_type(log, code).alias("event_type"),
+    return t.spread_events.select("event_id", P.agent_event_type(log, code).alias("event_type"),
                                P.agent_event_severity(F.col("user_id") % 7).alias("severity"))
 
 
@@ -160,7 +160,7 @@ def access_line() -> Column:
       CASE WHEN NOT bad THEN date_trunc('second', ts) END AS "timestamp"
     FROM (SELECT *, event_id % 50 = 0 AS bad, {_STATUS} AS code, {_METHOD} AS method FROM sec_events)""", "sec_events"))
 def parse_apache(t: Tables):
-    lines, parsed = P.parse_access_log(t.sec_events.withColumn("raw", access_line()), F.col("raw"))
+    lines, parsed = P.parse_access_log(t.spread_events.withColumn("raw", access_line()), F.col("raw"))
     out = ["source_ip", "http_status", "http_method", "path", "referrer", "user_agent", "username", "response_time_ms",
            "event_type", "severity", "protocol"]
     return lines.select("event_id", *[parsed[n].alias(n) for n in out],
@@ -196,7 +196,7 @@ def firewall_line() -> Column:
       WHEN event_id % 10 >= 6 THEN 'high' WHEN event_id % 10 >= 4 THEN 'medium' WHEN event_id % 10 >= 2 THEN 'low'
       ELSE 'info' END AS rating FROM sec_events)""", "sec_events"))
 def parse_fortinet(t: Tables):
-    lines, parsed = P.parse_firewall(t.sec_events.withColumn("raw", firewall_line()), F.col("raw"))
+    lines, parsed = P.parse_firewall(t.spread_events.withColumn("raw", firewall_line()), F.col("raw"))
     out = ["source_ip", "destination_ip", "action", "source_port", "destination_port", "protocol", "event_type",
            "severity", "signature_id"]
     meta = lambda key: F.try_element_at("meta", F.lit(key))
@@ -238,7 +238,7 @@ def windows_line() -> Column:
         ELSE 'info' END END AS severity, CASE WHEN NOT bad THEN date_trunc('second', ts) END AS "timestamp"
     FROM (SELECT *, event_id % 41 = 0 AS bad, {_CODE} AS code FROM sec_events)""", "sec_events"))
 def parse_windows_event(t: Tables):
-    lines, parsed = P.parse_windows_event(t.sec_events.withColumn("raw", windows_line()), F.col("raw"))
+    lines, parsed = P.parse_windows_event(t.spread_events.withColumn("raw", windows_line()), F.col("raw"))
     out = ["event_code", "username", "device_name", "source_ip", "action", "event_type", "severity"]
     return lines.select("event_id", *[parsed[n].alias(n) for n in out],
                                    parsed["timestamp"].cast("timestamp_ntz").alias("timestamp"))
@@ -254,7 +254,7 @@ def parse_timestamps(t: Tables):
     text = F.lit("yesterday noon")
     for i, pattern in enumerate(patterns):
         text = F.when(F.col("event_id") % 8 == i, _stamp(F.col("ts"), pattern)).otherwise(text)
-    return t.sec_events.withColumn("text", text).select(
+    return t.spread_events.withColumn("text", text).select(
         "event_id", parse_timestamp(F.col("text"), 2024).cast("timestamp_ntz").alias("parsed"))
 
 
@@ -269,7 +269,7 @@ def detect_source_type(t: Tables):
     body = F.when((F.col("event_id") % 5 == 1) & (F.col("user_id") % 2 == 0), F.lit("cef:0|x")) \
         .when((F.col("event_id") % 5 == 3) & (F.col("user_id") % 2 == 0), F.lit("data=CEF:0|x")) \
         .otherwise(F.concat(F.lit("<13>host "), F.col("username")))
-    return t.sec_events.select("event_id", P.detect_source_type(kind, body).alias("source_type"))
+    return t.spread_events.select("event_id", P.detect_source_type(kind, body).alias("source_type"))
 
 
 @query("grok_extract", """
@@ -310,7 +310,7 @@ def envelopes(t: Tables):
     raw = F.lit("page 1 printed")
     for position, line in enumerate(lines):
         raw = F.when(kind == position, line).otherwise(raw)
-    return t.sec_events.select(
+    return t.spread_events.select(
         F.concat(F.lit("e-"), "event_id").alias("event_id"), F.col("ts").cast("timestamp").alias("received_at"),
         F.lit("sensor").alias("source"), F.get(F.array(*map(F.lit, KINDS)), kind).alias("source_type"),
         raw.alias("raw"), F.create_map(F.lit("tag"), F.lit("kept"), F.lit("sensor"), F.lit("s1")).alias("enrichment"),
@@ -352,7 +352,7 @@ def route(t: Tables):
       username AS payload, ts AS "timestamp", 's1' AS sensor FROM sec_events""", "sec_events"))
 def passthrough(t: Tables):
     """Every event as an envelope of a kind no parser knows."""
-    plain = t.sec_events.select(
+    plain = t.spread_events.select(
         F.concat(F.lit("e-"), "event_id").alias("event_id"), F.col("ts").cast("timestamp").alias("received_at"),
         F.lit("sensor").alias("source"), F.lit("printer").alias("source_type"), F.col("username").alias("raw"),
         F.create_map(F.lit("sensor"), F.lit("s1")).alias("enrichment"))
