@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -44,16 +43,19 @@ def local_session(app: str = "tidewatch", cores: int | str = "*", shuffle_partit
     return configure(spark)
 
 
+_local_root: str | None = None
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for stream checkpoints and cut-lineage tables.
 
     It lies under ``spark.checkpoint.dir``, which on a cluster names shared
     storage. Only a local session may fall back to a temporary folder.
     """
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip(os.sep)}/{label}-{uuid.uuid4().hex[:12]}"
+        _local_root = root = _local_root or tempfile.mkdtemp(prefix="tidewatch-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
