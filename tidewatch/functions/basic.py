@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -10,12 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(and_, conditions, F.lit(True))
+def all_of(conditions: Sequence[Column]) -> Column:
+    """Conjunction; true without conditions."""
+    return reduce(and_, conditions or [F.lit(True)])
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(or_, conditions, F.lit(False))
+def any_of(conditions: Sequence[Column]) -> Column:
+    """Disjunction; false without conditions."""
+    return reduce(or_, conditions or [F.lit(False)])
 
 
 def case_map(key: Column, table: Mapping, default=None) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,14 +52,14 @@ def key_variants(key: str) -> list[str]:
     return list(dict.fromkeys([key, base, base.replace("_", ""), camel, pascal]))
 
 
-@dataclass(frozen=True)
+@dataclass
 class Field:
     """A resolved field: its column and how rule values compare with it."""
 
     column: Column
     kind: str  # "number", "text", "time" or "missing"
 
-    @property
+    @cached_property
     def text(self) -> Column:
         return self.column.cast("string")
 
@@ -77,6 +78,7 @@ class EventFields:
         self.types = {field.name: field.dataType for field in schema.fields}
         self.loose_keys = loose_keys
         self.time_column = next((name for name in TIME_COLUMNS if name in self.types), None)
+        self._resolved: dict[str, Field] = {}
 
     @property
     def missing(self) -> Field:
@@ -89,6 +91,11 @@ class EventFields:
         return F.col(self.time_column)
 
     def resolve(self, path: str) -> Field:
+        if path not in self._resolved:
+            self._resolved[path] = self._resolve(path)
+        return self._resolved[path]
+
+    def _resolve(self, path: str) -> Field:
         segments = [part for part in path.split(".") if part]
         if not segments:
             return self.missing

@@ -26,14 +26,16 @@ from ..functions.basic import epoch_micros, epoch_seconds, floor_div
 
 
 def rolling_totals(events: DataFrame, keys: list[str], ts: Column, window_seconds: int,
-                   totals: dict[str, tuple[str, Column]], block_windows: int = 24) -> DataFrame:
+                   totals: dict[str, tuple[str, Column]], block_windows: int | None = None) -> DataFrame:
     """Totals over ``[t - window, t]`` for every key and every event time ``t``.
 
     ``totals`` maps an output name to ("count" | "sum" | "min" | "max", value).
     Each key is cut into blocks of ``block_windows`` windows; only events in
     the last window of a block are copied into the next block, so the copy
-    costs 1/block_windows of the rows and a hot key spreads over all blocks.
+    costs 1/block_windows of the rows and a hot key spreads over all blocks. By
+    default a block is a day, or one window where that is longer.
     """
+    block_windows = block_windows or max(1, 86400 // window_seconds)
     span = window_seconds * 1_000_000
     block = span * block_windows
     fold = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
@@ -115,7 +117,7 @@ def _opening_fold(key: str, ttl: int):
 
 
 def running_totals(events: DataFrame, key: str, ts: Column, tiebreak: str, value: Column,
-                   gap_seconds: int, block_seconds: int = 86400) -> DataFrame:
+                   gap_seconds: int, block_seconds: int = 3600) -> DataFrame:
     """``running``: sum of ``value`` up to each event since the key's last silence
     of ``gap_seconds`` or more. Also adds ``stretch``, the number of that stretch.
 
@@ -153,7 +155,7 @@ def block_stretches(blocks: DataFrame, key: str, gap_seconds: int) -> DataFrame:
 
 
 def following_time(rows: DataFrame, keys: list[str], ts: str, tiebreak: list[str], output: str,
-                   block_seconds: int = 86400) -> DataFrame:
+                   block_seconds: int = 3600) -> DataFrame:
     """Adds the time of the same key's next row, null for the last.
 
     Looked up inside a key's time block; only the last row of a block needs the

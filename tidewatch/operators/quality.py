@@ -55,7 +55,7 @@ def input_checks(text: Column, max_bytes: int = MAX_EVENT_BYTES, max_chars: int
 
 def check_input(rows: DataFrame, text: Column) -> DataFrame:
     checks = input_checks(text)
-    return rows.withColumns(checks).withColumn("accepted", all_of(F.col(name) for name in checks))
+    return rows.withColumns(checks).withColumn("accepted", all_of([F.col(name) for name in checks]))
 
 
 def constraint_violations(assets: DataFrame) -> DataFrame:

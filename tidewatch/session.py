@@ -37,6 +37,9 @@ def local_session(app: str = "tidewatch", cores: int | str = "*", shuffle_partit
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Building a column otherwise asks the JVM for its call site each time,
+        # which dominates the compiling of large rule sets.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
