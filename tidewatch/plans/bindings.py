@@ -170,7 +170,7 @@ class Tables:
     def rich_events(self) -> DataFrame:
         """Events with their open attributes as a metadata map, in the mixed key
         spellings agents send."""
-        return with_metadata(self.sec_events)
+        return with_metadata(self.spread_events)
 
     @cached_property
     def assets(self) -> DataFrame:
