@@ -11,7 +11,7 @@ from ..operators.correlation import (
     trailing_window, tumbling_fires, tumbling_rule, v2_keyed)
 from ..operators.fields import EventFields
 from ..operators.rules import compile_rule
-from .bindings import AS_OF, Tables, with_views
+from .bindings import Tables, with_views
 from .catalog import query
 
 BRUTE_FORCE = {
@@ -51,8 +51,7 @@ def trailing(t: Tables):
 def group_keys(t: Tables):
     fields = EventFields(t.rich_events.schema)
     return t.rich_events.select(
-        "event_id", group_key(fields, ["username", "failure_reason", "metadata.nothing", "destination_port"][:2]
-                              + ["destination_port"]).alias("group_key"),
+        "event_id", group_key(fields, ["username", "failure_reason", "destination_port"]).alias("group_key"),
         group_key(fields, None).alias("whole"))
 
 
@@ -190,10 +189,13 @@ def periods_sql(source: str, key: str, ts: str, ttl: int) -> str:
       GROUP BY ALL)"""
 
 
+_COUNTED = _WINDOWED + """,
+    counted AS (SELECT *, concat('v2-logins:', group_value, ':', window_id) AS counter FROM windowed),"""
+
+
 @query("agg_state_expiry", with_views(
-    "SELECT k AS counter, n AS event_count, first_seen, last_seen FROM periods", "sec_events", ctes=_WINDOWED + ""","""
-    """counted AS (SELECT *, concat('v2-logins:', group_value, ':', window_id) AS counter FROM windowed),"""
-    + periods_sql("counted", "counter", "ts", 3600)))
+    "SELECT k AS counter, n AS event_count, first_seen, last_seen FROM periods", "sec_events",
+    ctes=_COUNTED + periods_sql("counted", "counter", "ts", 3600)))
 def state_expiry(t: Tables):
     return expiring_counters(t.sec_events, V2_LOGINS, EventFields(t.sec_events.schema)) \
         .select("counter", "event_count", "first_seen", "last_seen")
