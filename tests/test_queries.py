@@ -9,12 +9,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidewatch.plans import catalog
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 from check_oracle import TABLES, rows_of  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.all_queries(), catalog.all_sql()
 SAMPLE = ["cond_not_in", "match_all_rules", "agg_rule_rolling", "agg_tumbling_fires", "baseline_store", "anomaly_combine",
           "join_geo", "join_assets", "extract_indicators", "ti_valid_asof", "join_packet_sni", "alert_dedup_week",
           "alert_resolve", "risk_score", "user_risk_profile", "alert_page", "health_silence", "mask_pii_email",
@@ -32,6 +33,7 @@ def duck():
 
 
 def test_registry():
+    assert QUERIES.keys() <= entry.queries().keys() and SQL.keys() <= entry.oracle_sql().keys()
     assert set(SQL) <= set(QUERIES) and set(QUERIES) - set(SQL) == {"user_host_port_sketches"}
 
 
