@@ -16,19 +16,20 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, ship_package, written
+from .common import FIRST, by_batch, order_id, ship_package, shuffle_partitions
 
-PIECE_MASK = np.uint32(63)  # a piece ends at one position in 64,
-SHORT_MASK = np.uint32(15)  # in a short paragraph at one in 16
-SHORT_PARAGRAPH = 512
+# A piece ends at one position in 64; in paragraphs of up to so many bytes, at one in 4 or 16.
+PIECE_MASK = np.uint32(63)
+SHORT = [(64, np.uint32(3)), (512, np.uint32(15))]
 SECTION_MASK = 3  # a section ends at one paragraph in 4
 _MULTIPLIER = 0x9E3779B1
 
@@ -48,12 +49,15 @@ def _piece_ends(data: bytes) -> list[int]:
     rolled ^= rolled >> np.uint32(15)
     rolled *= np.uint32(0x85EBCA6B)
     rolled >>= np.uint32(13)
-    cuts = np.flatnonzero(rolled & SHORT_MASK == 0)
+    cuts = np.flatnonzero(rolled & SHORT[0][1] == 0)
     borders = np.concatenate(([0], lines, [size]))
     line = np.searchsorted(lines, cuts + 8)
-    short = borders[line + 1] - borders[line] <= SHORT_PARAGRAPH
+    length, rolled = borders[line + 1] - borders[line], rolled[cuts]
+    masks = np.full(len(cuts), PIECE_MASK)
+    for most, mask in reversed(SHORT):
+        masks[length <= most] = mask
     ends = np.zeros(size + 1, bool)
-    ends[cuts[short | (rolled[cuts] & PIECE_MASK == 0)] + 8] = True
+    ends[cuts[rolled & masks == 0] + 8] = True
     ends[lines] = True
     return np.flatnonzero(ends[:size]).tolist()
 
@@ -164,7 +168,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
-PARTIAL = f"{RESULT}, part long, is_head boolean, is_tail boolean, text string"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
+                    ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+                    ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def _compare(doc_id, text: str, tree: Tree, following: str, next_tree: Tree) -> tuple:
@@ -176,38 +182,32 @@ def _compare(doc_id, text: str, tree: Tree, following: str, next_tree: Tree) ->
             edited_tree.fingerprint(), likeness(tree, edited_tree), likeness(tree, next_tree))
 
 
-def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-_RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-                           ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
-                           ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_PARTIAL_ARROW = pa.schema([*_RESULT_ARROW, ("part", pa.int64()), ("is_head", pa.bool_()), ("is_tail", pa.bool_()),
-                            ("text", pa.string())])
-
-
 def _run_of_documents(batches):
-    """Rows in order: each document meets the one before it. The first text of the partition and the
-    last are passed on, for the partitions before and behind."""
-    part = TaskContext.get().partitionId()
-    before = None
-    first = True
+    """Rows of one range in order: each document meets the one before it. The row that follows the range
+    comes last and only serves the one before it."""
+    before, ended = None, False
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
-            piece, rows = batch.slice(start, 256), []
-            for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+            rows = []
+            for follows, doc, text in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
+                if ended:
+                    break
                 tree = Tree.of(text)
-                if first:
-                    rows.append((doc_id, *[None] * 6, part, True, False, text))
-                    first = False
                 if before:
-                    rows.append((*_compare(*before, text, tree), None, False, False, None))
-                before = (doc_id, text, tree)
+                    rows.append(_compare(*before, text, tree))
+                before, ended = (None if doc == FIRST else doc, text, tree), follows
             if rows:
-                yield _as_batch(rows, _PARTIAL_ARROW)
-    if before:
-        yield _as_batch([(before[0], *[None] * 6, part, False, True, before[1])], _PARTIAL_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
+def _ranges(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows with ``part``, the number of the range of ids they fall into, larger ids first."""
+    quantiles = rows.approxQuantile("place", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    borders = sorted(set(quantiles))  # fewer than ``parts``
+    if not borders:
+        return rows.withColumn("part", F.lit(0))
+    cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="place", outputCol="part")
+    return cut.transform(rows).withColumn("part", (F.lit(len(borders)) - F.col("part")).cast("int"))
 
 
 def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,29 +220,40 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     a single row is its own next. Null and empty texts have the root of no
     sections; two of them are alike (1), one and another text are not (0).
 
-    Texts are shuffled once, into ranges of ids; each range is read in order,
-    holding two documents at a time. Only the texts at the borders of ranges,
-    one or two for each partition, meet in a second step.
+    Texts are shuffled once, into ranges of ids, each read in order, holding two
+    documents at a time. The first document of a range goes to the range before
+    as well. Which one that is, and the borders, come from the ids alone: one row for each range.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    ship_package(docs.sparkSession)
-    ranged = rows.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
-    partial = written(ranged.mapInArrow(_run_of_documents, PARTIAL), "fingerprints")
-
-    columns = [c.split()[0] for c in RESULT.split(", ")]
-    inner = partial.where(~F.col("is_head") & ~F.col("is_tail")).select(columns)
-    heads = partial.where("is_head").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    tails = partial.where("is_tail").select("doc_id", "part", "text")
-    # Numbers of partitions only: one row for each.
-    ring = (partial.where("is_head").select("part")
-            .select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")),
-                                       F.min("part").over(Window.partitionBy())).alias("next_part")))
-    seams = tails.join(ring, "part").join(heads, "next_part").select("doc_id", "text", "next_text")
-
-    def convert(batch):
-        for row in batch.to_pylist():
-            tree, following = Tree.of(row["text"]), row["next_text"]
-            yield _as_batch([_compare(row["doc_id"], row["text"], tree, following, Tree.of(following))], _RESULT_ARROW)
-
-    return inner.union(by_batch(seams, convert, RESULT))
+    spark = docs.sparkSession
+    ship_package(spark)
+    parts = shuffle_partitions(spark)
+    # A double holds the order of longs, if not all their digits: ids it cannot tell apart share a range.
+    rows = docs.select(order_id(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = _ranges(rows.withColumn("place", F.col("doc").cast("double")), parts).drop("place")
+    heads = [(r["part"], r["doc"]) for r in rows.groupBy("part").agg(F.max("doc").alias("doc")).orderBy("part").collect()]
+    following = spark.createDataFrame([(doc, heads[i - 1][0]) for i, (_, doc) in enumerate(heads)],
+                                      "doc long, before int")  # at most ``parts`` rows
+    rows = rows.join(F.broadcast(following), "doc", "left")
+    places = F.array(F.struct("part", F.lit(False).alias("follows")),
+                     F.struct(F.col("before").alias("part"), F.lit(True).alias("follows")))
+    rows = rows.select("doc", "text", F.inline(F.filter(places, lambda p: p["part"].isNotNull())))
+    ranged = rows.repartitionById(parts, "part").sortWithinPartitions("part", "follows", F.col("doc").desc(), "text")
+    return _in_parts(ranged)
+
+
+def _in_parts(ranged: DataFrame) -> DataFrame:
+    """Give the rows of each range to ``_run_of_documents``; a partition may hold several ranges."""
+
+    def run(batches):
+        def runs():
+            for batch in batches:
+                numbers = np.asarray(batch.column(0))
+                borders = np.flatnonzero(numbers[1:] != numbers[:-1]) + 1
+                for a, b in zip([0, *borders.tolist()], [*borders.tolist(), len(numbers)]):
+                    if b > a:
+                        yield int(numbers[a]), batch.slice(a, b - a).select(["follows", "doc", "text"])
+
+        for _, group in groupby(runs(), lambda pair: pair[0]):
+            yield from _run_of_documents(batch for _, batch in group)
+
+    return ranged.select("part", "follows", "doc", "text").mapInArrow(run, RESULT)
