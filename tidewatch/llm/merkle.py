@@ -27,38 +27,33 @@ from pyspark.sql import functions as F
 
 from .common import FIRST, by_batch, order_id, ship_package, shuffle_partitions
 
-# A piece ends at one position in 64; in paragraphs of up to so many bytes, at one in 4 or 16.
-PIECE_MASK = np.uint32(63)
-SHORT = [(64, np.uint32(3)), (512, np.uint32(15))]
+PIECE_MASK = np.uint32(31)  # a piece ends at one position in 32,
+TINY_MASK, TINY = np.uint32(3), 256  # in texts of so few bytes at one in 4,
+LONGEST = 128  # and at the latest after so many bytes
 SECTION_MASK = 3  # a section ends at one paragraph in 4
 _MULTIPLIER = 0x9E3779B1
 
 
 def _piece_ends(data: bytes) -> list[int]:
-    """Ends of pieces: behind newlines and where the hash of the last 8 bytes says so."""
+    """Ends of pieces: behind newlines, where the hash of the last 8 bytes says so, and in runs without either."""
     values = np.frombuffer(data, np.uint8)
     size = len(values)
-    lines = np.flatnonzero(values == 10) + 1
-    if size <= 8:
-        return lines[lines < size].tolist()
-    rolled = values.astype(np.uint32) + np.uint32(1)
-    step, factor = 1, _MULTIPLIER
-    while step < 8:
-        rolled = rolled[:-step] * np.uint32(factor) + rolled[step:]
-        step, factor = 2 * step, factor * factor & 0xFFFFFFFF
-    rolled ^= rolled >> np.uint32(15)
-    rolled *= np.uint32(0x85EBCA6B)
-    rolled >>= np.uint32(13)
-    cuts = np.flatnonzero(rolled & SHORT[0][1] == 0)
-    borders = np.concatenate(([0], lines, [size]))
-    line = np.searchsorted(lines, cuts + 8)
-    length, rolled = borders[line + 1] - borders[line], rolled[cuts]
-    masks = np.full(len(cuts), PIECE_MASK)
-    for most, mask in reversed(SHORT):
-        masks[length <= most] = mask
     ends = np.zeros(size + 1, bool)
-    ends[cuts[rolled & masks == 0] + 8] = True
-    ends[lines] = True
+    ends[np.flatnonzero(values == 10) + 1] = True
+    if size > 8:
+        rolled = values.astype(np.uint32) + np.uint32(1)
+        step, factor = 1, _MULTIPLIER
+        while step < 8:
+            rolled = rolled[:-step] * np.uint32(factor) + rolled[step:]
+            step, factor = 2 * step, factor * factor & 0xFFFFFFFF
+        rolled ^= rolled >> np.uint32(15)
+        rolled *= np.uint32(0x85EBCA6B)
+        rolled >>= np.uint32(13)
+        ends[8:] |= rolled & (TINY_MASK if size <= TINY else PIECE_MASK) == 0
+    found = np.flatnonzero(ends[:size])
+    borders = np.concatenate(([0], found, [size]))
+    for i in np.flatnonzero(np.diff(borders) > LONGEST).tolist():
+        ends[borders[i] + LONGEST:borders[i + 1]:LONGEST] = True
     return np.flatnonzero(ends[:size]).tolist()
 
 
