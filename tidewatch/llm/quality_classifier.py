@@ -24,7 +24,7 @@ from .html_extract import STOP_WORDS
 from .quality_rules import CAPITALS, LETTERS, SYMBOLS, repeated_words
 
 SLOTS = 1 << 14  # hashed features
-TRAINING_DOCS = 8000  # at most so many documents train the scorer: those of the smallest hashed ids
+TRAINING_DOCS = 4000  # at most so many documents train the scorer: those of the smallest hashed ids
 KEEP = 0.1  # documents that score less are rejected; low, so that clean ones stay
 STOPS = {w.encode() for w in STOP_WORDS}
 ABSTAIN, VOTE_GOOD, VOTE_BAD = 0, 1, 2
@@ -139,20 +139,19 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     return good, tables, share
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray]], goals: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Weights of a logistic scorer (the last is the constant) for soft goals; both classes weigh the same."""
+def train(sizes: np.ndarray, slots: np.ndarray, values: np.ndarray, goals: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """Weights of a logistic scorer (the last is the constant) for soft goals, from the features of all
+    examples in turn and how many each has; both classes weigh the same."""
     weights = np.zeros(SLOTS + 1)
-    if not examples:
+    if not len(sizes):
         return weights
-    rows = np.repeat(np.arange(len(examples)), [len(s) for s, _ in examples])
-    slots = np.concatenate([s for s, _ in examples])
-    values = np.concatenate([v for _, v in examples])
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     share = min(max(goals.mean(), 0.01), 0.99)
     weigh = goals / (2 * share) + (1 - goals) / (2 * (1 - share))
     first, second = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     for step in range(1, rounds + 1):
-        scores = np.bincount(rows, weights[slots] * values, len(examples)) + weights[-1]
-        error = weigh * (1 / (1 + np.exp(-np.clip(scores, -30, 30))) - goals) / len(examples)
+        scores = np.bincount(rows, weights[slots] * values, len(sizes)) + weights[-1]
+        error = weigh * (1 / (1 + np.exp(-np.clip(scores, -30, 30))) - goals) / len(sizes)
         slope = np.append(np.bincount(slots, error[rows] * values, SLOTS), error.sum()) + 1e-5 * weights
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         weights -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -210,9 +209,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training_do
 
     sample = by_batch(chosen, convert, "code long, slots binary, amounts binary").collect()
     sample.sort()
-    examples = [(np.frombuffer(r["slots"], "<u2").astype(np.int64), np.frombuffer(r["amounts"], "<f4").astype(float))
-                for r in sample]
-    return train(examples, np.array([likely[r["code"]] for r in sample]))
+    sizes = np.array([len(r["slots"]) // 2 for r in sample], int)
+    slots = np.frombuffer(b"".join([r["slots"] for r in sample]), "<u2")
+    values = np.frombuffer(b"".join([r["amounts"] for r in sample]), "<f4")
+    goals = np.array([likely[r["code"]] for r in sample])
+    del sample
+    return train(sizes, slots, values, goals)
 
 
 def scorer(weights: np.ndarray) -> Callable[[str | None], float]:
