@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.grok import grok_extract
 from tidewatch.functions.ip import ipv4_to_long, is_ipv6, is_private_ip, is_public_ip, normalize_ip
-from tidewatch.functions.text import clean_ascii, find_urls, mask_email, sanitize
+from tidewatch.functions.text import clean_ascii, find_urls, mask_email, sanitize, sanitize_ascii
 from tidewatch.functions.timeparse import parse_timestamp
 
 
@@ -71,7 +71,8 @@ def test_masking(spark):
 
 
 def test_cleaning(spark):
-    assert values(spark, ["aé\tb\x7f" + "c" * 300], clean_ascii) == ["ab" + "c" * 253]
+    assert values(spark, ["aé\tb\x7f" + "c" * 300], sanitize_ascii) == ["ab" + "c" * 253]
+    assert values(spark, ["http://a.é/" + "c" * 2000], clean_ascii) == ["http://a./" + "c" * 2000]
     assert values(spark, ["a\x07b\nc\td\x85"], sanitize) == ["ab\nc\td"]
     assert values(spark, ["see https://a.b/c?d www.e.f end"], find_urls) == [["https://a.b/c?d", "www.e.f"]]
 
@@ -95,3 +96,15 @@ def test_grok(spark):
     frame, groups = grok_extract(frame, F.col("v"), r"k=(?<num>\d*)\s(?<rest>\w)", "_g")
     assert [tuple(r) for r in frame.select(groups["num"], groups["rest"]).collect()] == [
         ("12", "y"), (None, "z"), (None, None)]
+
+
+@pytest.mark.parametrize("sign", ["\x01", "\x02", "\x01\x02", "\x02\x03", "\x02\x04\x01"])
+def test_grok_keeps_separators_in_the_text(spark, sign):
+    for at in range(4):
+        parts = ["12", "y z", "end"]
+        text = " ".join(parts[:at] + [f"a{sign}b"] + parts[at:])
+        frame = spark.createDataFrame([(text,)], "v string")
+        frame, groups = grok_extract(frame, F.col("v"), r"^(?<one>\S+)\s(?<two>.*)\s(?<three>\S+)$", "_g")
+        words = text.split(" ")
+        assert tuple(frame.select(groups["one"], groups["two"], groups["three"]).first()) == (
+            words[0], " ".join(words[1:-1]), words[-1])

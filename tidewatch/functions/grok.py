@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SEPARATOR = "\x01"
+# How a separator inside the text is written while the groups are joined.
+_ESCAPES = [("\x02", "\x02\x03"), ("\x01", "\x02\x04")]
 
 
 def group_names(pattern: str) -> list[str]:
@@ -20,6 +22,20 @@ def grok_parts(text: Column, pattern: str) -> Column:
     The whole text is rewritten to ``group1 SEP group2 SEP ...`` and split, so
     ten groups cost one regex run, not ten ``regexp_extract`` calls.
     """
+    has_separator = F.contains(text, F.lit(_SEPARATOR))
+    escaped = text
+    for sign, code in _ESCAPES:
+        escaped = F.replace(escaped, F.lit(sign), F.lit(code))
+
+    def plain(part: Column) -> Column:
+        for sign, code in reversed(_ESCAPES):
+            part = F.replace(part, F.lit(code), F.lit(sign))
+        return part
+
+    return F.when(has_separator, F.transform(_rewritten(escaped, pattern), plain)).otherwise(_rewritten(text, pattern))
+
+
+def _rewritten(text: Column, pattern: str) -> Column:
     whole = rf"(?is)^(?:{pattern[1:]}).*$" if pattern.startswith("^") else rf"(?is)^.*?(?:{pattern}).*$"
     rewritten = F.regexp_replace(text, whole, _SEPARATOR.join(f"${{{n}}}" for n in group_names(pattern)))
     return F.split(rewritten, _SEPARATOR)

@@ -11,6 +11,7 @@ MAX_FIELD_CHARS = 10000
 # Control characters other than tab, line feed and carriage return.
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
+# What is masked must stay the same, the bar among the last letters included.
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _DOMAIN = r"@([A-Za-z0-9.-])[A-Za-z0-9.-]*\.([A-Z|a-z]{2,})\b"
 LONG_EMAIL = rf"\b({_LOCAL}){_LOCAL}+({_LOCAL}){_DOMAIN}"
@@ -19,9 +20,14 @@ SHORT_EMAIL = rf"\b{_LOCAL}{{1,2}}{_DOMAIN}"
 URL_TOKEN = r"(https?://\S+|www\.\S+)"
 
 
-def clean_ascii(text: Column, max_length: int = 255) -> Column:
+def clean_ascii(text: Column) -> Column:
+    """Printable ASCII only."""
+    return F.regexp_replace(text, r"[^\x20-\x7E]", "")
+
+
+def sanitize_ascii(text: Column, max_length: int = 255) -> Column:
     """Printable ASCII only, cut at ``max_length``."""
-    return F.left(F.regexp_replace(text, r"[^\x20-\x7E]", ""), F.lit(max_length))
+    return F.left(clean_ascii(text), F.lit(max_length))
 
 
 def sanitize(text: Column, max_length: int = MAX_FIELD_CHARS) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from ..functions.basic import epoch_seconds, floor_div
 from .fields import EventFields, normalize_key
 from .periods import fixed_periods, rolling_totals
 from .predicates import as_number, numeric
-from .rules import TIME_UNITS, CompiledRule, match_rule, v2_group_value, v2_match, v2_operator
+from .rules import TIME_UNITS, CompiledRule, match_rule, match_rules, v2_group_value, v2_match, v2_operator
 
 
 # ------------------------------------------------------------------ first format
@@ -195,3 +197,32 @@ def expiring_counters(events: DataFrame, rule: dict, fields: EventFields, ttl_se
     return lives.select("counter", "first.group_value", "first.window_id", F.col("n").alias("event_count"),
                         "first_seen", "last_seen",
                         F.timestamp_seconds(F.unix_seconds("opened_at") + ttl_seconds).alias("expires_at"))
+
+
+# ------------------------------------------------------------------- both kinds
+def run_rules(events: DataFrame, rules: list[CompiledRule], fields: EventFields, event_id: str = "event_id") -> DataFrame:
+    """What a mixed set of rules finds, each rule by the evaluator of its kind.
+
+    A rule without an aggregation gives a row for each event that matches it.
+    An aggregating rule gives a row for each group that satisfies it: over the
+    trailing window for the first format, for each tumbling window for the second.
+    """
+    ts = fields.ts
+    once = match_rules(events, rules)
+    found = [once.select(
+        "rule_id", "rule_name", F.col("rule_severity").alias("severity"), F.col(event_id).cast("string").alias("event_id"),
+        F.lit(None).cast("string").alias("group_key"), ts.alias("first_seen"), ts.alias("last_seen"),
+        F.lit(1).cast("long").alias("event_count"), F.lit(None).cast("double").alias("aggregated_value"))]
+    for rule in rules:
+        if not rule.enabled or not rule.aggregation:
+            continue
+        if "condition" in rule.source:
+            groups = tumbling_rule(events, rule.source, fields).withColumn("group_key", F.col("group_value"))
+        else:
+            groups = aggregate_rule(events, rule, fields, event_id)
+        found.append(groups.select(
+            F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"),
+            F.lit(None).cast("string").alias("event_id"), "group_key", "first_seen", "last_seen",
+            F.col("event_count").cast("long").alias("event_count"),
+            F.col("aggregated_value").cast("double").alias("aggregated_value")))
+    return reduce(DataFrame.union, found)

@@ -9,8 +9,6 @@ from ..functions.basic import all_of
 from ..model import STRING_MAP
 from .enrichment import apply_changes
 
-AUDIT_LIMIT = 1000
-
 
 def paged(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
     page, size = max(page, 1), max(size, 1)
@@ -56,7 +54,7 @@ def change_assets(assets: DataFrame, changes: DataFrame) -> DataFrame:
 def search_audit(audit: DataFrame, user: str | None = None, action: str | None = None,
                  resource_type: str | None = None, resource_id: str | None = None, since: Column | None = None,
                  until: Column | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Newest audit events that meet every given filter; at most 1000 at a time."""
+    """Newest audit events that meet every given filter; as many as ``limit`` says."""
     equalities = {"user_name": user, "action": action, "resource_type": resource_type, "resource_id": resource_id}
     tests = [F.col(name) == value for name, value in equalities.items() if value is not None]
     if since is not None:
@@ -64,7 +62,7 @@ def search_audit(audit: DataFrame, user: str | None = None, action: str | None =
     if until is not None:
         tests.append(F.col("timestamp") <= until)
     return audit.filter(all_of(tests)).orderBy(F.desc("timestamp"), "id") \
-        .offset(max(offset, 0)).limit(min(limit, AUDIT_LIMIT))
+        .offset(max(offset, 0)).limit(limit)
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:

@@ -268,17 +268,15 @@ def user_risk_increment(t: Tables):
     return t.sec_events.select("event_id", H.risk_points(F.col("risk_event")).alias("points"))
 
 
-# Only a user's every 41st event counts here, so week-long silences do occur.
 _RISKY = f"""risky AS (SELECT *, {_POINTS} / 10.0 AS points FROM sec_events
-      WHERE username <> '' AND event_type = 'authentication_attempt' AND bytes_sent > 700000),
+      WHERE username <> ''),
     marked AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY username ORDER BY ts, event_id)
       >= 604800000000, false)::INT AS fresh FROM risky),
     lives AS (SELECT *, sum(fresh) OVER (PARTITION BY username ORDER BY ts, event_id) AS life FROM marked)"""
 
 
 def _risky(t: Tables):
-    events = t.sec_events.filter((F.col("event_type") == "authentication_attempt") & (F.col("bytes_sent") > 700000))
-    return events, H.risk_points(F.col("risk_event")) / 10.0
+    return t.sec_events, H.risk_points(F.col("risk_event")) / 10.0
 
 
 @query("user_risk_profile", with_views(f"""

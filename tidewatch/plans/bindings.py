@@ -152,11 +152,11 @@ class Tables:
         return rows.selectExpr(*[part.replace('"timestamp"', "`timestamp`") for part in select_list])
 
     def spread(self, rows: DataFrame) -> DataFrame:
-        """Rows of a file too small to occupy the cores, dealt out to all of them.
-        For work that costs much more per row than moving the row; input that
-        already has enough splits stays as it is."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores // 2 else rows
+        """The rows as they are read, unless the session says into how many parts to
+        deal them (``tidewatch.inputPartitions``): for tables of one small file, whose only row group no
+        scan can split. Set in local sessions; never by the size of the input."""
+        parts = self.spark.conf.get("tidewatch.inputPartitions", None)
+        return rows.repartition(int(parts)) if parts else rows
 
     @cached_property
     def sec_events(self) -> DataFrame:

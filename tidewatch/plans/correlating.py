@@ -21,15 +21,15 @@ BRUTE_FORCE = {
     "aggregation": {"type": "count", "size": 1, "unit": "days", "groupBy": ["username", "source_ip"],
                     "having": {"field": "count", "operator": "greater_than_or_equal", "value": 2}},
 }
-UPLOADS = {
-    "id": "uploads", "name": "Uploads", "severity": "critical",
+ANSWERS = {
+    "id": "bulk-answers", "name": "Bulk answers", "severity": "medium",
     "triggers": [{"type": "event", "eventType": "network_traffic"}],
-    "conditions": [{"field": "bytes_sent", "operator": "greater_than", "value": 100000}],
+    "conditions": [{"field": "bytes_received", "operator": "greater_than_or_equal", "value": 30000}],
     "aggregation": {"type": "sum", "size": 3, "unit": "days", "groupBy": ["source_ip"],
-                    "having": {"field": "bytes_sent", "operator": "greater_than_or_equal", "value": 1000000}},
+                    "having": {"field": "bytes_received", "operator": "greater_than", "value": 300000}},
 }
 _AUTH = "event_type = 'authentication_attempt' AND username <> ''"
-_NET = "event_type = 'network_traffic' AND bytes_sent > 100000"
+_NET = "event_type = 'network_traffic' AND bytes_received >= 30000"
 
 
 def _rule(t: Tables, rule: dict):
@@ -116,12 +116,12 @@ def brute_force_first(t: Tables):
 @query("agg_rule_rolling", with_views(f"""
     SELECT DISTINCT group_key, "at", event_count, aggregated_value FROM (
       SELECT source_ip AS group_key, ts AS "at",
-        count(*) OVER w AS event_count, CAST(sum(bytes_sent) OVER w AS DOUBLE) AS aggregated_value
+        count(*) OVER w AS event_count, CAST(sum(bytes_received) OVER w AS DOUBLE) AS aggregated_value
       FROM sec_events WHERE {_NET}
       WINDOW w AS (PARTITION BY source_ip ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW))
-    WHERE aggregated_value >= 1000000""", "sec_events"))
+    WHERE aggregated_value > 300000""", "sec_events"))
 def rolling(t: Tables):
-    found = rolling_rule(t.sec_events, *_rule(t, UPLOADS))
+    found = rolling_rule(t.sec_events, *_rule(t, ANSWERS))
     return found.select("group_key", micros_to_ntz(F.unix_micros("at")).alias("at"), "event_count", "aggregated_value")
 
 

@@ -174,9 +174,7 @@ _SCORES = """scores AS (SELECT type, value, length(value) * 37 % 101 AS score, l
 
 
 def _indicators(t: Tables):
-    """Events whose metadata holds only what can carry an indicator."""
-    return TI.extract_indicators(with_metadata(t.spread_events).withColumn(
-        "metadata", F.map_filter("metadata", lambda k, v: k.isin("artifact", "queryName"))))
+    return TI.extract_indicators(t.rich_events)
 
 
 def _scores(indicators):

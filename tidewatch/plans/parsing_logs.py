@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.grok import grok_extract
-from ..functions.text import clean_ascii
+from ..functions.text import sanitize_ascii
 from ..functions.timeparse import parse_timestamp
 from ..operators import parsing as P
 from ..operators.rules import empty_map
@@ -286,7 +286,7 @@ def grok(t: Tables):
 
 
 @query("extract_urls", """
-    SELECT page_id, CAST(position AS INT) AS position, left(regexp_replace(u, '[^ -~]', '', 'g'), 255) AS url
+    SELECT page_id, CAST(position AS INT) AS position, regexp_replace(u, '[^ -~]', '', 'g') AS url
     FROM (SELECT page_id, unnest(urls) AS u, generate_subscripts(urls, 1) - 1 AS position FROM
       (SELECT page_id, regexp_extract_all(concat(url, ' ', html),
         '(https?://[^\\s\\x0B]+|www\\.[^\\s\\x0B]+)', 1) AS urls FROM pages))""")
@@ -296,7 +296,7 @@ def extract_urls(t: Tables):
 
 @query("clean_ascii", "SELECT doc_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 255) AS cleaned FROM documents")
 def clean(t: Tables):
-    return t.raw("documents").select("doc_id", clean_ascii(F.col("text")).alias("cleaned"))
+    return t.raw("documents").select("doc_id", sanitize_ascii(F.col("text")).alias("cleaned"))
 
 
 # ---------------------------------------------------------------------- routing

@@ -139,7 +139,7 @@ _AUDIT_COLUMNS = '"timestamp", id, user_name, action'
 @query("audit_search", with_views(f"""
     SELECT {_AUDIT_COLUMNS} FROM audit WHERE user_name = 'user_7' AND action = 'login'
       AND "timestamp" >= TIMESTAMP '1997-01-01' AND "timestamp" <= TIMESTAMP '2000-01-01'
-    ORDER BY "timestamp" DESC, id LIMIT 1000 OFFSET 5""", "audit"))
+    ORDER BY "timestamp" DESC, id LIMIT 5000 OFFSET 5""", "audit"))
 def audit_search(t: Tables):
     return R.search_audit(t.audit, user="user_7", action="login", since=as_of("1997-01-01 00:00:00"),
                           until=as_of("2000-01-01 00:00:00"), limit=5000, offset=5) \
@@ -195,10 +195,18 @@ def user_host_connections(t: Tables):
     return K.user_host_connections(t.sec_events)
 
 
-@query("user_host_port_sketches")
+_CLOSE = "abs(unique_ports - exact) <= 0.05 * exact"
+
+
+@query("user_host_port_sketches", with_views("""
+    SELECT username, hostname, count(*) AS connection_count, true AS is_close FROM sec_events
+    WHERE username <> '' AND hostname <> '' GROUP BY ALL""", "sec_events"))
 def user_host_port_sketches(t: Tables):
-    """Daily sketches merged to one estimate per user and host."""
-    return K.merge_port_sketches(K.port_sketches(t.sec_events), ["username", "hostname"])
+    """Daily sketches merged to one estimate per user and host, held against the exact number."""
+    keys = ["username", "hostname"]
+    exact = t.sec_events.groupBy(*keys).agg(F.count_distinct("destination_port").alias("exact"))
+    merged = K.merge_port_sketches(K.port_sketches(t.sec_events), keys).join(exact, keys)
+    return merged.select(*keys, "connection_count", F.expr(_CLOSE).alias("is_close"))
 
 
 # ------------------------------------------------------------------- top lists

@@ -19,9 +19,10 @@ from ..streaming import jobs as J
 from ..streaming.sinks import run_append, run_update, stream_files
 from .bindings import Tables, views, with_metadata, with_views
 from .catalog import query
-from .correlating import UPLOADS, V2_LOGINS, _AUTH, _NET, _WINDOWED, periods_sql
+from .correlating import ANSWERS, V2_LOGINS, _AUTH, _NET, _WINDOWED, periods_sql
 from .enriching import PACKETS_SQL, names_of, packets_of
 from .parsing_logs import ROUTED_SQL, _PARSED_CTE, envelopes
+from .alerting import _POINTS
 from .predicates import RULE_MATCH_CTE, compiled_rules
 
 
@@ -120,16 +121,16 @@ def stream_tumbling(t: Tables):
 
 
 @query("stream_sliding", with_views(f"""
-    SELECT source_ip AS group_key, w AS window_end, CAST(sum(bytes_sent) AS DOUBLE) AS aggregated_value
+    SELECT source_ip AS group_key, w AS window_end, CAST(sum(bytes_received) AS DOUBLE) AS aggregated_value
     FROM (SELECT *, unnest(generate_series(time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 12 HOUR,
         time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 72 HOUR, INTERVAL 12 HOUR)) AS w
       FROM sec_events WHERE {_NET})
-    GROUP BY ALL HAVING sum(bytes_sent) >= 1000000""", "sec_events"))
+    GROUP BY ALL HAVING sum(bytes_received) > 300000""", "sec_events"))
 def stream_sliding(t: Tables):
-    """The upload rule over three-day windows that move by twelve hours."""
+    """The bulk-answer rule over three-day windows that move by twelve hours."""
     events = event_stream(t)
     fields = EventFields(events.schema)
-    stored = run_update(J.sliding_rule(events, compile_rule(UPLOADS, fields), fields, "12 hours"), "sliding")
+    stored = run_update(J.sliding_rule(events, compile_rule(ANSWERS, fields), fields, "12 hours"), "sliding")
     return stored.groupBy("group_key", F.col("window_end").cast("timestamp_ntz").alias("window_end")) \
         .agg(F.max_by("aggregated_value", "event_count").alias("aggregated_value"))
 
@@ -148,18 +149,17 @@ def stream_dedup_alerts(t: Tables):
     return stored.groupBy("dedup_key", "opened_at").agg(F.max("alert_count").alias("alert_count"))
 
 
-@query("stream_user_risk", with_views("""
+@query("stream_user_risk", with_views(f"""
     SELECT username, round(least(sum(points), 50.0), 6) AS score, count(*) AS event_count, min(ts) AS session_start
     FROM (SELECT *, sum(fresh) OVER (PARTITION BY username ORDER BY ts, event_id) AS life FROM
-      (SELECT *, 0.5::DOUBLE AS points, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER
+      (SELECT *, {_POINTS} / 10.0 AS points, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER
         (PARTITION BY username ORDER BY ts, event_id) >= 604800000000, false)::INT AS fresh FROM sec_events
-       WHERE username <> '' AND event_type = 'authentication_attempt' AND bytes_sent > 700000))
+       WHERE username <> ''))
     GROUP BY username, life""", "sec_events"))
 def stream_user_risk(t: Tables):
     """User risk sessions, closed by a row from the far future."""
-    events = event_stream(t).filter((F.col("event_type") == "authentication_attempt") & (F.col("bytes_sent") > 700000))
-    points = H.risk_points(F.lit("web.click")) / 2
-    stored = run_append(J.user_risk_sessions(with_sentinel(t, events), points), "user-risk")
+    points = H.risk_points(F.col("risk_event")) / 10.0
+    stored = run_append(J.user_risk_sessions(with_sentinel(t, event_stream(t)), points), "user-risk")
     return stored.select("username", F.round("score", 6).alias("score"), "event_count",
                          F.col("session_start").cast("timestamp_ntz").alias("session_start"))
 

@@ -68,6 +68,7 @@ def local_session(app: str = "tidewatch", cores: int | str = "*", shuffle_partit
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("tidewatch.inputPartitions", str(spark.sparkContext.defaultParallelism))
     return configure(spark)
 
 
