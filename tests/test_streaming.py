@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import work_dir
 from tidewatch.sources import tables as TB
-from tidewatch.streaming.jobs import dedup_alerts
+from tidewatch.operators.fields import EventFields
+from tidewatch.streaming.jobs import dedup_alerts, tumbling_counts
 from tidewatch.streaming.sinks import run_update, stream_files
 
 START = datetime(2024, 1, 1)
@@ -53,3 +54,17 @@ def test_work_dir_follows_the_session():
     assert work_dir(session("local[2]", None), "a") != work_dir(session("local[2]", None), "a")
     with pytest.raises(RuntimeError):
         work_dir(session("spark://host", None), "a")
+
+
+@pytest.mark.parametrize(("function", "bound", "want"), [("sum", 250, 300.0), ("distinct", 1, 2.0), ("avg", 99, 100.0),
+                                                         ("max", 150, 200.0), ("count", 2, 3.0)])
+def test_streamed_counters_use_the_rules_function(spark, tmp_path, function, bound, want):
+    rows = [(START + timedelta(seconds=i), "a", v) for i, v in enumerate([50, 50, 200])]
+    for number in range(2):  # two files, two batches
+        spark.createDataFrame(rows[2 * number:2 * number + 2], "ts timestamp, user string, points int").coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "in"))
+    events = stream_files(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=1)
+    rule = {"id": "r", "severity": "low", "trigger": {}, "condition": {"operator": "gt", "value": bound, "aggregation": {
+        "function": function, "field": "points", "group_by": "user", "window_seconds": 3600}}}
+    stored = run_update(tumbling_counts(events, rule, EventFields(events.schema)), "test-tumbling")
+    assert stored.agg(F.max("aggregated_value")).first()[0] == want

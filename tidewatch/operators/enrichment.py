@@ -37,7 +37,9 @@ def join_geo(events: DataFrame, ranges: DataFrame, ip_column: str, output: str)
     """
     ip, private = F.col(ip_column), F.col("_private")
     keyed = events.withColumn("_private", is_private_ip(ip)) \
-        .withColumn("_ip", F.when(~private, ipv4_to_long(ip))).withColumn("_block", F.shiftright("_ip", 16))
+        .withColumn("_ip", F.when(~private, ipv4_to_long(ip))).withColumn("_block", F.coalesce(
+            # Rows without a block of their own are dealt out over blocks that no range has.
+            F.shiftright("_ip", 16), -1 - F.pmod(F.xxhash64(ip), F.lit(4096))))
     lookup = geo_prefixes(ranges).select(
         "geo_block", "start_ip", "end_ip",
         F.struct(

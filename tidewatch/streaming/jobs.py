@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.basic import epoch_seconds
-from ..operators.correlation import group_key, having_column, measure, v2_having, window_seconds
+from ..operators.correlation import group_key, having_column, measure, v2_having, v2_value, window_seconds
 from ..operators.enrichment import join_assets, join_geo
 from ..operators.fields import EventFields
 from ..operators.parsing import normalize_envelopes
@@ -45,16 +45,19 @@ def rule_alerts(events: DataFrame, rules: list[CompiledRule]) -> DataFrame:
 # --------------------------------------------------------------------- windows
 def tumbling_counts(events: DataFrame, rule: dict, fields: EventFields, delay: str = DEFAULT_DELAY,
                     ts: str = "ts") -> DataFrame:
-    """Counters of a second-format rule per tumbling window, for update mode.
+    """Counters of a second-format rule per tumbling window, for update mode, by any of its functions.
     Rows later than ``delay`` behind the newest event are dropped."""
     spec = rule["condition"]["aggregation"]
     matching = events.filter(v2_match(rule, fields)).withColumn(
         "group_value", v2_group_value(spec.get("group_by"), fields))
+    value = v2_value(rule, fields)
+    if "distinct" in (spec.get("function") or ""):  # streams have no distinct aggregates
+        value = F.size(F.collect_set(fields.resolve(spec["field"]).text)).cast("double")
     return matching.withWatermark(ts, delay) \
         .groupBy(F.window(ts, f"{int(spec['window_seconds'])} seconds").alias("w"), "group_value") \
-        .agg(F.count("*").alias("event_count")) \
-        .select("group_value", F.col("w.start").alias("window_start"), "event_count") \
-        .filter(v2_having(rule, F.col("event_count").cast("double")))
+        .agg(F.count("*").alias("event_count"), value.alias("aggregated_value")) \
+        .select("group_value", F.col("w.start").alias("window_start"), "event_count", "aggregated_value") \
+        .filter(v2_having(rule, F.col("aggregated_value")))
 
 
 def sliding_rule(events: DataFrame, rule: CompiledRule, fields: EventFields, slide: str,
