@@ -108,3 +108,35 @@ def test_grok_keeps_separators_in_the_text(spark, sign):
         words = text.split(" ")
         assert tuple(frame.select(groups["one"], groups["two"], groups["three"]).first()) == (
             words[0], " ".join(words[1:-1]), words[-1])
+
+
+def test_geography_of_both_families_without_pairs(spark):
+    """Ranges of any width against the standard library, at both ends and in between."""
+    import ipaddress
+    import random
+
+    from tidewatch.operators.enrichment import geo_blocks, join_geo, network_ranges
+
+    rng = random.Random(3)
+    networks = ["15.0.0.0/8", "12.34.0.0/15", "13.1.2.0/25", "13.1.2.128/32", "16.0.0.0/6",
+                "2001:db8::/32", "2001:db9:8000::/33", "2a00::/12", "2001:dba:1:2::/64", "2001:dbb::/47"]
+    nets = [ipaddress.ip_network(n) for n in networks]
+    addresses = []
+    for net in nets:
+        first, last = int(net[0]), int(net[-1])
+        kind = type(net[0])
+        addresses += [str(kind(n)) for n in (first, last, first - 1, last + 1, rng.randint(first, last))]
+    blank = ", ".join(f"cast(null as {kind}) {name}" for name, kind in (
+        ("country_code", "string"), ("city", "string"), ("latitude", "double"), ("longitude", "double"),
+        ("timezone", "string")))
+    ranges = network_ranges(spark.createDataFrame([(n, n) for n in networks], "network string, country string")) \
+        .selectExpr("*", *blank.split(", "))
+    events = spark.createDataFrame([(a,) for a in addresses], "ip string")
+    got = {r.ip: r.place and r.place.country for r in join_geo(events, ranges, "ip", "place").collect()}
+    for text in addresses:
+        ip = ipaddress.ip_address(text)
+        want = next((str(name) for name, net in zip(networks, nets) if ip in net), None)
+        assert got[text] == want, text
+    odd = spark.createDataFrame([(1000003, 9000017, "x")], "start_ip bigint, end_ip bigint, country string")
+    covered = geo_blocks(odd).selectExpr("sum(shiftleft(1L, 24 - geo_level * 8)) n", "count(*) rows").first()
+    assert covered.n == 9000017 - 1000003 + 1 and covered.rows < 2048

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidewatch.session import work_dir
 from tidewatch.sources import tables as TB
 from tidewatch.operators.fields import EventFields
-from tidewatch.streaming.jobs import dedup_alerts, tumbling_counts
-from tidewatch.streaming.sinks import run_update, stream_files
+from tidewatch.streaming.jobs import dedup_alerts, score_batches, tumbling_counts
+from tidewatch.streaming.sinks import run_batches, run_update, stream_files
 
 START = datetime(2024, 1, 1)
 
@@ -27,6 +27,45 @@ def test_dedup_state_lasts_over_batches(spark, tmp_path):
         ("k", 0, 5), ("k", 61, 1), ("k", 130, 1), ("other", 0, 2), ("other", 130, 1)}
 
 
+@pytest.mark.parametrize("files", [[[0, 70], [30]], [[70, 130], [10, 30], [0, 131]], [[200], [100, 150], [0, 61, 120]]])
+def test_late_alerts_count_to_their_own_period(spark, tmp_path, files):
+    """Whatever order the files come in, the stream ends with the periods of the batch."""
+    for minutes in files:
+        rows = [("k", START + timedelta(minutes=m)) for m in minutes]
+        spark.createDataFrame(rows, "dedup_key string, triggered_at timestamp").coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "in"))
+    alerts = stream_files(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=1)
+    stored = run_update(dedup_alerts(alerts, 3600, delay="1 day"), "test-late")
+    last = stored.groupBy("dedup_key", "opened_at").agg(F.max_by("alert_count", "batch").alias("n")).filter("n > 0")
+    base = int((START - datetime(1970, 1, 1)).total_seconds())
+    want, opened = {}, None
+    for minute in sorted(m for minutes in files for m in minutes):
+        opened = minute if opened is None or minute >= opened + 60 else opened
+        want[opened] = want.get(opened, 0) + 1
+    assert {(r.opened_at - base) // 60: r.n for r in last.collect()} == want
+
+
+def test_each_batch_meets_the_scores_and_queues_the_rest(spark, tmp_path):
+    layout = ("event_id string, normalized struct<source_ip:string,destination_ip:string,metadata:map<string,string>>, "
+              "enrichment map<string,string>")
+    known = spark.createDataFrame([("ipv4", "8.8.8.8", True, 90)],
+                                  "type string, value string, is_malicious boolean, score int")
+    for name, ip in (("a", "8.8.8.8"), ("b", "9.9.9.9"), ("c", "10.0.0.1")):
+        spark.createDataFrame([(name, (ip, None, None), {"kept": "yes"})], layout).coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "in"))
+    envelopes = stream_files(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=1)
+
+    def store(enriched, queue, batch_id):
+        enriched.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={batch_id}"))
+        queue.write.mode("overwrite").parquet(str(tmp_path / f"queue/batch={batch_id}"))
+
+    run_batches(envelopes, score_batches(lambda: known, store), "test-scores")
+    rows = {r.event_id: r.enrichment for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows["b"] == rows["c"] == {"kept": "yes"}
+    assert rows["a"] == {"kept": "yes", "threat_intel": '{"source_ip":{"is_malicious":true,"score":90}}'}
+    assert [(r.event_id, r.value) for r in spark.read.parquet(str(tmp_path / "queue")).collect()] == [("b", "9.9.9.9")]
+
+
 def test_partitioned_table_prunes(spark, tmp_path):
     rows = spark.range(100).select(
         (F.lit(START).cast("timestamp") + F.make_interval(days=F.col("id").cast("int"))).alias("event_timestamp"),

@@ -48,15 +48,32 @@ def canonical_ipv6(ip: Column) -> Column:
     Expand to eight groups, drop leading zeros, then fold the longest run of
     zero groups. All of it is string functions, so no Python worker is needed.
     """
-    tail = F.regexp_extract(_lowered(ip), rf"({IPV4_LOOSE})$", 1)
-    undotted = F.when(tail == "", _lowered(ip)).otherwise(let(ipv4_to_long(tail), lambda n: F.concat(
-        F.regexp_replace(_lowered(ip), rf"{IPV4_LOOSE}$", ""),
-        F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535))))))
-    short = let(let(undotted, _eight_groups), _fold_zeros)
+    tail = _dotted_tail(ip)
+    short = let(let(_undotted(ip), _eight_groups), _fold_zeros)
     dotted = short.rlike(r"^::ffff:") & (tail != "")
     return F.when(is_ipv6(ip), F.when(dotted, F.concat(F.lit("::ffff:"), tail)).otherwise(short))
 
 
+def ipv6_high(ip: Column) -> Column:
+    """First 64 bits of an IPv6 address as BIGINT, null when malformed or from
+    8000:: up, where no address is public."""
+    groups = lambda text: F.split(_eight_groups(text), ":")
+    digits = let(let(_undotted(ip), groups), lambda g: F.concat(*[F.lpad(F.get(g, F.lit(i)), 4, "0") for i in range(4)]))
+    return F.when(is_ipv6(ip), F.conv(digits, 16, 10).try_cast("bigint"))
+
+
+def _dotted_tail(ip: Column) -> Column:
+    return F.regexp_extract(_lowered(ip), rf"({IPV4_LOOSE})$", 1)
+
+
+def _undotted(ip: Column) -> Column:
+    """The address with a dotted tail written as two groups."""
+    tail = _dotted_tail(ip)
+    return F.when(tail == "", _lowered(ip)).otherwise(let(ipv4_to_long(tail), lambda n: F.concat(
+        F.regexp_replace(_lowered(ip), rf"{IPV4_LOOSE}$", ""),
+        F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535))))))
+
+
 def _group_count(part: Column) -> Column:
     return F.when(part == "", F.lit(0)).otherwise(F.size(F.split(part, ":")))
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.basic import epoch_micros, floor_div
-from ..functions.ip import ipv4_to_long, is_private_ip
+from ..functions.basic import empty_map, epoch_micros, floor_div
+from ..functions.ip import ipv4_to_long, ipv6_high, is_private_ip
 from ..model import CRITICALITIES
+from .fields import merge_maps
+from .parsing import string_map
 
 ASSET_FIELDS = ["id", "name", "criticality", "owner", "asset_type", "tags"]
 
@@ -18,30 +20,83 @@ ASSET_FIELDS = ["id", "name", "criticality", "owner", "asset_type", "tags"]
 
 
 # ------------------------------------------------------------------- geography
-def geo_prefixes(ranges: DataFrame, bits: int = 16) -> DataFrame:
-    """Address ranges repeated for each leading-``bits`` block they touch.
-
-    Turns ``ip BETWEEN start AND end`` into an equality on the block plus a
-    check inside it, so the join hashes instead of comparing every pair.
+# Bits dropped from an address at each level: IPv4 /8 /16 /24 /32, and /16 /32 /48 /64 of IPv6,
+# whose addresses count by their first 64 bits.
+GEO_SHIFTS = {4: (24, 16, 8, 0), 6: (48, 32, 16, 0)}
+
+
+def network_ranges(networks: DataFrame, column: str = "network") -> DataFrame:
+    """Networks written as ``address/bits`` of either family, with ``family``,
+    ``start_ip`` and ``end_ip``. An IPv6 network longer than /64 is an error."""
+    address, bits = F.substring_index(column, "/", 1), F.substring_index(column, "/", -1).cast("int")
+    six = F.contains(F.col(column), F.lit(":"))
+    number = F.when(six, ipv6_high(address)).otherwise(ipv4_to_long(address))
+    size = F.when(six & (bits > 64), F.raise_error(F.concat(F.lit("network longer than /64: "), F.col(column)))
+                  .cast("bigint")) \
+        .otherwise(F.pow(F.lit(2.0), F.when(six, 64).otherwise(32) - bits).cast("bigint"))
+    return networks.withColumns({"family": F.when(six, 6).otherwise(4), "_size": size}) \
+        .withColumn("start_ip", floor_div(number, F.col("_size")) * F.col("_size")) \
+        .withColumn("end_ip", F.col("start_ip") + F.col("_size") - 1).drop("_size")
+
+
+def geo_blocks(ranges: DataFrame) -> DataFrame:
+    """Ranges cut into aligned blocks, one row per ``geo_level`` and ``geo_block``.
+
+    A block lies wholly inside its range, so ``ip BETWEEN start AND end`` is an
+    equality of level and block. A level adds what the coarser ones left over
+    at the two ends; no range takes more than two strides of rows a level.
     """
-    shift = 32 - bits
-    return ranges.withColumn("geo_block", F.explode(F.sequence(
-        F.shiftright("start_ip", shift), F.shiftright("end_ip", shift))))
+    mixed = "family" in ranges.columns
+    after = F.col("end_ip") + 1
+    parts = []
+    for number, shifts in GEO_SHIFTS.items() if mixed else [(4, GEO_SHIFTS[4])]:
+        for level, shift in enumerate(shifts):
+            first, last = _ceil_shift(F.col("start_ip"), shift), F.shiftright(after, shift)
+            if level == 0:
+                found = _blocks(first, last)
+            else:
+                wider = shifts[level - 1]
+                left, right = _ceil_shift(F.col("start_ip"), wider), F.shiftright(after, wider)
+                whole = left < right
+                found = F.concat(
+                    _blocks(first, F.when(whole, F.shiftleft(left, wider - shift)).otherwise(last)),
+                    F.when(whole, _blocks(F.shiftleft(right, wider - shift), last)).otherwise(_blocks(last, last)))
+            if mixed:
+                found = F.when(F.col("family") == number, found).otherwise(F.array().cast("array<bigint>"))
+            parts.append(F.transform(found, _at_level(level)))
+    return ranges.withColumn("geo_family", F.col("family") if mixed else F.lit(4)) \
+        .withColumn("_at", F.explode(F.concat(*parts))).select("*", "_at.*").drop("_at")
+
+
+def _at_level(level: int):
+    return lambda block: F.struct(F.lit(level).alias("geo_level"), block.alias("geo_block"))
+
+
+def _ceil_shift(value: Column, shift: int) -> Column:
+    return F.shiftright(value + ((1 << shift) - 1), shift)
+
+
+def _blocks(first: Column, after: Column) -> Column:
+    return F.when(first < after, F.sequence(first, after - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
 def join_geo(events: DataFrame, ranges: DataFrame, ip_column: str, output: str) -> DataFrame:
-    """Adds struct ``output`` with the location of ``ip_column``.
+    """Adds struct ``output`` with the location of ``ip_column``, of either family.
 
     Private addresses get a fixed record; an address outside every range gets
-    null. Ranges (BIGINT ``start_ip``..``end_ip``) must not overlap.
+    null. Ranges (BIGINT ``start_ip``..``end_ip``, and ``family`` where there are
+    IPv6 ones) must not overlap: then an address lies in one block at most, and
+    each of the four joins adds one row's match or none.
     """
     ip, private = F.col(ip_column), F.col("_private")
-    keyed = events.withColumn("_private", is_private_ip(ip)) \
-        .withColumn("_ip", F.when(~private, ipv4_to_long(ip))).withColumn("_block", F.coalesce(
-            # Rows without a block of their own are dealt out over blocks that no range has.
-            F.shiftright("_ip", 16), -1 - F.pmod(F.xxhash64(ip), F.lit(4096))))
-    lookup = geo_prefixes(ranges).select(
-        "geo_block", "start_ip", "end_ip",
+    number, family = ipv4_to_long(ip), F.lit(4)
+    if "family" in ranges.columns:
+        six = F.contains(ip, F.lit(":"))
+        number, family = F.when(six, ipv6_high(ip)).otherwise(number), F.when(six, 6).otherwise(4)
+    located = events.withColumn("_private", is_private_ip(ip)) \
+        .withColumns({"_family": family, "_ip": F.when(~private, number)})
+    lookup = geo_blocks(ranges).select(
+        "geo_family", "geo_level", "geo_block",
         F.struct(
             F.coalesce("country", F.lit("Unknown")).alias("country"),
             F.coalesce("country_code", F.lit("XX")).alias("country_code"),
@@ -49,15 +104,23 @@ def join_geo(events: DataFrame, ranges: DataFrame, ip_column: str, output: str)
             F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"),
             F.coalesce("timezone", F.lit("UTC")).alias("timezone"), F.lit(False).alias("is_private"),
         ).alias("_geo"))
-    located = keyed.join(
-        lookup, (F.col("_block") == F.col("geo_block")) & F.col("_ip").between(F.col("start_ip"), F.col("end_ip")),
-        "left")
+    # Rows without a block of their own are dealt out over blocks that no range has.
+    nowhere = -1 - F.pmod(F.xxhash64(ip), F.lit(4096))
+    found = []
+    for level, (four, six_bits) in enumerate(zip(*GEO_SHIFTS.values())):
+        block = F.when(F.col("_family") == 6, F.shiftright("_ip", six_bits)).otherwise(F.shiftright("_ip", four))
+        side = lookup.filter(F.col("geo_level") == level).select(
+            F.col("geo_family").alias("_side"), F.col("geo_block").alias("_at"), F.col("_geo").alias(f"_geo_{level}"))
+        located = located.withColumn("_block", F.coalesce(block, nowhere)) \
+            .join(side, (F.col("_family") == F.col("_side")) & (F.col("_block") == F.col("_at")), "left") \
+            .drop("_block", "_side", "_at")
+        found.append(f"_geo_{level}")
     fixed = F.struct(
         F.lit("Private").alias("country"), F.lit("PR").alias("country_code"), F.lit("Private Network").alias("city"),
         F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
         F.lit(None).cast("string").alias("timezone"), F.lit(True).alias("is_private"))
-    return located.withColumn(output, F.when(private, fixed).otherwise(F.col("_geo"))) \
-        .drop("_private", "_ip", "_block", "geo_block", "start_ip", "end_ip", "_geo")
+    return located.withColumn(output, F.when(private, fixed).otherwise(F.coalesce(*found))) \
+        .drop("_private", "_family", "_ip", *found)
 
 
 # ---------------------------------------------------------------------- assets
@@ -146,3 +209,22 @@ def join_packet_names(packets: DataFrame, names: DataFrame, within_seconds: int
         & (F.col("_cell") == F.col("_name_cell")) & (F.abs(F.col("_at") - F.col("_name_at")) < reach),
         "left",
     ).drop("_at", "_cell", "_src", "_dst", "_name_at", "_name_cell")
+
+
+# ------------------------------------------------------------------ on the event
+# The keys under which enrichments travel with an event.
+GEO_KEYS = {"source_geo": "source_geo", "destination_geo": "dest_geo"}
+GEO_JSON = ("struct<country:string,countryCode:string,city:string,lat:double,lon:double,timezone:string,"
+            "isPrivate:boolean>")
+ASSET_KEYS = {"source_asset": "source_asset", "destination_asset": "destination_asset"}
+
+
+def write_enrichment(events: DataFrame, parts: dict[str, str], enrichment: str = "enrichment") -> DataFrame:
+    """The struct or map columns of ``parts`` as JSON in the ``enrichment`` map, so that
+    they travel with the event; absent ones leave no key."""
+    body = lambda column: F.col(column).cast(GEO_JSON) if column in GEO_KEYS else F.col(column)
+    present = {key: F.to_json(body(column)) for column, key in parts.items() if column in events.columns}
+    if not present:
+        return events
+    return events.withColumn(enrichment, merge_maps(F.coalesce(enrichment, empty_map()), string_map(present))) \
+        .drop(*[column for column in parts if column in events.columns])

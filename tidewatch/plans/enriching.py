@@ -42,6 +42,31 @@ def join_geo(t: Tables):
         for side in ("source", "destination") for field in ("country", "city", "latitude")])
 
 
+@query("join_geo_networks", with_views("""
+    SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'Private' WHEN event_id % 4 = 1 AND user_id % 9 = 0 THEN NULL
+      ELSE w.country END AS country, w.city
+    FROM sec_events LEFT JOIN (SELECT s_suppkey, concat('Country ', s_nationkey) AS country, concat('City ', s_suppkey) AS city
+      FROM supplier) w ON event_id % 4 > 0 AND NOT (event_id % 4 = 1 AND user_id % 9 = 0) AND w.s_suppkey = user_id % 13""",
+    "sec_events"))
+def join_geo_networks(t: Tables):
+    """Networks of both families, some wide and some narrow, against addresses in various spellings."""
+    key = F.col("s_suppkey")
+    networks = t.raw("supplier").select(
+        F.explode(F.array(F.concat(F.lit("2001:DB8:"), F.lower(F.hex(key)), F.lit("00::/"), 40 + key % 5),
+                          F.concat(F.lit("11."), key.cast("string"), F.lit(".0.0/"), 16 + key % 3))).alias("network"),
+        key.alias("k"), F.concat(F.lit("Country "), "s_nationkey").alias("country"),
+        F.concat(F.lit("City "), key).alias("city")).filter("k < 13") \
+        .withColumns({"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double"),
+                      "country_code": F.lit(None).cast("string"), "timezone": F.lit(None).cast("string")})
+    user = F.col("user_id") % 13
+    address = F.when(F.col("event_id") % 4 == 0, F.lit("FD00::1")) \
+        .when((F.col("event_id") % 4 == 1) & (F.col("user_id") % 9 == 0), F.lit("2003::9")) \
+        .when(F.col("event_id") % 4 == 1, F.concat(F.lit("2001:0db8:"), F.hex(user), F.lit("00::"), F.hex(F.col("event_id") % 65536))) \
+        .otherwise(F.concat(F.lit("11."), user.cast("string"), F.lit(".1."), F.col("event_id") % 256))
+    located = E.join_geo(t.spread_events.withColumn("address", address), E.network_ranges(networks), "address", "place")
+    return located.select("event_id", "place.country", F.when(~F.col("place.is_private"), F.col("place.city")).alias("city"))
+
+
 _ASSET_KEYS = """asset_keys AS (SELECT * FROM (
       SELECT ip_address AS k, 0 AS way, * FROM assets UNION ALL SELECT lower(hostname), 1, * FROM assets)
     QUALIFY row_number() OVER (PARTITION BY k ORDER BY way, updated_at DESC, id DESC) = 1)"""

@@ -20,7 +20,7 @@ from ..streaming.sinks import run_append, run_update, stream_files
 from .bindings import Tables, views, with_metadata, with_views
 from .catalog import query
 from .correlating import ANSWERS, V2_LOGINS, _AUTH, _NET, _WINDOWED, periods_sql
-from .enriching import PACKETS_SQL, names_of, packets_of
+from .enriching import PACKETS_SQL, _ASSET_KEYS, _LONG, names_of, packets_of, private_sql
 from .parsing_logs import ROUTED_SQL, _PARSED_CTE, envelopes
 from .alerting import _POINTS
 from .predicates import RULE_MATCH_CTE, compiled_rules
@@ -70,10 +70,24 @@ def normalized_stream(t: Tables):
 _ROUTED = _PARSED_CTE + ", " + ROUTED_SQL
 
 
-@query("stream_ingest", with_views("SELECT event_id, event_type, source_ip FROM routed", "sec_events", ctes=_ROUTED))
+@query("stream_ingest", with_views(f"""
+    SELECT event_id, event_type, source_ip, CASE WHEN octets[1] IS NULL THEN NULL
+        WHEN {private_sql('source_ip').replace('CAST', 'TRY_CAST')} THEN 'Private' ELSE g.country END AS source_country,
+      a.name AS source_asset, a.criticality AS source_criticality
+    FROM (SELECT *, list_transform(string_split(source_ip, '.'), lambda o: TRY_CAST(o AS BIGINT)) AS octets FROM routed) r
+    LEFT JOIN geo_ranges g ON NOT {private_sql('source_ip').replace('CAST', 'TRY_CAST')}
+      AND {_LONG.format('source_ip').replace('CAST', 'TRY_CAST')} BETWEEN g.start_ip AND g.end_ip
+    LEFT JOIN asset_keys a ON a.k = lower(source_ip)""", "sec_events", "geo_ranges", "assets",
+    ctes=_ROUTED + ", " + _ASSET_KEYS))
 def stream_ingest(t: Tables):
-    stored = run_append(normalized_stream(t).select("event_id", "normalized", "source_geo", "source_asset"), "ingest")
-    return stored.select("event_id", "normalized.event_type", "normalized.source_ip")
+    """Normalized events published with place and asset in their enrichment, and read back."""
+    stored = run_append(EN.encode_envelopes(normalized_stream(t)), "ingest")
+    body = lambda key, path: F.get_json_object(F.get_json_object("value", f"$.enrichment.{key}"), path)
+    return stored.select(
+        F.col("key").alias("event_id"), F.get_json_object("value", "$.normalized.eventType").alias("event_type"),
+        F.coalesce(F.get_json_object("value", "$.normalized.sourceIp"), F.lit("")).alias("source_ip"),
+        body("source_geo", "$.country").alias("source_country"), body("source_asset", "$.name").alias("source_asset"),
+        body("source_asset", "$.criticality").alias("source_criticality"))
 
 
 @query("flatten_events", with_views("""
@@ -146,7 +160,8 @@ def stream_dedup_alerts(t: Tables):
         dedup_key(F.lit("stream"), F.col("source_ip"), F.lit(None).cast("string")).alias("dedup_key"),
         F.col("ts").alias("triggered_at"))
     stored = run_update(J.dedup_alerts(alerts, 86400), "dedup")
-    return stored.groupBy("dedup_key", "opened_at").agg(F.max("alert_count").alias("alert_count"))
+    return stored.groupBy("dedup_key", "opened_at").agg(F.max_by("alert_count", "batch").alias("alert_count")) \
+        .filter("alert_count > 0")
 
 
 @query("stream_user_risk", with_views(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +12,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.basic import epoch_seconds
 from ..operators.correlation import group_key, having_column, measure, v2_having, v2_value, window_seconds
-from ..operators.enrichment import join_assets, join_geo
+from ..operators.enrichment import ASSET_KEYS, GEO_KEYS, join_assets, join_geo, write_enrichment
 from ..operators.fields import EventFields
 from ..operators.parsing import normalize_envelopes
 from ..operators.risk import USER_RISK_CAP, USER_RISK_DAYS
 from ..operators.rules import CompiledRule, match_rules, v2_group_value, v2_match
+from ..operators.threat_intel import extract_indicators, join_scores, lookup_queue
 
 DEFAULT_DELAY = "10 minutes"
 
@@ -24,8 +25,8 @@ DEFAULT_DELAY = "10 minutes"
 # ---------------------------------------------------------------------- ingest
 def ingest(raw: DataFrame, ranges: DataFrame | None = None, assets: DataFrame | None = None,
            delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Raw envelopes to normalized, located, asset-tagged envelopes. Repeats of
-    an event id inside the watermark are dropped."""
+    """Raw envelopes to normalized envelopes with places and assets in their
+    ``enrichment``. Repeats of an event id inside the watermark are dropped."""
     fresh = raw.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["event_id"])
     events = normalize_envelopes(fresh).withColumns({
         "source_ip": F.col("normalized.source_ip"), "destination_ip": F.col("normalized.destination_ip")})
@@ -34,7 +35,30 @@ def ingest(raw: DataFrame, ranges: DataFrame | None = None, assets: DataFrame |
         events = join_geo(events, ranges, "destination_ip", "destination_geo")
     if assets is not None:
         events = join_assets(events, assets)
-    return events.drop("source_ip", "destination_ip")
+    return write_enrichment(events, GEO_KEYS | ASSET_KEYS).drop("source_ip", "destination_ip")
+
+
+def attach_scores(envelopes: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A batch of normalized envelopes with the known reputation scores of their
+    indicators in ``enrichment``, and the indicators still to be looked up."""
+    indicators = extract_indicators(envelopes.select(
+        "event_id", "normalized.source_ip", "normalized.destination_ip", "normalized.metadata"))
+    scored = envelopes.join(join_scores(indicators, scores), "event_id", "left")
+    return write_enrichment(scored, {"threat_intel": "threat_intel"}), lookup_queue(indicators, scores)
+
+
+def score_batches(scores: Callable[[], DataFrame],
+                  store: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Body of a foreachBatch after ``ingest``: every batch meets the scores of its
+    own time; ``store`` gets enriched envelopes, the lookup queue and the batch number."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            enriched, queue = attach_scores(kept, scores())
+            store(enriched, queue, batch_id)
+        finally:
+            kept.unpersist()
+    return body
 
 
 def rule_alerts(events: DataFrame, rules: list[CompiledRule]) -> DataFrame:
@@ -94,36 +118,57 @@ DEDUP_OUTPUT = T.StructType([
 
 
 class DedupPeriods(StatefulProcessor):
-    """Open period of one dedup key: start, last sighting, count. A timer clears
-    it when the period has passed."""
+    """Periods of one dedup key, equal to those of a batch whatever the order of
+    arrival. Up to the watermark all is settled and only the open period is held;
+    seconds after it may still get earlier company, so they are held as counts,
+    one per second of the delay, and their periods are worked out anew."""
 
     def __init__(self, ttl_seconds: int):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.period = handle.getValueState("period", "opened_at long, last_at long, n long")
+        self.state = handle.getValueState(
+            "periods", "opened long, last_at long, n long, seconds array<long>, counts array<long>")
+
+    def periods(self, settled: tuple | None, seconds: dict[int, int]) -> list[tuple]:
+        """(opened, last, n) in order: the settled period as it goes on, then those after it."""
+        found = [settled] if settled else []
+        for second in sorted(seconds):
+            if not found or second >= found[-1][0] + self.ttl:
+                found.append((second, second, 0))
+            opened, last, n = found[-1]
+            found[-1] = (opened, max(last, second), n + seconds[second])
+        return found
+
+    def held(self) -> tuple[tuple | None, dict[int, int]]:
+        if not self.state.exists():
+            return None, {}
+        opened, last, n, seconds, counts = self.state.get()
+        return None if opened is None else (opened, last, n), dict(zip(seconds, counts))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.period.get() if self.period.exists() else None
-        opened, last, count = held if held is not None else (None, 0, 0)
-        touched = {}
-        # One row per second of this key and batch, thanks to combine_seconds.
-        seconds = pd.concat(list(rows)).groupby("sec", sort=True)["n"].sum()
-        for second, n in seconds.items():
-            if opened is None or second >= opened + self.ttl:
-                opened, last, count = int(second), int(second), 0
-            last, count = max(last, int(second)), count + int(n)
-            touched[opened] = (last, count)
-        self.period.update((opened, last, count))
-        self.handle.registerTimer((opened + self.ttl) * 1000)
-        yield pd.DataFrame([(key[0], start, end, n) for start, (end, n) in touched.items()],
-                           columns=DEDUP_OUTPUT.fieldNames())
+        settled, waiting = self.held()
+        before = {period[0]: period for period in self.periods(settled, waiting)}
+        for batch in rows:
+            for second, n in batch.groupby("sec")["n"].sum().items():
+                waiting[int(second)] = waiting.get(int(second), 0) + int(n)
+        now = {period[0]: period for period in self.periods(settled, waiting)}
+        self.handle.registerTimer((max(waiting) + self.ttl) * 1000)
+        passed = {s: n for s, n in waiting.items() if s * 1000 <= timerValues.getCurrentWatermarkInMs()}
+        settled = next(reversed(self.periods(settled, passed)), None)
+        waiting = {s: n for s, n in waiting.items() if s not in passed}
+        self.state.update((*(settled or (None, None, None)), list(waiting), list(waiting.values())))
+        # A period that an earlier alert has moved comes once more, with no alerts.
+        gone = [(opened, opened, 0) for opened in before.keys() - now.keys()]
+        changed = [period for opened, period in now.items() if before.get(opened) != period]
+        yield pd.DataFrame([(key[0], *period) for period in gone + changed], columns=DEDUP_OUTPUT.fieldNames())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.period.get() if self.period.exists() else None
-        if held is not None and (held[0] + self.ttl) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.period.clear()
+        settled, waiting = self.held()
+        newest = max([*waiting, settled[0] if settled else 0])
+        if (newest + self.ttl) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
         return iter([])
 
     def close(self) -> None:
@@ -140,7 +185,8 @@ def combine_seconds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def dedup_alerts(alerts: DataFrame, ttl_seconds: int, ts: str = "triggered_at",
                  delay: str = DEFAULT_DELAY) -> DataFrame:
     """Dedup periods over an alert stream, for update mode: each batch gives the
-    periods it touched with their count so far."""
+    periods it changed with their count so far. The last word on a period counts;
+    one that ends with no alerts was moved by an alert that came late."""
     second = F.date_trunc("second", F.col(ts)).cast("timestamp")
     combined = alerts.select("dedup_key", second.alias("ts"), epoch_seconds(F.col(ts)).alias("sec"),
                              F.lit(1).cast("bigint").alias("n")) \
