@@ -59,8 +59,10 @@ def alert_context(event_columns: list[str], normalized_columns: list[str], metad
 
 
 def create_alerts(matches: DataFrame, ts: str = "ts", source_rank: Column | None = None,
-                  destination_rank: Column | None = None, source: str = "source_ip") -> DataFrame:
-    """One new alert per (event, rule) match from ``match_rules``."""
+                  destination_rank: Column | None = None, source: str = "source_ip",
+                  context: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One new alert per (event, rule) match from ``match_rules``. ``context`` is stored with it,
+    ``keep`` names columns of the event to carry on, for scoring."""
     nothing = F.lit(None).cast("int")
     return matches.select(
         alert_id(F.col("rule_id"), F.col("event_id")).alias("alert_id"), "rule_id", "rule_name",
@@ -69,9 +71,29 @@ def create_alerts(matches: DataFrame, ts: str = "ts", source_rank: Column | None
         F.lit("new").alias("status"), F.col(ts).alias("triggered_at"), F.col(source).alias("source"),
         F.col("destination_ip").alias("destination"), "event_id",
         dedup_key(F.col("rule_id"), F.col(source), F.col("destination_ip")).alias("dedup_key"),
+        F.col(ts).alias("created_at"), F.col(ts).alias("updated_at"),
+        (F.lit(None).cast("string") if context is None else context).alias("context"),
+        F.lit(None).cast("bigint").alias("aggregation_count"), F.lit(None).cast("double").alias("aggregated_value"),
+        *keep,
     )
 
 
+def create_group_alerts(groups: DataFrame, source: str | None = None, destination: str | None = None) -> DataFrame:
+    """One new alert per satisfied group of ``aggregate_rule``, with the same columns. It is
+    triggered by the group's last event; ``source`` and ``destination`` name group columns."""
+    nothing = F.lit(None).cast("string")
+    origin = F.col("group_key") if source is None else F.col(source)
+    target = nothing if destination is None else F.col(destination)
+    return groups.select(
+        alert_id(F.col("rule_id"), F.concat_ws("|", F.col("group_key"), F.col("first_event_id").cast("string")))
+        .alias("alert_id"), "rule_id", "rule_name", "severity", F.lit("new").alias("status"),
+        F.col("last_seen").alias("triggered_at"), origin.alias("source"), target.alias("destination"),
+        F.col("first_event_id").alias("event_id"), dedup_key(F.col("rule_id"), origin, target).alias("dedup_key"),
+        F.col("last_seen").alias("created_at"), F.col("last_seen").alias("updated_at"),
+        F.to_json(F.struct("group_key", "first_seen", "last_seen")).alias("context"),
+        F.col("event_count").alias("aggregation_count"), F.col("aggregated_value").cast("double").alias("aggregated_value"))
+
+
 def deduplicate(alerts: DataFrame, ttl_seconds: int = DEDUP_SECONDS) -> DataFrame:
     """One alert per dedup key and period. The first alert of a key opens a
     fixed period; later ones in it only raise its count and last sighting."""
@@ -315,6 +337,17 @@ def alert_page(alerts: DataFrame, page: int, size: int, severity: str | None = N
         .withColumn("total_pages", F.ceil(F.col("total_count") / size).cast("bigint"))
 
 
+def alerts_after(alerts: DataFrame, size: int, after: tuple[Column, str | int] | None = None,
+                 severity: str | None = None) -> DataFrame:
+    """The ``size`` newest alerts that follow a known (triggered_at, alert_id): each task keeps
+    ``size`` rows however deep the page lies."""
+    found = alerts.filter(F.col("severity") == severity.lower()) if severity else alerts
+    if after is not None:
+        at, last = after
+        found = found.filter((F.col("triggered_at") <= at) & ((F.col("triggered_at") < at) | (F.col("alert_id") > last)))
+    return found.orderBy(F.desc("triggered_at"), "alert_id").limit(max(size, 1))
+
+
 def get_alert(alerts: DataFrame, alert_id: str | int | None = None, dedup_key: str | None = None) -> DataFrame:
     if alert_id is not None:
         return alerts.filter(F.col("alert_id") == alert_id)

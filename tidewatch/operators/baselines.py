@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 MIN_SAMPLES = 3
 Z_THRESHOLD = 2.5
 Z_CEILING = 5.0
+BASELINE_HOURS = 25  # a stored baseline answers for so long
 
 METRICS = ["user_hour", "user_host_conn", "user_host_ports"]
 
@@ -88,6 +89,34 @@ def baseline_snapshot(events: DataFrame, as_of: Column, days: int = 7, ts: str =
     ).withColumns({"calculated_at": as_of, "window_days": F.lit(days)})
 
 
+def host_baselines(events: DataFrame, as_of: Column, days: int = 7, ts: str = "ts") -> DataFrame:
+    """Connection and port baselines of each user and host side by side, from one
+    pass and one fold of the hours: ``conn_*`` and ``ports_*``, null where there
+    are too few samples."""
+    hourly = (
+        recent_named(events, as_of, days, ts).filter(F.col("hostname") != "")
+        .groupBy("username", "hostname", F.date_trunc("hour", ts).alias("hour_start"),
+                 F.when(F.col("destination_port") > 0, F.col("destination_port")).alias("port"))
+        .agg(F.count("*").alias("n"))
+        .groupBy("username", "hostname", "hour_start")
+        .agg(F.sum("n").alias("conn"), F.nullif(F.count("port"), F.lit(0)).alias("ports"))
+    )
+    described = hourly.groupBy("username", "hostname").agg(*[part for name in ("conn", "ports") for part in (
+        F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_stddev"), F.count(name).alias(f"{name}_n"))])
+    return described.select("username", "hostname", *[
+        F.when(F.col(f"{name}_n") >= MIN_SAMPLES, F.col(f"{name}_{part}")).alias(f"{name}_{part}")
+        for name in ("conn", "ports") for part in ("mean", "stddev")])
+
+
+def valid_baseline(snapshots: DataFrame, as_of: Column, hours: int = BASELINE_HOURS) -> DataFrame:
+    """Newest snapshot of each baseline at a time, unless it has outlived its ``hours``."""
+    keys = ["metric_type", "username", "hostname", "hour_of_day"]
+    alive = snapshots.filter((F.col("calculated_at") > as_of - F.make_interval(hours=F.lit(hours)))
+                             & (F.col("calculated_at") <= as_of))
+    newest = Window.partitionBy(*keys).orderBy(F.desc("calculated_at"), F.desc("mean"))
+    return alive.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank")
+
+
 def latest_baseline(snapshots: DataFrame) -> DataFrame:
     """Newest snapshot per metric, user, host, hour and calculation date."""
     keys = ["metric_type", "username", "hostname", "hour_of_day", "calc_date"]
@@ -113,7 +142,11 @@ def anomaly_score(z: Column) -> Column:
 def score_against(observed: DataFrame, baseline: DataFrame, keys: list[str], current: Column) -> DataFrame:
     """Observed values with their baseline, z-score, verdict and score. Without
     a baseline there is no anomaly."""
-    joined = observed.join(baseline.select(*keys, "mean", "stddev"), keys, "left")
+    return scored(observed.join(baseline.select(*keys, "mean", "stddev"), keys, "left"), current)
+
+
+def scored(joined: DataFrame, current: Column) -> DataFrame:
+    """Verdict and score of rows that carry their ``mean`` and ``stddev``, or nulls."""
     z = F.coalesce(z_score(current, F.col("mean"), F.col("stddev")), F.lit(0.0))
     return joined.withColumn("z_score", z).withColumns({
         "is_anomalous": (F.abs("z_score") >= Z_THRESHOLD) & F.col("mean").isNotNull(),
@@ -158,13 +191,14 @@ def port_anomalies(events: DataFrame, baseline: DataFrame, ts: str = "ts",
     return score_against(observed, baseline, ["username", "hostname"], current)
 
 
-def combined_anomalies(observed: DataFrame, user_hour: DataFrame, connections: DataFrame,
-                       ports: DataFrame, constant: float | None = None) -> DataFrame:
+def combined_anomalies(observed: DataFrame, user_hour: DataFrame, hosts: DataFrame,
+                       constant: float | None = None) -> DataFrame:
     """One verdict per user, host and clock hour out of the three checks.
 
     The highest score leads (first of hourly, connections, ports on a tie) and
     the reasons of all failed checks are joined. ``observed`` comes from
-    ``hourly_observations``; each event of that hour shares its verdict.
+    ``hourly_observations``, ``hosts`` from ``host_baselines``, joined once for
+    both of its checks; each event of that hour shares its verdict.
     """
     value = lambda column: F.lit(constant) if constant is not None else F.col(column).cast("double")
     per_user = observed.groupBy("username", "hour_start").agg(F.sum("events").alias("user_events")) \
@@ -175,11 +209,13 @@ def combined_anomalies(observed: DataFrame, user_hour: DataFrame, connections: D
         .select("username", "hour_start", _check(0, hour_label, hour_note).alias("check_0"))
     joined = observed.join(checked, ["username", "hour_start"], "left")
     whose = F.concat(F.col("username"), F.lit("@"), F.col("hostname"))
-    for position, table, column, label in (
-            (1, connections, "events", F.concat(F.lit("Connection count from "), whose)),
-            (2, ports, "ports", F.concat(F.lit("Unique destination ports for "), whose))):
+    joined = joined.join(hosts, ["username", "hostname"], "left")
+    for position, name, column, label in (
+            (1, "conn", "events", F.concat(F.lit("Connection count from "), whose)),
+            (2, "ports", "ports", F.concat(F.lit("Unique destination ports for "), whose))):
         usable = (F.col("hostname") != "") & (F.col(column) > 0)
-        joined = score_against(joined, table, ["username", "hostname"], value(column)) \
+        described = joined.withColumns({"mean": F.col(f"{name}_mean"), "stddev": F.col(f"{name}_stddev")})
+        joined = scored(described, value(column)) \
             .withColumn(f"check_{position}", F.when(usable, _check(position, label, F.lit("")))) \
             .drop("mean", "stddev", "z_score", "is_anomalous", "score")
     failed = F.filter(F.array("check_0", "check_1", "check_2"), lambda c: c.isNotNull() & c["bad"])

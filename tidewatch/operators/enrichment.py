@@ -226,5 +226,6 @@ def write_enrichment(events: DataFrame, parts: dict[str, str], enrichment: str =
     present = {key: F.to_json(body(column)) for column, key in parts.items() if column in events.columns}
     if not present:
         return events
-    return events.withColumn(enrichment, merge_maps(F.coalesce(enrichment, empty_map()), string_map(present))) \
+    carried = F.coalesce(enrichment, empty_map()) if enrichment in events.columns else empty_map()
+    return events.withColumn(enrichment, merge_maps(carried, string_map(present))) \
         .drop(*[column for column in parts if column in events.columns])

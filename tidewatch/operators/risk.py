@@ -163,6 +163,16 @@ def anomaly_from_enrichment(enrichment: Column) -> Column:
     return F.coalesce(F.try_element_at(enrichment, F.lit("anomaly_score")).try_cast("double"), F.lit(0.0))
 
 
+def read_enrichment(alerts: DataFrame, enrichment: str = "enrichment") -> DataFrame:
+    """What ``score_alerts`` needs, but for the user's score, out of what the event carries."""
+    criticality, name = asset_from_enrichment(F.col(enrichment))
+    return alerts.withColumns({
+        "criticality": criticality, "asset_name": name, "_threat": threat_from_enrichment(F.col(enrichment)),
+        "anomaly": anomaly_from_enrichment(F.col(enrichment)),
+    }).withColumns({"threat_score": F.col("_threat.score"),
+                    "is_malicious": F.coalesce("_threat.is_malicious", F.lit(False))}).drop("_threat")
+
+
 # ----------------------------------------------------------------- user profiles
 def risk_points(event_type: Column) -> Column:
     return case_map(F.lower(event_type), USER_RISK_POINTS, 1.0)

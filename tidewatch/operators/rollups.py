@@ -142,6 +142,36 @@ def event_rates(events: DataFrame, step: str = "5 minutes", seconds: int = 300,
         (F.coalesce("errors", F.lit(0)) / F.col("events")).alias("error_share"))
 
 
+def trailing_rates(rates: DataFrame, steps: int = 3, seconds: int = 300) -> DataFrame:
+    """Adds the rate and error share over the last ``steps`` steps (15 minutes of
+    5-minute ones). Every step is sent to those that still see it; nothing is ordered."""
+    reach = F.sequence(F.lit(0), F.lit(steps - 1))
+    errors = F.coalesce(F.col("error_share") * F.col("events"), F.lit(0.0))
+    seen = rates.select("events", errors.alias("_errors"), F.col("step_start").alias("_from"), F.explode(reach).alias("_i")) \
+        .groupBy((F.col("_from") + F.make_interval(secs=F.col("_i") * seconds)).alias("step_start")) \
+        .agg(F.sum("events").alias("_events"), F.sum("_errors").alias("_errors"))
+    return rates.join(seen, "step_start").withColumns({
+        "trailing_rate": F.col("_events") / (steps * seconds),
+        "trailing_error_share": F.when(F.col("_events") > 0, F.col("_errors") / F.col("_events"))}).drop("_events", "_errors")
+
+
+def held_above(rates: DataFrame, value: str, ceiling: float, for_seconds: int, seconds: int = 60) -> DataFrame:
+    """Runs of neighbouring steps whose ``value`` stays above a ceiling for ``for_seconds`` or more.
+
+    A step opens a run if the one before is not above, and closes one likewise;
+    both are found by an equality join, and only the openings and closings,
+    paired by their rank, are put in order.
+    """
+    high = rates.filter(F.col(value) > ceiling).select("step_start")
+    moved = lambda by: high.select((F.col("step_start") + F.make_interval(secs=F.lit(by))).alias("step_start"))
+    nth = F.row_number().over(Window.orderBy("step_start"))
+    opens = high.join(moved(seconds), "step_start", "left_anti").select(nth.alias("_nth"), F.col("step_start").alias("held_from"))
+    closes = high.join(moved(-seconds), "step_start", "left_anti").select(
+        nth.alias("_nth"), (F.col("step_start") + F.make_interval(secs=F.lit(seconds))).alias("held_until"))
+    return opens.join(closes, "_nth").drop("_nth") \
+        .filter(epoch_seconds(F.col("held_until")) - epoch_seconds(F.col("held_from")) >= for_seconds)
+
+
 def silent_stretches(events: DataFrame, step: str = "5 minutes", step_seconds: int = 300,
                      for_seconds: int = 600, ts: str = "ts") -> DataFrame:
     """Runs of empty steps of ``for_seconds`` or more between two busy steps."""
@@ -155,11 +185,28 @@ def silent_stretches(events: DataFrame, step: str = "5 minutes", step_seconds: i
 
 def latency_percentiles(samples: DataFrame, service: str, value: str, ts: str = "ts", step: str = "5 minutes",
                         exact: bool = True) -> DataFrame:
-    """p50, p95 and p99 per service and step. ``exact`` keeps value counts; the
-    approximate form keeps a fixed-size summary per group."""
-    quantile = (lambda p: F.percentile(value, p)) if exact else (lambda p: F.percentile_approx(value, p, 10000))
-    return samples.groupBy(F.col(service).alias("service"), F.window(F.col(ts), step)["start"].alias("step_start")) \
-        .agg(*[quantile(p).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    """p50, p95 and p99 per service and step, between neighbours in proportion.
+    The exact form counts each value once and walks the counts in order, a sort
+    that can spill; the approximate one keeps a fixed-size summary per group."""
+    points = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    start = F.window(F.col(ts), step)["start"].alias("step_start")
+    groups = ["service", "step_start"]
+    if not exact:
+        return samples.groupBy(F.col(service).alias("service"), start) \
+            .agg(*[F.percentile_approx(value, p, 10000).alias(name) for name, p in points])
+    counted = samples.groupBy(F.col(service).alias("service"), start, F.col(value).cast("double").alias("_value")) \
+        .agg(F.count(value).alias("_n"))
+    sizes = counted.groupBy(*groups).agg(F.sum("_n").alias("_size"))
+    in_order = Window.partitionBy(*groups).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("_upto", F.sum("_n").over(in_order)).join(sizes, groups)
+    place = lambda p: (F.col("_size") - 1) * F.lit(p)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_value")))
+    found = placed.groupBy(*groups, "_size").agg(*[
+        at(whole(place(p))).alias(f"_{name}_{side}") for name, p in points
+        for side, whole in (("low", F.floor), ("high", F.ceil))])
+    between = lambda name, p: F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) \
+        * (place(p) - F.floor(place(p)))
+    return found.select(*groups, *[between(name, p).alias(name) for name, p in points])
 
 
 # ------------------------------------------------------------------- retention

@@ -203,22 +203,36 @@ def daily_quota(calls: DataFrame, quota: int, ts: str = "ts", tiebreak: str = "e
 
 def merge_scores(results: DataFrame, keys: list[str]) -> DataFrame:
     """One score per indicator out of all provider answers: highest score, any
-    malicious verdict, case-blind union of feeds and provider names, newest
-    sighting. Everything but the feeds is a fixed-size partial aggregate and
-    feeds are made distinct before they are gathered."""
-    totals = results.groupBy(*keys).agg(
+    malicious verdict, newest sighting, details by provider, and how many feeds
+    and providers name it, case-blind. The names themselves are outside input
+    without a bound and stay rows: ``merged_feeds``. The answers are read once
+    and folded to one row per name before an indicator's are brought together."""
+    folded = _named_by(results, keys, ["score", "is_malicious", "last_seen", "details"]) \
+        .groupBy(*keys, "_folded", "_own").agg(
+            F.max("score").alias("score"), F.max("is_malicious").alias("is_malicious"),
+            F.max("last_seen").alias("last_seen"), F.max(F.when(F.col("_own").isNotNull(), F.col("details"))).alias("_text"))
+    detail = F.when(F.col("_text").isNotNull(), F.struct(F.col("_own").alias("provider"), F.col("_text").alias("details")))
+    return folded.groupBy(*keys).agg(
         F.max("score").alias("score"),
         (F.max("is_malicious") | (F.max("score") >= MALICIOUS_SCORE)).alias("is_malicious"),
-        F.max("last_seen").alias("last_seen"))
-    named = results.select(*keys, F.explode(F.array_append(
-        F.coalesce("feeds", F.array().cast("array<string>")), F.col("provider"))).alias("feed"))
-    feeds = named.groupBy(*keys, F.lower("feed").alias("_folded")).agg(F.min("feed").alias("feed")) \
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("feed")).alias("feeds"))
-    details = results.filter("details is not null").groupBy(*keys, "provider").agg(F.max("details").alias("details")) \
-        .groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "details")))).alias(
-            "details"))
-    return totals.join(feeds, keys, "left").join(details, keys, "left") \
-        .withColumn("status", F.when(F.col("is_malicious"), F.lit("malicious")).otherwise(F.lit("clean")))
+        F.max("last_seen").alias("last_seen"), F.count_distinct("_folded").alias("feed_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(detail))).alias("details"),
+    ).withColumn("status", F.when(F.col("is_malicious"), F.lit("malicious")).otherwise(F.lit("clean")))
+
+
+def merged_feeds(results: DataFrame, keys: list[str]) -> DataFrame:
+    """The feeds and providers that name each indicator, one row each, case-blind."""
+    return _named_by(results, keys, []).groupBy(*keys, "_folded").agg(F.min("feed").alias("feed")).drop("_folded")
+
+
+def _named_by(results: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """Answers repeated per feed and for the provider itself, which alone fills ``_own``."""
+    nobody = F.lit(None).cast("string")
+    feeds = F.transform(F.coalesce("feeds", F.array().cast("array<string>")),
+                        lambda feed: F.struct(feed.alias("feed"), nobody.alias("_own")))
+    itself = F.struct(F.col("provider").alias("feed"), F.col("provider").alias("_own"))
+    return results.select(*keys, *kept, F.inline(F.array_append(feeds, itself))) \
+        .withColumn("_folded", F.lower("feed"))
 
 
 def score_or_not_found(requests: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,11 +9,12 @@ from ..operators import enrichment as E
 from ..operators import playbooks as P
 from ..operators import risk as H
 from ..operators import rollups as K
+from ..operators import threat_intel as TI
 from ..operators.rules import match_rules
 from .bindings import AS_OF, Tables, as_of, with_views
 from .catalog import query
 from .correlating import periods_sql
-from .enriching import _ASSET_KEYS
+from .enriching import _ASSET_KEYS, _INDICATORS, _SCORES, _scores
 from .predicates import RULE_MATCH_CTE, compiled_rules
 
 # ------------------------------------------------------------------- creation
@@ -36,10 +37,11 @@ def created_alerts(t: Tables):
 
 
 @query("alert_create", with_views("""
-    SELECT alert_id, rule_id, rule_name, severity, status, triggered_at, source, destination, event_id FROM created""",
+    SELECT alert_id, rule_id, rule_name, severity, status, triggered_at, source, destination, event_id,
+      triggered_at AS created_at, triggered_at AS updated_at FROM created""",
     "sec_events", "assets", ctes=_CREATED))
 def alert_create(t: Tables):
-    return created_alerts(t).drop("dedup_key")
+    return created_alerts(t).drop("dedup_key", "context", "aggregation_count", "aggregated_value")
 
 
 @query("alert_severity_boost", with_views("""
@@ -215,6 +217,28 @@ def risk_score(t: Tables):
         F.round("factor_anomaly_boost", 6).alias("anomaly_boost"))
 
 
+@query("risk_pipeline", with_views(f"""
+    SELECT alert_id, severity, criticality, threat_score, is_malicious, risk_score, {_LEVEL} AS risk_level FROM scored""",
+    "sec_events", "assets", ctes=_CREATED + ", " + _INDICATORS + ", " + _SCORES + """,
+    event_threat AS (SELECT event_id, CAST(max(score) AS INT) AS score FROM indicators JOIN scores USING (type, value) GROUP BY 1),
+    risk_input AS (SELECT c.alert_id, c.severity, c.triggered_at, coalesce(s.criticality, d.criticality, 'low') AS criticality,
+        t.score AS threat_score, coalesce(t.score >= 80, false) AS is_malicious, 0.0::DOUBLE AS user_risk, 0.0::DOUBLE AS anomaly
+      FROM created c LEFT JOIN asset_keys s ON s.k = lower(c.source) LEFT JOIN asset_keys d ON d.k = lower(c.destination)
+      LEFT JOIN event_threat t USING (event_id)), """ + _FACTORS))
+def risk_pipeline(t: Tables):
+    """Events to scored alerts: enrichment on the event, rules, alerts, and scores read from what the event carries."""
+    indicators = TI.extract_indicators(t.rich_events)
+    tagged = E.join_assets(t.rich_events, E.asset_lookup(t.assets)).withColumns({
+        "_source_rank": E.criticality_rank(F.col("source_asset")),
+        "_destination_rank": E.criticality_rank(F.col("destination_asset"))})
+    enriched = E.write_enrichment(tagged.join(TI.join_scores(indicators, _scores(indicators)), "event_id", "left"),
+                                  E.ASSET_KEYS | {"threat_intel": "threat_intel"})
+    alerts = A.create_alerts(match_rules(enriched, compiled_rules(t.rich_events)), source_rank=F.col("_source_rank"),
+                             destination_rank=F.col("_destination_rank"), keep=("username", "enrichment"))
+    scored = H.score_alerts(H.read_enrichment(alerts).withColumn("user_risk", F.lit(0.0)))
+    return scored.select("alert_id", "severity", "criticality", "threat_score", "is_malicious", "risk_score", "risk_level")
+
+
 @query("risk_level", with_views(f"SELECT alert_id, {_LEVEL} AS risk_level FROM scored", "sec_events",
                                 ctes=_RISK_INPUT + ", " + _FACTORS))
 def risk_level(t: Tables):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import baselines as G
+from ..session import work_dir
+from ..sources import tables as TB
 from .bindings import AS_OF, Tables, as_of, with_views
 from .catalog import query
 
@@ -85,6 +87,26 @@ def latest(t: Tables):
         .select("username", "hostname", "calc_date", "calculated_at", "mean")
 
 
+@query("baseline_valid", with_views(f"""
+    SELECT username, hostname, calculated_at, round(mean, 6) AS mean FROM
+      (SELECT username, hostname, mean + 1 AS mean, TIMESTAMP '2024-01-30 06:00:00' AS calculated_at FROM conn
+       WHERE username LIKE '%1' UNION ALL
+       SELECT username, hostname, mean, TIMESTAMP '2024-01-29 20:00:00' FROM conn WHERE NOT username LIKE '%1'
+         AND NOT username LIKE '%2')""", "sec_events", ctes=_BASELINES))
+def valid(t: Tables):
+    """Stored snapshots read back 25 hours before an evening: older and later ones do not answer."""
+    path = work_dir(t.spark, "baselines")
+    base = G.connection_baseline(t.sec_events, as_of(), DAYS)
+    at = lambda stamp, plus, rows: base.filter(rows).select(
+        F.lit("user_host_conn").alias("metric_type"), "username", "hostname", F.lit(None).cast("int").alias("hour_of_day"),
+        (F.col("mean") + plus).alias("mean"), "stddev", as_of(stamp).alias("calculated_at"))
+    for snapshot in (at("2024-01-29 10:00:00", 5, "true"), at("2024-01-29 20:00:00", 0, "not username like '%2'"),
+                     at("2024-01-30 06:00:00", 1, "username like '%1'"), at("2024-01-30 21:00:00", 9, "true")):
+        TB.write_analytic(snapshot, "baseline_features", path)
+    stored = TB.read_baseline(t.spark, path, as_of("2024-01-30 20:00:00"))
+    return rounded(stored, "mean").select("username", "hostname", "calculated_at", "mean")
+
+
 # ------------------------------------------------------------------- anomalies
 def _z(current: str) -> str:
     return f"coalesce(CASE WHEN stddev = 0 THEN 0.0 ELSE ({current} - mean) / stddev END, 0.0)"
@@ -174,7 +196,7 @@ _COMBINED = f"""
 def _combined(t: Tables):
     return G.combined_anomalies(
         G.hourly_observations(t.sec_events), G.user_hour_baseline(t.sec_events, as_of(), DAYS),
-        G.connection_baseline(t.sec_events, as_of(), DAYS), G.port_baseline(t.sec_events, as_of(), DAYS))
+        G.host_baselines(t.sec_events, as_of(), DAYS))
 
 
 @query("anomaly_combine", with_views("""

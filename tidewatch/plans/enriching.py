@@ -275,6 +275,13 @@ def _results(t: Tables):
         F.col("ts").alias("last_seen"), F.concat(F.lit("reports "), F.col("event_id") % 5).alias("details"))
 
 
+@query("ti_feeds", with_views("""
+    SELECT DISTINCT type, value, lower(feed) AS feed FROM results UNION
+    SELECT DISTINCT type, value, lower(provider) FROM results""", "sec_events", ctes=_RESULTS))
+def ti_feeds(t: Tables):
+    return TI.merged_feeds(_results(t), ["type", "value"]).withColumn("feed", F.lower("feed"))
+
+
 @query("ti_aggregate", with_views("""
     SELECT type, value, max(score) AS score, bool_or(is_malicious) OR max(score) >= 80 AS is_malicious,
       max(last_seen) AS last_seen,
@@ -284,7 +291,7 @@ def _results(t: Tables):
 def ti_aggregate(t: Tables):
     return TI.merge_scores(_results(t), ["type", "value"]).select(
         "type", "value", "score", "is_malicious", "last_seen", "status",
-        F.size("feeds").cast("bigint").alias("feed_count"), F.size("details").cast("bigint").alias("providers"))
+        "feed_count", F.size("details").cast("bigint").alias("providers"))
 
 
 @query("ti_parse_abuse", with_views("""

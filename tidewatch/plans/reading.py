@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
+from ..model import ANALYTIC_TABLES
 from ..operators import alerts as A
 from ..operators import records as R
 from ..operators import rollups as K
@@ -43,6 +43,14 @@ def alert_page(t: Tables):
     return page.select(*_ALERT.split(", "), "total_count", "total_pages")
 
 
+@query("alert_page_after", with_views(f"""
+    SELECT {_ALERT} FROM alerts WHERE severity = 'critical' AND (triggered_at < TIMESTAMP '{_SINCE}'
+      OR triggered_at = TIMESTAMP '{_SINCE}' AND alert_id > 100)
+    ORDER BY triggered_at DESC, alert_id LIMIT 25""", "alerts"))
+def alert_page_after(t: Tables):
+    return _alert_columns(A.alerts_after(t.alerts, 25, (as_of(_SINCE), 100), "critical"))
+
+
 @query("alert_get", with_views(f"""
     SELECT {_ALERT}, 'id' AS found_by FROM alerts WHERE alert_id = 777
     UNION ALL SELECT * FROM (SELECT {_ALERT}, 'key' AS found_by FROM alerts WHERE dedup_key = 'dedup:77'
@@ -283,6 +291,32 @@ def health_rates(t: Tables):
     return rates.withColumns({"rate": F.round("rate", 6), "error_share": F.round("error_share", 6)})
 
 
+@query("health_trailing", with_views("""
+    SELECT step_start, round(sum(events) OVER w / 900.0, 6) AS trailing_rate,
+      round(CASE WHEN sum(events) OVER w > 0 THEN sum(errors) OVER w / sum(events) OVER w END, 6) AS trailing_error_share
+    FROM (SELECT step_start, coalesce(events, 0) AS events, coalesce(errors, 0) AS errors FROM
+      (SELECT unnest(generate_series(min(s), max(s), INTERVAL 5 MINUTE)) AS step_start FROM counted)
+      LEFT JOIN (SELECT s AS step_start, events, errors FROM counted) USING (step_start))
+    WINDOW w AS (ORDER BY step_start ROWS 2 PRECEDING)""", "sec_events", ctes="""
+    counted AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS s, count(*) AS events,
+      count(*) FILTER (severity IN ('high', 'critical')) AS errors FROM sec_events GROUP BY ALL)"""))
+def health_trailing(t: Tables):
+    rates = K.trailing_rates(K.event_rates(t.sec_events, errors=F.col("severity").isin("high", "critical")))
+    return rates.select("step_start", F.round("trailing_rate", 6).alias("trailing_rate"),
+                        F.round("trailing_error_share", 6).alias("trailing_error_share"))
+
+
+@query("health_ceiling", with_views("""
+    SELECT min(h) AS held_from, max(h) + INTERVAL 1 HOUR AS held_until FROM
+      (SELECT h, h - to_hours(CAST(row_number() OVER (ORDER BY h) AS INT)) AS run FROM
+        (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, count(*) AS n FROM sec_events GROUP BY 1) WHERE n / 3600.0 > 0.004)
+    GROUP BY run HAVING count(*) >= 2""", "sec_events"))
+def health_ceiling(t: Tables):
+    """Times of two hours or more in which the rate stays above a ceiling."""
+    rates = K.event_rates(t.sec_events, step="1 hour", seconds=3600)
+    return K.held_above(rates, "rate", 0.004, 7200, seconds=3600)
+
+
 @query("health_silence", with_views("""
     SELECT s + INTERVAL 5 MINUTE AS silent_from, nxt AS silent_until,
       CAST((epoch(nxt) - epoch(s) - 300) // 300 AS BIGINT) AS steps
@@ -303,17 +337,26 @@ def health_percentiles(t: Tables):
 
 
 # ------------------------------------------------------------------- retention
-@query("retention", with_views("""
-    SELECT 'events' AS table_name, 30 AS days, count(*) FILTER (ts >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY) AS kept,
-      count(*) FILTER (ts < TIMESTAMP '2024-02-10' - INTERVAL 30 DAY) AS dropped FROM sec_events
-    UNION ALL SELECT 'alerts', 90, count(*) FILTER (created_at >= TIMESTAMP '2024-02-10' - INTERVAL 90 DAY),
-      count(*) FILTER (created_at < TIMESTAMP '2024-02-10' - INTERVAL 90 DAY) FROM alerts
-    UNION ALL SELECT 'audit_events', 730, count(*) FILTER ("timestamp" >= TIMESTAMP '2024-02-10' - INTERVAL 730 DAY),
-      count(*) FILTER ("timestamp" < TIMESTAMP '2024-02-10' - INTERVAL 730 DAY) FROM audit""",
-    "sec_events", "alerts", "audit"))
+# The nine stored tables, bound to the given ones: rows of the view, a filter, their time.
+_STORED = {
+    "events": ("sec_events", "true", "ts"), "network_events": ("sec_events", "event_type = 'network_traffic'", "ts"),
+    "security_alerts": ("alerts", "severity <> 'low'", "triggered_at"),
+    "dns_queries": ("sec_events", "event_type = 'dns_query'", "ts"),
+    "tls_sessions": ("sec_events", "destination_port = 443", "ts"),
+    "application_metrics": ("sec_events", "bytes_sent > 0", "ts"),
+    "baseline_features": ("sec_events", "username <> ''", "ts"),
+    "audit_events": ("audit", "true", "timestamp"), "alerts": ("alerts", "true", "created_at"),
+}
+
+
+@query("retention", with_views(" UNION ALL ".join(f"""
+    SELECT '{name}' AS table_name, {ANALYTIC_TABLES[name][2]} AS days,
+      count(*) FILTER ("{ts}" >= TIMESTAMP '2024-02-10' - INTERVAL {ANALYTIC_TABLES[name][2]} DAY) AS kept,
+      count(*) FILTER ("{ts}" < TIMESTAMP '2024-02-10' - INTERVAL {ANALYTIC_TABLES[name][2]} DAY) AS dropped
+    FROM {view} WHERE {rows}""" for name, (view, rows, ts) in _STORED.items()), "sec_events", "alerts", "audit"))
 def retention(t: Tables):
-    return K.retention_report({"events": (t.sec_events, "ts"), "alerts": (t.alerts, "created_at"),
-                               "audit_events": (t.audit, "timestamp")}, as_of("2024-02-10 00:00:00"))
+    return K.retention_report({name: (getattr(t, view).filter(rows), ts) for name, (view, rows, ts) in _STORED.items()},
+                              as_of("2024-02-10 00:00:00"))
 
 
 @query("retention_keep", with_views("""

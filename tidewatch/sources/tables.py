@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ANALYTIC_TABLES, ASSET_CSV, ASSET_TYPES, CRITICALITIES
+from ..operators.baselines import BASELINE_HOURS, valid_baseline
 
 
 # ------------------------------------------------------------- analytic tables
@@ -38,6 +39,13 @@ def scan_analytic(spark: SparkSession, table: str, path: str, since: Column | No
     return rows
 
 
+def read_baseline(spark: SparkSession, path: str, as_of: Column, hours: int = BASELINE_HOURS) -> DataFrame:
+    """Stored baselines that still answer at a time; snapshots are kept with
+    ``write_analytic(..., "baseline_features", path)``."""
+    rows = scan_analytic(spark, "baseline_features", path, as_of - F.make_interval(hours=F.lit(hours)))
+    return valid_baseline(rows, as_of, hours).drop("event_month")
+
+
 # ----------------------------------------------------------------- asset files
 def read_asset_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ASSET_CSV).option("header", True).option("enforceSchema", False) \
