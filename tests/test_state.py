@@ -142,3 +142,46 @@ def test_dedup_key_matches_its_recipe(spark):
         A.dedup_key(F.lit("r"), F.lit(""), F.lit(None).cast("string")).alias("b")).first()
     digest = lambda text: "dedup:" + hashlib.sha256(text.encode()).hexdigest()
     assert row.a == digest("r:1.2.3.4:5.6.7.8") and row.b == digest("r:unknown:unknown")
+
+
+def test_percentiles_count_values_and_ignore_nulls(spark):
+    import numpy as np
+
+    from tidewatch.operators.rollups import latency_percentiles
+
+    values = [5, 5, 5, 1, 9, 9, 2, None, 40]
+    rows = [("a", datetime(2024, 1, 1), v) for v in values] + [("b", datetime(2024, 1, 1), None)]
+    samples = spark.createDataFrame(rows, "service string, ts timestamp, v int")
+    got = {r.service: (r.p50, r.p95, r.p99) for r in latency_percentiles(samples, "service", "v").collect()}
+    want = np.percentile([v for v in values if v is not None], [50, 95, 99])
+    assert got["a"] == pytest.approx(tuple(want)) and got["b"] == (None, None, None)
+
+
+def test_groups_of_a_rule_become_alerts(spark):
+    from tidewatch.operators.alerts import create_alerts, create_group_alerts
+
+    at = datetime(2024, 1, 1)
+    groups = spark.createDataFrame([("g", "10.0.0.1", 7, 7.5, at, at + timedelta(minutes=5), "r", "Rule", "high", 3)],
+                                   "group_key string, group_ip string, event_count bigint, aggregated_value double, "
+                                   "first_seen timestamp, last_seen timestamp, rule_id string, rule_name string, "
+                                   "severity string, first_event_id int")
+    alert = create_group_alerts(groups, source="group_ip")
+    row = alert.first()
+    assert (row.status, row.source, row.destination, row.aggregation_count, row.aggregated_value) == \
+        ("new", "10.0.0.1", None, 7, 7.5)
+    assert row.triggered_at == row.created_at == at + timedelta(minutes=5) and '"group_key":"g"' in row.context
+    match = spark.createDataFrame([("r", "Rule", "low", at, "10.0.0.1", None, 1)],
+                                  "rule_id string, rule_name string, rule_severity string, ts timestamp, "
+                                  "source_ip string, destination_ip string, event_id int")
+    assert set(create_alerts(match).columns) == set(alert.columns)
+
+
+def test_rates_held_above_a_ceiling(spark):
+    from tidewatch.operators.rollups import held_above
+
+    base = datetime(2024, 1, 1)
+    rows = [(base + timedelta(minutes=m), float(m in (1, 2, 3, 6, 8, 9))) for m in range(12)]
+    rates = spark.createDataFrame(rows, "step_start timestamp, rate double")
+    runs = {((r.held_from - base).seconds // 60, (r.held_until - base).seconds // 60)
+            for r in held_above(rates, "rate", 0.5, 120).collect()}
+    assert runs == {(1, 4), (8, 10)}
