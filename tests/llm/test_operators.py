@@ -411,6 +411,24 @@ def test_trees():
     assert len({merkle.Tree.of(t).root for t in ("", "a", "a\n", "\n", "\n\n", "a\na", "aa")}) == 7
 
 
+@pytest.mark.parametrize("size", [40, 120, 250, 256, 300, 2000])
+def test_pieces_do_not_depend_on_the_length_of_the_text(size):
+    rng = random.Random(size)
+    texts = [prose(rng, size).replace("é", "e")[:size] for _ in range(30)]
+    trees = [merkle.Tree.of(t) for t in texts]
+    longer = [merkle.likeness(tree, merkle.Tree.of(t + " and more.")) for t, tree in zip(texts, trees)]
+    assert sum(longer) / 30 > 1 - 12 / size
+    wider = [merkle.likeness(tree, merkle.Tree.of(t[:-size // 10] + "é" * (size // 10))) for t, tree in zip(texts, trees)]
+    assert sum(wider) / 30 > 0.6
+    assert sum(merkle.likeness(a, b) for a, b in zip(trees, trees[1:])) / 29 < 0.05
+
+
+def test_fingerprints_of_near_copies_across_256_bytes(spark):
+    text = prose(random.Random(8), 90).replace("é", "e")[:250]
+    short, long = merkle.compare_with_edits(frame(spark, [(2, text), (1, text + " and more.")])).collect()
+    assert short.near_next == long.near_next > 0.9 and min(short.near_edited, long.near_edited) > 0.6
+
+
 # WARC
 
 def page_frame(spark, rows):

@@ -3,13 +3,14 @@
 A paragraph is a line. Paragraphs are gathered into sections that end where a
 paragraph's own hash says so, so an edit does not move the borders behind it.
 A paragraph is cut into pieces the same way, by a rolling hash over its bytes,
-so that an edit inside a long paragraph changes few pieces. Equal roots mean
+so that an edit inside a paragraph changes few pieces. Texts of every length are
+cut alike, so short and long ones can be compared. Equal roots mean
 equal texts; where roots differ, equal branches are skipped and the differing
 ones locate the edits.
 
 A fingerprint is the tree as text: ``root;section/section/...``, a section is
 ``hash.paragraph.paragraph...`` and a paragraph ``hash:piece piece ...`` with
-six hex digits a piece.
+six hex digits a piece: about one and a half times as long as the text.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import FIRST, by_batch, order_id, ship_package, shuffle_partitions
 
-PIECE_MASK = np.uint32(31)  # a piece ends at one position in 32,
-TINY_MASK, TINY = np.uint32(3), 256  # in texts of so few bytes at one in 4,
+PIECE_MASK = np.uint32(3)  # a piece ends at one position in 4,
 LONGEST = 128  # and at the latest after so many bytes
+CONTEXT = 12  # bytes of its paragraph up to its end that tell a shorter piece from others
 SECTION_MASK = 3  # a section ends at one paragraph in 4
 _MULTIPLIER = 0x9E3779B1
 
@@ -49,7 +50,7 @@ def _piece_ends(data: bytes) -> list[int]:
         rolled ^= rolled >> np.uint32(15)
         rolled *= np.uint32(0x85EBCA6B)
         rolled >>= np.uint32(13)
-        ends[8:] |= rolled & (TINY_MASK if size <= TINY else PIECE_MASK) == 0
+        ends[8:] |= rolled & PIECE_MASK == 0
     found = np.flatnonzero(ends[:size])
     borders = np.concatenate(([0], found, [size]))
     for i in np.flatnonzero(np.diff(borders) > LONGEST).tolist():
@@ -71,7 +72,7 @@ class Tree:
         top, section_hash = hashlib.blake2b(digest_size=16), hashlib.blake2b(digest_size=16)
         start = begin = 0
         for end in [*_piece_ends(data), len(data)] if data else ():
-            pieces.append(crc32(data[start:end]) & 0xFFFFFF)
+            pieces.append(crc32(data[max(begin, min(start, end - CONTEXT)):end]) & 0xFFFFFF)
             start = end
             if data[end - 1] == 10 or end == len(data):
                 digest = hashlib.blake2b(data[begin:end], digest_size=16).digest()
