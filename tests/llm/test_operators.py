@@ -270,6 +270,17 @@ def test_long_texts_are_parsed_in_strides(spark, monkeypatch):
     assert ordered(map(tuple, suffix_dedup.deduplicated(frame(spark, rows)).collect())) == brute_digests(rows)
 
 
+def test_texts_of_one_id_whose_hashes_share_32_bits(spark):
+    passage = "The same passage stands in two documents, and one of them says nothing else. "
+    one, other = passage + "261846", "Number 155841 is another text, which shares no long string with any other one."
+    hashes = spark.createDataFrame([(one,), (other,)], "text string").select(F.xxhash64("text").alias("h")).collect()
+    assert (hashes[0].h ^ hashes[1].h) & 0xFFFFFFFF == 0
+    rows = [(1, passage), (7, one), (7, other), (None, "short")]
+    assert ordered(map(tuple, suffix_dedup.deduplicated(frame(spark, rows)).collect())) == brute_digests(rows)
+    got = ordered((r.doc_id, r.text) for r in suffix_dedup.keep_unrepeated(frame(spark, rows)).collect())
+    assert got == ordered([(1, passage), (7, "261846"), (7, other), (None, "short")])
+
+
 def test_unrepeated_rows_keep_their_columns(docs):
     got = suffix_dedup.keep_unrepeated(docs)
     assert got.columns == docs.columns
