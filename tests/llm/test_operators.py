@@ -365,6 +365,20 @@ def test_classifier_edges(spark, docs):
     assert len(rows) == len(corpus()) and len({r.score for r in rows if r.doc_id == 413}) == 2
 
 
+def test_classifier_of_rows_without_ids(spark):
+    rng = random.Random(4)
+    texts = [junk(rng, i // 6) if i % 6 == 0 else ". ".join(prose(rng, 9) + " the of and" for _ in range(3)) for i in range(12000)]
+    for ids in (None, 5):
+        weights = quality_classifier.fit(frame(spark, [(ids, t) for t in texts]))
+        assert weights.any()
+        kept = [quality_classifier.score(weights, t.encode()) >= quality_classifier.KEEP for t in texts[:600]]
+        assert sum(k == (i % 6 != 0) for i, k in enumerate(kept)) >= 0.97 * 600
+    # Most rows are equal: the others train all the same, in any order.
+    rows = [(None, "")] * 2000 + [(None, t) for t in texts[:60]]
+    weights = quality_classifier.fit(frame(spark, rows), training_docs=50)
+    assert weights.any() and (weights == quality_classifier.fit(frame(spark, rows[::-1]).repartition(7), training_docs=50)).all()
+
+
 # Byte-level BPE
 
 def test_bpe_against_tiktoken():

@@ -24,7 +24,7 @@ from .html_extract import STOP_WORDS
 from .quality_rules import CAPITALS, LETTERS, SYMBOLS, repeated_words
 
 SLOTS = 1 << 14  # hashed features
-TRAINING_DOCS = 4000  # at most so many documents train the scorer: those of the smallest hashed ids
+TRAINING_DOCS = 4000  # at most so many documents train the scorer: those of the smallest hashes of id and text
 KEEP = 0.1  # documents that score less are rejected; low, so that clean ones stay
 STOPS = {w.encode() for w in STOP_WORDS}
 ABSTAIN, VOTE_GOOD, VOTE_BAD = 0, 1, 2
@@ -183,18 +183,16 @@ def vote_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training_docs: int = TRAINING_DOCS) -> np.ndarray:
     """The scorer's weights. Votes are counted over all documents; at most ``training_docs`` documents
-    (those whose ids have the smallest hashes, so any order of rows gives the same) train the scorer."""
+    (those whose ids and texts have the smallest hashes, so any order of rows gives the same; equal rows
+    count as one) train the scorer."""
     counted = vote_counts(docs, text)
     codes = sorted(counted)
     patterns = np.array([[code // 3**i % 3 for i in reversed(range(len(LABELLERS)))] for code in codes],
                         int).reshape(-1, len(LABELLERS))
     good, _, _ = estimate(patterns, np.array([counted[c] for c in codes], float))
     likely = dict(zip(codes, good.tolist()))
-    # Hashes are even, so those below a bound are about as many as wanted, and few rows are ordered.
-    share = 1.25 * training_docs / max(1, sum(counted.values()))
-    bound = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
-    chosen = (docs.select(F.xxhash64(F.col(doc_id).cast("long")).alias("h"), F.col(text).alias("text"))
-              .where(F.col("h") <= bound).orderBy("h", F.xxhash64("text")).limit(training_docs).select("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select(F.xxhash64("id", "text").alias("h"), "text")
 
     def convert(batch):
         found = []
@@ -207,7 +205,16 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training_do
         yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(slots, pa.binary()),
                                           pa.array(values, pa.binary())], ["code", "slots", "amounts"])
 
-    sample = by_batch(chosen, convert, "code long, slots binary, amounts binary").collect()
+    # Hashes of different rows are even, so those below a bound are about as many as wanted, and few rows are ordered.
+    # Where equal rows leave too few, the bound is raised.
+    share = 1.25 * training_docs / max(1, sum(counted.values()))
+    while True:
+        bound = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
+        chosen = rows.where(F.col("h") <= bound).dropDuplicates(["h"]).orderBy("h").limit(training_docs).select("text")
+        sample = by_batch(chosen, convert, "code long, slots binary, amounts binary").collect()
+        if len(sample) >= training_docs or share >= 1:
+            break
+        share *= 8
     sample.sort()
     sizes = np.array([len(r["slots"]) // 2 for r in sample], int)
     slots = np.frombuffer(b"".join([r["slots"] for r in sample]), "<u2")
