@@ -503,6 +503,25 @@ def test_missing_segment_is_an_error(spark):
         warc.read_archives(spark, path).collect()
 
 
+def test_segmented_response_without_chunks(spark):
+    payload = b"<p>\r\n\r\n" + bytes(range(32, 127)) * 20
+    digest = warc.base32(hashlib.sha1(payload).hexdigest())
+    block = warc.HTTP + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
+    parts = [block[i:i + 50] for i in range(0, len(block), 50)]  # the head takes two
+    records = []
+    for i, part in enumerate(parts, 1):
+        headers = [("WARC-Type", "continuation" if i > 1 else "response"), ("WARC-Record-ID", f"<urn:page:4:0{f':{i}' * (i > 1)}>"),
+                   ("WARC-Target-URI", "u"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Segment-Number", str(i))]
+        headers += [("WARC-Segment-Origin-ID", "<urn:page:4:0>")] * (i > 1)
+        headers += [("WARC-Segment-Total-Length", str(len(block)))] * (i == len(parts))
+        records.append(warc.record(headers, part))
+    path = work_dir(spark, "warc-test")
+    spark.createDataFrame([(r[:-1].decode(),) for r in records], "value string").write.option(
+        "compression", "gzip").option("lineSep", "\n").text(path)
+    assert [tuple(r) for r in warc.read_archives(spark, path, payloads=True).collect()] == [
+        (4, "u", len(payload), digest, "response", None, payload)]
+
+
 def test_dechunker_takes_any_parts():
     payload = bytes(range(256)) * 40
     framed = warc.chunked(payload, 300)

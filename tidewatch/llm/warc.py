@@ -161,18 +161,20 @@ class _Page:
 
     def __init__(self, keep: bool):
         self._head, self._body = b"", None
+        self._in_body = False  # the head is read
         self._sha1, self.size, self.seen = hashlib.sha1(), 0, 0
         self._kept = [] if keep else None
 
     def feed(self, block: bytes) -> None:
         self.seen += len(block)
-        if self._body is None:
+        if not self._in_body:
             self._head += block
             head, mark, block = self._head.partition(b"\r\n\r\n")
             if not mark:
                 return
-            chunked_body = b"transfer-encoding: chunked" in head.lower()
-            self._body = Dechunker() if chunked_body else None
+            self._in_body = True
+            if b"transfer-encoding: chunked" in head.lower():
+                self._body = Dechunker()
         data = self._body.feed(block) if self._body else block
         self._sha1.update(data)
         self.size += len(data)
