@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import (bpe, html_extract, line_dedup, merkle, near_dedup, packing, quality_classifier, quality_rules,
+from . import (bpe, html_extract, line_dedup, merkle, near_dedup, packing, quality_classifier, quality_rules, sharding,
                suffix_dedup, warc)
 from .common import table
 
@@ -65,9 +65,17 @@ def op10_line_dedup(spark, folder):
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_sharding(spark, folder):
+    text = F.col("row.text")
+    none = F.lit(None).cast("int")
+    return sharding.shuffled(table(spark, folder, "documents").select("doc_id", "text")).select(
+        F.col("row.doc_id").alias("doc_id"), "size", F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"), "shard", "slot", none.alias("grown_shard"))
+
+
 QUERIES = {q.__name__: q for q in (op1_html_extract, op2_quality_rules, op3_byte_bpe, op4_fingerprints, op5_warc,
                                    op6_suffix_dedup, op7_packing, op8_quality_classifier, op9_near_dedup,
-                                   op10_line_dedup)}
+                                   op10_line_dedup, op12_sharding)}
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
