@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import (bpe, html_extract, line_dedup, merkle, near_dedup, packing, quality_classifier, quality_rules, sharding,
-               suffix_dedup, warc)
+from . import (bpe, collocations, hard_negatives, html_extract, line_dedup, merkle, near_dedup, packing, quality_classifier, quality_rules,
+               sharding, suffix_dedup, warc)
 from .common import table
 
 
@@ -65,6 +65,12 @@ def op10_line_dedup(spark, folder):
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    mixed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", mixed), F.col("vec_id") % 100 == 0)
+
+
 def op12_sharding(spark, folder):
     text = F.col("row.text")
     none = F.lit(None).cast("int")
@@ -73,9 +79,13 @@ def op12_sharding(spark, folder):
         F.lit(sharding.LAW).alias("law"), "shard", "slot", none.alias("grown_shard"))
 
 
+def op13_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
 QUERIES = {q.__name__: q for q in (op1_html_extract, op2_quality_rules, op3_byte_bpe, op4_fingerprints, op5_warc,
                                    op6_suffix_dedup, op7_packing, op8_quality_classifier, op9_near_dedup,
-                                   op10_line_dedup, op12_sharding)}
+                                   op10_line_dedup, op11_hard_negatives, op12_sharding, op13_collocations)}
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
@@ -153,5 +163,43 @@ judged AS (SELECT doc_id, i, line, coalesce(doc_id < last_doc, false) AS goes FR
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op11_hard_negatives": r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+             CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS "rank",
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+""",
+    "op13_collocations": rf"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^\x20\x09]+') AS words
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
+w AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p),
+f AS (SELECT lang, len(g) AS size, g, count(*) AS f
+      FROM (SELECT lang, words[i:i + k - 1] AS g FROM w, range(1, 5) t(k) WHERE i + k - 1 <= len(words))
+      GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM p GROUP BY lang),
+covered AS (SELECT lang, g[i:i + k - 1] AS g, max(f) AS longer
+            FROM (SELECT f.*, k, unnest(range(1, size - k + 2)) AS i FROM f, range(2, 4) t(k) WHERE k < size) GROUP BY ALL),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r,
+                CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
+         FROM f c LEFT JOIN covered ON covered.lang = c.lang AND covered.g = c.g CROSS JOIN range(1, 4) t(k)
+         JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]
+         WHERE c.size >= 2 AND k < c.size AND coalesce(100 * longer < 80 * c.f, true)),
+best AS (SELECT *, array_to_string(g, ' ') AS phrase FROM cuts
+         QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS "rank", phrase, a, l, r, n, score
+FROM best JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """,
 }
