@@ -40,6 +40,7 @@ _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\r\t",
 _PACKED = "bucket int, lang string, size int, grams binary"
 _COUNTED = "lang string, words int, phrase string, total long, complete boolean"
 _CODEC = "zstd"
+_NOTHING, _BLANK, _LINE = (pa.scalar(end, pa.large_binary()) for end in (b"", b" ", b"\n"))
 
 
 # ----------------------------------------------------------------------- words
@@ -185,9 +186,8 @@ def _among(values: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 def _pack(hot: list[np.ndarray], buckets: int):
     """Counts the longest gram of every place and packs the grams by bucket."""
-    codec = pa.Codec(_CODEC, compression_level=1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(_CODEC, compression_level=1)
         for words, language, languages in _flushes(batches):
             if not len(words):
                 continue
@@ -217,8 +217,8 @@ def _pack(hot: list[np.ndarray], buckets: int):
             order = np.argsort(group, kind="stable")
             group, level, counts = group[order], level[order], counts[order].astype(np.int64)
             columns = [words.vocabulary.take(pa.array(c[order], mask=c[order] == len(own) - 1)) for c in codes]
-            grams = pc.binary_join_element_wise(*columns, b" ", null_handling="skip")
-            grams = pc.binary_join_element_wise(grams, b"", b"\n")
+            grams = pc.binary_join_element_wise(*columns, _BLANK, null_handling="skip")
+            grams = pc.binary_join_element_wise(grams, _NOTHING, _LINE)
             if isinstance(grams, pa.ChunkedArray):
                 grams = grams.combine_chunks()
             ends = np.frombuffer(grams.buffers()[1], dtype=np.int64)[grams.offset:grams.offset + len(grams) + 1]
@@ -239,9 +239,8 @@ def _pack(hot: list[np.ndarray], buckets: int):
 
 def _sum(min_count: int):
     """Sums the grams of each bucket and language, and derives the shorter phrases from them."""
-    codec = pa.Codec(_CODEC)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(_CODEC)
         key, held = None, []
         for batch in batches:
             columns = (batch.column(c) for c in ("bucket", "lang", "size", "grams"))
@@ -283,7 +282,7 @@ def _flows(lang: str, bodies: list[bytes], min_count: int) -> pa.RecordBatch:
     phrases = []
     for order, where, _, _ in out:
         columns = [words.vocabulary.take(pa.array(words.codes[where + step])) for step in range(order)]
-        phrases.append(pc.binary_join_element_wise(*columns, b" ") if order
+        phrases.append(pc.binary_join_element_wise(*columns, _BLANK) if order
                        else pa.array([b""] * len(where), pa.large_binary()))
     phrase = pa.concat_arrays([p.combine_chunks() if isinstance(p, pa.ChunkedArray) else p for p in phrases])
     return pa.RecordBatch.from_arrays([
