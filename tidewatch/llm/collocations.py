@@ -30,9 +30,9 @@ from ..session import ship_package
 from .common import salt_of, salted, shuffle_partitions, written
 
 WORDS = 4
-FLUSH_BYTES = 16 << 20  # of text that a task counts at once
+FLUSH_BYTES = 4 << 20  # of text that a task counts at once
 BUCKETS_EACH = 4  # for each shuffle partition
-HOT_SHARE = 1 / 16384  # of all places; at most as many hot phrases of each length
+HOT_SHARE = 1 / 16384  # of all places; so there are at most 16384 hot phrases of a length
 SALTS = 16
 _UNKNOWN = "und"
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\r\t",
@@ -89,54 +89,55 @@ def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, np.ndarray, list[str]]]:
-    """(words, language number of each word, languages) for every FLUSH_BYTES of text."""
+def _flushes(batches: Iterator[pa.RecordBatch], flush_bytes: int) -> Iterator[tuple[_Words, np.ndarray, list[str]]]:
+    """(words, language number of each word, languages) for every ``flush_bytes`` of text."""
     held, size = [], 0
     for batch in batches:
-        lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
-        start = 0
-        while start < batch.num_rows:
-            reach = np.cumsum(lengths[start:])
-            end = start + max(1, int(np.searchsorted(reach, FLUSH_BYTES - size, side="right")))
-            held.append(batch.slice(start, end - start))
-            size += int(reach[end - start - 1])
-            start = end
-            if size >= FLUSH_BYTES:
-                yield _flush(held)
-                held, size = [], 0
+        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
+            for part in _parts(text.as_buffer().to_pybytes().translate(_FOLD), flush_bytes):
+                held.append((part, lang))
+                size += len(part) + 1
+                if size >= flush_bytes:
+                    yield _flush(held)
+                    held, size = [], 0
     if held:
         yield _flush(held)
 
 
-def _flush(batches: list[pa.RecordBatch]) -> tuple[_Words, np.ndarray, list[str]]:
-    rows = pa.Table.from_batches(batches)
-    texts = rows.column("text").cast(pa.large_binary())
-    data = b"".join(map(_lines, texts.chunks))
-    lengths = pc.binary_length(texts).to_numpy()
-    words = _Words(data.translate(_FOLD))
-    doc_ends = np.cumsum(lengths + 1)
-    languages = rows.column("lang").combine_chunks().dictionary_encode()
-    if isinstance(languages, pa.ChunkedArray):
-        languages = languages.unify_dictionaries().combine_chunks()
-    of_doc = languages.indices.to_numpy().astype(np.int64)
-    return words, of_doc[np.searchsorted(doc_ends, words.starts, side="right")], languages.dictionary.to_pylist()
+def _parts(folded: bytes, most: int) -> Iterator[bytes]:
+    """A long text cut between pieces, so that a task holds as much of it as of short ones."""
+    start = 0
+    while len(folded) - start > most:
+        end = folded.rfind(b"\n", start, start + most)
+        end = folded.find(b"\n", start + most) if end < 0 else end
+        if end < 0:
+            break
+        yield folded[start:end]
+        start = end + 1
+    yield folded[start:]
 
 
-def _lines(texts: pa.Array) -> bytes:
-    """All texts, a new line after each."""
-    return b"".join(part for text in texts for part in (text.as_buffer(), b"\n"))
+def _flush(held: list[tuple[bytes, str]]) -> tuple[_Words, np.ndarray, list[str]]:
+    words = _Words(b"\n".join(part for part, _ in held) + b"\n")
+    numbers: dict[str, int] = {}
+    of_part = np.array([numbers.setdefault(lang, len(numbers)) for _, lang in held], dtype=np.int64)
+    ends = np.cumsum([len(part) + 1 for part, _ in held])
+    return words, of_part[np.searchsorted(ends, words.starts, side="right")], list(numbers)
 
 
 # ---------------------------------------------------------------------- counts
-def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang: str = "lang") -> DataFrame:
+def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang: str = "lang",
+                  flush_bytes: int = FLUSH_BYTES, hot_share: float = HOT_SHARE) -> DataFrame:
     """(lang, words, phrase, total) of every phrase of one to four words found ``min_count``
-    times or more; with ``words`` 0 and an empty phrase, the number of words of a language."""
+    times or more; with ``words`` 0 and an empty phrase, the number of words of a language.
+    A task counts ``flush_bytes`` of text at once; both parameters leave the result as it is."""
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(_UNKNOWN)).alias("lang"),
                         F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
     buckets = BUCKETS_EACH * shuffle_partitions(spark)
-    packed = texts.mapInArrow(_pack(_hot_phrases(texts), buckets), _PACKED)
+    hot = _hot_phrases(texts, flush_bytes, hot_share)
+    packed = texts.mapInArrow(_pack(hot, buckets, flush_bytes), _PACKED)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "lang")
     counted = written(dealt.mapInArrow(_sum(min_count), _COUNTED), "phrases")
     parts = counted.where("NOT complete").groupBy("lang", "words", "phrase").agg(F.sum("total").alias("total"))
@@ -144,12 +145,12 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
         parts.where((F.col("words") == 0) | (F.col("total") >= min_count)))
 
 
-def _hot_phrases(texts: DataFrame) -> list[np.ndarray]:
-    """Hashes of the words, pairs and triples that hold a large share of all places. They
-    decide only where grams are summed. At most 1 / HOT_SHARE of each reach the driver."""
+def _hot_phrases(texts: DataFrame, flush_bytes: int, hot_share: float) -> list[np.ndarray]:
+    """Hashes of the words, pairs and triples that hold ``hot_share`` of all places. They
+    decide only where grams are summed. At most 1 / hot_share of each reach the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, language, languages in _flushes(batches):
-            least = max(1, int(len(words) * HOT_SHARE / 2))
+        for words, language, languages in _flushes(batches, flush_bytes):
+            least = max(1, int(len(words) * hot_share / 2))
             own = words.hashes()[words.codes]
             found = [(0, np.zeros(1, dtype=np.uint64), np.array([len(words)]))]
             at = np.arange(len(words))
@@ -169,7 +170,7 @@ def _hot_phrases(texts: DataFrame) -> list[np.ndarray]:
     sums = written(texts.mapInArrow(count, "level int, hash long, n long").groupBy("level", "hash")
                    .agg(F.sum("n").alias("n")), "heavy")
     total = sums.where("level = 0").agg(F.sum("n")).first()[0] or 0
-    hot = sums.where((F.col("level") > 0) & (F.col("n") >= total * HOT_SHARE)).select("level", "hash").toArrow()
+    hot = sums.where((F.col("level") > 0) & (F.col("n") >= total * hot_share)).select("level", "hash").toArrow()
     levels, hashes = hot.column(0).to_numpy(), hot.column(1).to_numpy().view(np.uint64)
     return [np.sort(hashes[levels == level]) for level in (1, 2, 3)]
 
@@ -184,11 +185,11 @@ def _among(values: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values
 
 
-def _pack(hot: list[np.ndarray], buckets: int):
+def _pack(hot: list[np.ndarray], buckets: int, flush_bytes: int):
     """Counts the longest gram of every place and packs the grams by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec(_CODEC, compression_level=1)
-        for words, language, languages in _flushes(batches):
+        for words, language, languages in _flushes(batches, flush_bytes):
             if not len(words):
                 continue
             many = len(words.vocabulary) + 1
@@ -332,8 +333,14 @@ def _windows(words: Column, size: int) -> Column:
         " ", F.slice(words, i, size)))).otherwise(F.array().cast("array<string>"))
 
 
-def collocations(docs: DataFrame, min_count: int = 30, most: int = 2000, text: str = "text",
-                 lang: str = "lang") -> DataFrame:
+def score_of(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
+    """floor(2000000 a / (l + r)), exact beyond 64 bits."""
+    wide = lambda count: count.cast("decimal(19,0)")
+    return F.call_function("div", F.lit(2000000).cast("decimal(7,0)") * wide(a), wide(l) + wide(r)).cast("long")
+
+
+def collocations(docs: DataFrame, min_count: int = 30, most: int = 2000, text: str = "text", lang: str = "lang",
+                 flush_bytes: int = FLUSH_BYTES, hot_share: float = HOT_SHARE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases of two to four words.
 
     A-Z are lower-cased; ``.,;:!?`` and line ends cut a text into pieces, blanks and
@@ -346,7 +353,7 @@ def collocations(docs: DataFrame, min_count: int = 30, most: int = 2000, text: s
     table gives no rows. Repeated rows count as often as they stand. A text of any
     length is counted whole.
     """
-    counts = written(phrase_counts(docs, min_count, text, lang), "counts")
+    counts = written(phrase_counts(docs, min_count, text, lang, flush_bytes, hot_share), "counts")
     candidates = counts.where("words BETWEEN 2 AND 4").select("lang", "phrase", "words", F.col("total").alias("a"))
 
     words = F.split("phrase", " ")
@@ -370,9 +377,7 @@ def collocations(docs: DataFrame, min_count: int = 30, most: int = 2000, text: s
     scored = cuts.join(known, ["lang", "part", "salt"]).groupBy("lang", "phrase", "a", "k").agg(
         F.max(F.when(F.col("side") == 0, F.col("total"))).alias("l"),
         F.max(F.when(F.col("side") == 1, F.col("total"))).alias("r"))
-    score = F.call_function("div", F.lit(2000000).cast("decimal(7,0)") * F.col("a").cast("decimal(19,0)"),
-                            F.col("l").cast("decimal(19,0)") + F.col("r").cast("decimal(19,0)"))
-    best = scored.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "a").agg(
+    best = scored.withColumn("score", score_of(F.col("a"), F.col("l"), F.col("r"))).groupBy("lang", "phrase", "a").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
     # A language's best are found among the best of its parts.

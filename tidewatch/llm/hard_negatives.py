@@ -128,7 +128,7 @@ def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
 def _codebook(points: np.ndarray, codewords: int, rounds: int = 8) -> np.ndarray:
     """k-means from a fixed start: the points are in the order of a hash."""
     centers = points[:codewords].copy()
-    for _ in range(rounds):
+    for _ in range(rounds if len(points) else 0):
         nearest = _nearest(points, centers)[0]
         for code in range(len(centers)):
             if (own := nearest == code).any():
