@@ -52,6 +52,11 @@ def floor_div(value: Column, size: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(size)), F.lit(size))
 
 
+def floor_div_by(value: Column, size: Column) -> Column:
+    """``floor_div`` by a column."""
+    return F.call_function("div", value - F.pmod(value, size), size)
+
+
 def micros_to_ntz(micros: Column) -> Column:
     return F.timestamp_micros(micros).cast("timestamp_ntz")
 

@@ -54,12 +54,11 @@ def canonical_ipv6(ip: Column) -> Column:
     return F.when(is_ipv6(ip), F.when(dotted, F.concat(F.lit("::ffff:"), tail)).otherwise(short))
 
 
-def ipv6_high(ip: Column) -> Column:
-    """First 64 bits of an IPv6 address as BIGINT, null when malformed or from
-    8000:: up, where no address is public."""
+def ipv6_digits(ip: Column) -> Column:
+    """All 128 bits of an IPv6 address as 32 hexadecimal digits, null when malformed."""
     groups = lambda text: F.split(_eight_groups(text), ":")
-    digits = let(let(_undotted(ip), groups), lambda g: F.concat(*[F.lpad(F.get(g, F.lit(i)), 4, "0") for i in range(4)]))
-    return F.when(is_ipv6(ip), F.conv(digits, 16, 10).try_cast("bigint"))
+    digits = let(let(_undotted(ip), groups), lambda g: F.concat(*[F.lpad(F.get(g, F.lit(i)), 4, "0") for i in range(8)]))
+    return F.when(is_ipv6(ip), digits)
 
 
 def _dotted_tail(ip: Column) -> Column:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.basic import epoch_seconds, floor_div
+from ..functions.basic import case_map, epoch_micros, epoch_seconds, floor_div
+from ..session import stored
 from .fields import EventFields, normalize_key
 from .periods import fixed_periods, rolling_totals
 from .predicates import as_number, numeric
-from .rules import TIME_UNITS, CompiledRule, match_rule, match_rules, v2_group_value, v2_match, v2_operator
+from .rules import (TIME_UNITS, CompiledRule, match_rule, match_rules, tested_by_type, v2_group_value, v2_match,
+                    v2_operator)
+from .selection import CELLS, with_place
 
 
 # ------------------------------------------------------------------ first format
@@ -168,23 +168,15 @@ def tumbling_fires(events: DataFrame, rule: dict, fields: EventFields, tiebreak:
                    strict: bool = False) -> DataFrame:
     """Every event at or past the threshold of its counter and window.
 
-    The threshold-th event of each counter is found by a ranking that Spark
-    limits before the shuffle, so a task sends at most ``threshold`` rows per
-    counter; the firing events then join that small table.
+    A counter's window is cut into time cells; only cells that reach the
+    threshold are read for their events, and only a cell's events are put in order.
     """
     threshold = max(int(float(rule["condition"]["value"])), 1)
-    keyed = v2_keyed(events, rule, fields, strict).withColumn(
-        "_order", F.struct(fields.ts.alias("ts"), F.col(tiebreak).alias("id")))
-    counter = ["group_value", "window_id"]
-    ranked = Window.partitionBy(*counter).orderBy("_order")
-    reached = (
-        keyed.select(*counter, "_order").withColumn("_rank", F.row_number().over(ranked))
-        .filter(F.col("_rank") <= threshold)
-        .groupBy(*counter).agg(F.max("_rank").alias("_rank"), F.max("_order").alias("_reached"))
-        .filter(F.col("_rank") == threshold).drop("_rank")
-    )
-    return keyed.join(reached, counter).filter(F.col("_order") >= F.col("_reached")) \
-        .drop("_order", "_reached").withColumn("rule_id", F.lit(rule["id"]))
+    window = int(rule["condition"]["aggregation"]["window_seconds"])
+    keyed = v2_keyed(events, rule, fields, strict).withColumn("_ts", fields.ts)
+    fired = with_place(keyed, ["group_value", "window_id"], epoch_micros(fields.ts), max(1, window * 1_000_000 // CELLS),
+                       ["_ts", tiebreak], "_place", first=threshold)
+    return fired.drop("_ts", "_place").withColumn("rule_id", F.lit(rule["id"]))
 
 
 def expiring_counters(events: DataFrame, rule: dict, fields: EventFields, ttl_seconds: int = 3600,
@@ -200,29 +192,119 @@ def expiring_counters(events: DataFrame, rule: dict, fields: EventFields, ttl_se
 
 
 # ------------------------------------------------------------------- both kinds
+_KINDS = {"count": "count", "sum": "sum", "avg": "average", "average": "average", "min": "min", "max": "max",
+          "distinct": "distinct", "count_distinct": "distinct", "distinct_count": "distinct"}
+
+
+def aggregate_rules(events: DataFrame, rules: list[CompiledRule], fields: EventFields,
+                    event_id: str = "event_id") -> DataFrame:
+    """All groups that satisfy the aggregating ones among ``rules``, in the columns of ``aggregate_rule``.
+
+    Every event is read once, whatever the number of rules: it gives a narrow
+    row for each rule that it matches, and one aggregate with map-side partials
+    folds them by rule, group and window. The window of the first format is
+    trailing; its end, one time for each rule, is read off the stored narrow rows, so
+    such rules cost one write of what they match. Rules of the second format
+    have tumbling windows. What a rule asks of its groups is looked up by the
+    rule's number, so the plan does not grow with the set.
+    """
+    rules = [rule for rule in rules if rule.enabled and rule.aggregation]
+    specs = [_spec(rule, fields) for rule in rules]
+    if not rules:
+        kinds = [("group_key", "string"), ("event_count", "long"), ("aggregated_value", "double"),
+                 ("first_seen", events.select(fields.ts).dtypes[0][1]), ("last_seen", events.select(fields.ts).dtypes[0][1]),
+                 ("rule_id", "string"), ("rule_name", "string"), ("severity", "string"),
+                 ("first_event_id", dict(events.dtypes)[event_id])]
+        return events.filter(F.lit(False)).select(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds])
+    entries = [F.struct(F.lit(number).alias("rule"), spec["group"].alias("group_key"), spec["window"].alias("window"),
+                        spec["value"].alias("value"), spec["item"].alias("item")) for number, spec in enumerate(specs)]
+    rows = tested_by_type(events, rules, entries, "_hit").select("_hit.*", fields.ts.alias("ts"), F.col(event_id).alias("id"))
+    trailing = {number: spec["seconds"] for number, spec in enumerate(specs) if spec["seconds"]}
+    if trailing:
+        rows = stored(rows, "rule-matches")
+        newest = rows.where(F.col("rule").isin(list(trailing))).groupBy("rule").agg(
+            F.max(epoch_micros(F.col("ts"))).alias("newest")).collect()
+        since = {rule: at - trailing[rule] * 1_000_000 for rule, at in newest if at is not None}
+        bound = F.get(F.array(*[F.lit(since.get(number)).cast("long") for number in range(len(rules))]), F.col("rule"))
+        rows = rows.where(~F.col("rule").isin(list(trailing)) | (epoch_micros(F.col("ts")) >= bound))
+
+    # Values are told apart before they are counted, where a rule counts different ones; elsewhere the item is null.
+    parts = rows.groupBy("rule", "group_key", "window", "item").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min(F.struct("ts", "id")).alias("first"))
+    groups = parts.groupBy("rule", "group_key", "window").agg(
+        F.sum("n").alias("event_count"), F.sum("total").alias("total"), F.min("least").alias("least"),
+        F.max("most").alias("most"), F.count("item").alias("items"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"), F.min("first").alias("first"))
+    of_rule = lambda values, kind: F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("rule"))
+    count = F.col("event_count").cast("double")
+    value = case_map(of_rule([spec["kind"] for spec in specs], "string"), {
+        "sum": F.col("total"), "average": F.col("total") / count, "min": F.col("least"), "max": F.col("most"),
+        "distinct": F.col("items").cast("double")}, count)
+    wanted = [_wanted(spec["having"]) for spec in specs]
+    members = F.get(F.array(*[F.array(*map(F.lit, w[2])).cast("array<double>") for w in wanted]), F.col("rule"))
+    satisfied = _satisfied(F.col("aggregated_value"), of_rule([w[0] for w in wanted], "string"),
+                           of_rule([w[1] for w in wanted], "double"), members)
+    return groups.withColumn("aggregated_value", value).where(satisfied).select(
+        "group_key", "event_count", "aggregated_value", "first_seen", "last_seen",
+        of_rule([rule.id for rule in rules], "string").alias("rule_id"),
+        of_rule([rule.name for rule in rules], "string").alias("rule_name"),
+        of_rule([rule.severity for rule in rules], "string").alias("severity"), F.col("first.id").alias("first_event_id"))
+
+
+def _spec(rule: CompiledRule, fields: EventFields) -> dict:
+    """Group, window, value and having of an aggregating rule of either format."""
+    nothing = F.lit(None)
+    if "condition" in rule.source:
+        condition = rule.source["condition"]
+        spec = condition["aggregation"]
+        kind, having = _KINDS[(spec.get("function") or "count").lower()], {
+            "operator": v2_operator(condition.get("operator") or "gte"), "value": condition.get("value")}
+        group, name, seconds = v2_group_value(spec.get("group_by"), fields), spec.get("field"), None
+        window = floor_div(epoch_seconds(fields.ts), int(spec["window_seconds"]))
+    else:
+        spec = rule.aggregation
+        having, seconds, window = spec.get("having"), window_seconds(spec), nothing.cast("long")
+        kind = _KINDS.get(spec.get("type"), "count") if spec.get("type") in ("sum", "average", "min", "max") else "count"
+        group, name = group_key(fields, spec.get("groupBy")), (having or {}).get("field") or "count"
+    return {"kind": kind, "having": having, "group": group, "seconds": seconds, "window": window,
+            "value": measure(fields, name) if kind in ("sum", "average", "min", "max") else nothing.cast("double"),
+            "item": fields.resolve(name).text if kind == "distinct" else nothing.cast("string")}
+
+
+def _wanted(having: dict | None) -> tuple[str, float, list[float]]:
+    """Operator, bound and members of a having clause; without one, a value above zero is enough."""
+    if not having:
+        return "greater_than", 0.0, []
+    value = having.get("value")
+    many = isinstance(value, (list, tuple))
+    members = [float(n) for n in map(as_number, value if many else [value]) if n is not None]
+    return having.get("operator") or "", 0.0 if many else float(as_number(value) or 0), members
+
+
+def _satisfied(value: Column, operator: Column, bound: Column, members: Column) -> Column:
+    """``having_column`` with operator, bound and members in columns."""
+    return case_map(operator, {
+        "greater_than": value > bound, "greater_than_or_equal": value >= bound, "less_than": value < bound,
+        "less_than_or_equal": value <= bound, "equals": value == bound, "not_equals": value != bound,
+        "in": F.array_contains(members, value), "not_in": ~F.array_contains(members, value),
+        "exists": value > 0, "not_exists": value <= 0}, False)
+
+
 def run_rules(events: DataFrame, rules: list[CompiledRule], fields: EventFields, event_id: str = "event_id") -> DataFrame:
     """What a mixed set of rules finds, each rule by the evaluator of its kind.
 
     A rule without an aggregation gives a row for each event that matches it.
     An aggregating rule gives a row for each group that satisfies it: over the
     trailing window for the first format, for each tumbling window for the second.
+    Events are read once for each of the two kinds.
     """
     ts = fields.ts
-    once = match_rules(events, rules)
-    found = [once.select(
+    once = match_rules(events, rules).select(
         "rule_id", "rule_name", F.col("rule_severity").alias("severity"), F.col(event_id).cast("string").alias("event_id"),
         F.lit(None).cast("string").alias("group_key"), ts.alias("first_seen"), ts.alias("last_seen"),
-        F.lit(1).cast("long").alias("event_count"), F.lit(None).cast("double").alias("aggregated_value"))]
-    for rule in rules:
-        if not rule.enabled or not rule.aggregation:
-            continue
-        if "condition" in rule.source:
-            groups = tumbling_rule(events, rule.source, fields).withColumn("group_key", F.col("group_value"))
-        else:
-            groups = aggregate_rule(events, rule, fields, event_id)
-        found.append(groups.select(
-            F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"),
-            F.lit(None).cast("string").alias("event_id"), "group_key", "first_seen", "last_seen",
-            F.col("event_count").cast("long").alias("event_count"),
-            F.col("aggregated_value").cast("double").alias("aggregated_value")))
-    return reduce(DataFrame.union, found)
+        F.lit(1).cast("long").alias("event_count"), F.lit(None).cast("double").alias("aggregated_value"))
+    groups = aggregate_rules(events, rules, fields, event_id).select(
+        "rule_id", "rule_name", "severity", F.lit(None).cast("string").alias("event_id"), "group_key", "first_seen",
+        "last_seen", "event_count", "aggregated_value")
+    return once.unionByName(groups)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.basic import empty_map, epoch_micros, floor_div
-from ..functions.ip import ipv4_to_long, ipv6_high, is_private_ip
+from ..functions.basic import empty_map, epoch_micros, floor_div, floor_div_by
+from ..functions.ip import ipv4_to_long, ipv6_digits, is_private_ip
 from ..model import CRITICALITIES
 from .fields import merge_maps
 from .parsing import string_map
@@ -20,56 +20,61 @@ ASSET_FIELDS = ["id", "name", "criticality", "owner", "asset_type", "tags"]
 
 
 # ------------------------------------------------------------------- geography
-# Bits dropped from an address at each level: IPv4 /8 /16 /24 /32, and /16 /32 /48 /64 of IPv6,
-# whose addresses count by their first 64 bits.
-GEO_SHIFTS = {4: (24, 16, 8, 0), 6: (48, 32, 16, 0)}
+# An address is a key of its family and its bytes in hexadecimal; a block of addresses is the
+# beginning of such a key. IPv4 has 4 levels of blocks, IPv6 16.
+GEO_LEVELS = {4: 4, 6: 16}
 
 
 def network_ranges(networks: DataFrame, column: str = "network") -> DataFrame:
-    """Networks written as ``address/bits`` of either family, with ``family``,
-    ``start_ip`` and ``end_ip``. An IPv6 network longer than /64 is an error."""
+    """Networks written as ``address/bits`` of either family, with ``family`` and, for IPv4,
+    ``start_ip`` and ``end_ip``, for IPv6 ``prefix`` (32 hexadecimal digits) and ``bits``."""
     address, bits = F.substring_index(column, "/", 1), F.substring_index(column, "/", -1).cast("int")
     six = F.contains(F.col(column), F.lit(":"))
-    number = F.when(six, ipv6_high(address)).otherwise(ipv4_to_long(address))
-    size = F.when(six & (bits > 64), F.raise_error(F.concat(F.lit("network longer than /64: "), F.col(column)))
-                  .cast("bigint")) \
-        .otherwise(F.pow(F.lit(2.0), F.when(six, 64).otherwise(32) - bits).cast("bigint"))
-    return networks.withColumns({"family": F.when(six, 6).otherwise(4), "_size": size}) \
-        .withColumn("start_ip", floor_div(number, F.col("_size")) * F.col("_size")) \
+    number = F.when(~six, ipv4_to_long(address))
+    return networks.withColumns({
+        "family": F.when(six, 6).otherwise(4), "prefix": F.when(six, ipv6_digits(address)), "bits": bits,
+        "_size": F.when(~six, F.pow(F.lit(2.0), 32 - bits).cast("bigint"))}) \
+        .withColumn("start_ip", floor_div_by(number, F.col("_size")) * F.col("_size")) \
         .withColumn("end_ip", F.col("start_ip") + F.col("_size") - 1).drop("_size")
 
 
 def geo_blocks(ranges: DataFrame) -> DataFrame:
-    """Ranges cut into aligned blocks, one row per ``geo_level`` and ``geo_block``.
+    """Ranges cut into aligned blocks, one row per ``geo_block``, with the range's size as ``geo_size``.
 
-    A block lies wholly inside its range, so ``ip BETWEEN start AND end`` is an
-    equality of level and block. A level adds what the coarser ones left over
-    at the two ends; no range takes more than two strides of rows a level.
+    A block lies wholly inside its range, so an address lies in a range if one of
+    its beginnings is a block of the range: an equality. A level of IPv4 adds what the coarser
+    ones left over at the two ends, at most 255 blocks each; an IPv6 network is at
+    most 256 blocks of one level.
     """
-    mixed = "family" in ranges.columns
-    after = F.col("end_ip") + 1
+    start, after = F.col("start_ip"), F.col("end_ip") + 1
     parts = []
-    for number, shifts in GEO_SHIFTS.items() if mixed else [(4, GEO_SHIFTS[4])]:
-        for level, shift in enumerate(shifts):
-            first, last = _ceil_shift(F.col("start_ip"), shift), F.shiftright(after, shift)
-            if level == 0:
-                found = _blocks(first, last)
-            else:
-                wider = shifts[level - 1]
-                left, right = _ceil_shift(F.col("start_ip"), wider), F.shiftright(after, wider)
-                whole = left < right
-                found = F.concat(
-                    _blocks(first, F.when(whole, F.shiftleft(left, wider - shift)).otherwise(last)),
-                    F.when(whole, _blocks(F.shiftleft(right, wider - shift), last)).otherwise(_blocks(last, last)))
-            if mixed:
-                found = F.when(F.col("family") == number, found).otherwise(F.array().cast("array<bigint>"))
-            parts.append(F.transform(found, _at_level(level)))
-    return ranges.withColumn("geo_family", F.col("family") if mixed else F.lit(4)) \
-        .withColumn("_at", F.explode(F.concat(*parts))).select("*", "_at.*").drop("_at")
-
-
-def _at_level(level: int):
-    return lambda block: F.struct(F.lit(level).alias("geo_level"), block.alias("geo_block"))
+    for level in range(1, 5):
+        shift = 32 - 8 * level
+        first, last = _ceil_shift(start, shift), F.shiftright(after, shift)
+        found = _blocks(first, last)
+        if level > 1:
+            left, right = _ceil_shift(start, shift + 8), F.shiftright(after, shift + 8)
+            whole = left < right
+            found = F.concat(
+                _blocks(first, F.when(whole, F.shiftleft(left, 8)).otherwise(last)),
+                F.when(whole, _blocks(F.shiftleft(right, 8), last)).otherwise(_blocks(last, last)))
+        parts.append(F.transform(found, _written(2 * level)))
+    blocks, size = F.concat(*parts), (after - start).cast("double")
+    if "prefix" in ranges.columns:
+        bits, digits = F.col("bits"), F.col("prefix")
+        whole = F.greatest(F.floor((bits - 1) / 8), F.lit(0)).cast("int")  # bytes before the one that the network ends in
+        span = F.pow(F.lit(2), 8 * (whole + 1) - bits).cast("int")
+        low = F.conv(F.substr(digits, 2 * whole + 1, F.lit(2)), 16, 10).cast("int")
+        low = low - low % span
+        six = F.transform(F.sequence(low, low + span - 1), lambda byte: F.concat(
+            F.lit("6"), F.substr(digits, F.lit(1), 2 * whole), F.lower(F.lpad(F.hex(byte), 2, "0"))))
+        blocks = F.when(F.col("family") == 6, six).otherwise(blocks)
+        size = F.when(F.col("family") == 6, F.pow(F.lit(2.0), 128 - bits)).otherwise(size)
+    return ranges.withColumn("geo_size", size).withColumn("geo_block", F.explode(blocks))
+
+
+def _written(digits: int):
+    return lambda block: F.concat(F.lit("4"), F.lower(F.lpad(F.hex(block), digits, "0")))
 
 
 def _ceil_shift(value: Column, shift: int) -> Column:
@@ -80,47 +85,61 @@ def _blocks(first: Column, after: Column) -> Column:
     return F.when(first < after, F.sequence(first, after - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def join_geo(events: DataFrame, ranges: DataFrame, ip_column: str, output: str) -> DataFrame:
-    """Adds struct ``output`` with the location of ``ip_column``, of either family.
+def address_key(ip: Column) -> Column:
+    """Family and bytes of an address in any spelling; null for anything else."""
+    four = F.concat(F.lit("4"), F.lower(F.lpad(F.hex(ipv4_to_long(ip)), 8, "0")))
+    return F.when(F.contains(ip, F.lit(":")), F.concat(F.lit("6"), ipv6_digits(ip))).otherwise(four)
+
+
+def join_geo(events: DataFrame, ranges: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds a struct with the location of each address column; ``columns`` maps it to its output.
 
     Private addresses get a fixed record; an address outside every range gets
-    null. Ranges (BIGINT ``start_ip``..``end_ip``, and ``family`` where there are
-    IPv6 ones) must not overlap: then an address lies in one block at most, and
-    each of the four joins adds one row's match or none.
+    null. Ranges (BIGINT ``start_ip``..``end_ip``; or what ``network_ranges`` gives)
+    may be nested: the smallest that holds an address counts.
+
+    Distinct addresses are located first, by equality with the blocks; the events
+    themselves meet the result once for each column. A stream knows no distinct
+    addresses: there each level of blocks is one more join with the table.
     """
-    ip, private = F.col(ip_column), F.col("_private")
-    number, family = ipv4_to_long(ip), F.lit(4)
-    if "family" in ranges.columns:
-        six = F.contains(ip, F.lit(":"))
-        number, family = F.when(six, ipv6_high(ip)).otherwise(number), F.when(six, 6).otherwise(4)
-    located = events.withColumn("_private", is_private_ip(ip)) \
-        .withColumns({"_family": family, "_ip": F.when(~private, number)})
-    lookup = geo_blocks(ranges).select(
-        "geo_family", "geo_level", "geo_block",
-        F.struct(
-            F.coalesce("country", F.lit("Unknown")).alias("country"),
-            F.coalesce("country_code", F.lit("XX")).alias("country_code"),
-            F.coalesce("city", F.lit("Unknown")).alias("city"),
-            F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"),
-            F.coalesce("timezone", F.lit("UTC")).alias("timezone"), F.lit(False).alias("is_private"),
-        ).alias("_geo"))
-    # Rows without a block of their own are dealt out over blocks that no range has.
-    nowhere = -1 - F.pmod(F.xxhash64(ip), F.lit(4096))
-    found = []
-    for level, (four, six_bits) in enumerate(zip(*GEO_SHIFTS.values())):
-        block = F.when(F.col("_family") == 6, F.shiftright("_ip", six_bits)).otherwise(F.shiftright("_ip", four))
-        side = lookup.filter(F.col("geo_level") == level).select(
-            F.col("geo_family").alias("_side"), F.col("geo_block").alias("_at"), F.col("_geo").alias(f"_geo_{level}"))
-        located = located.withColumn("_block", F.coalesce(block, nowhere)) \
-            .join(side, (F.col("_family") == F.col("_side")) & (F.col("_block") == F.col("_at")), "left") \
-            .drop("_block", "_side", "_at")
-        found.append(f"_geo_{level}")
+    lookup = geo_blocks(ranges).groupBy("geo_block").agg(F.min(F.struct("geo_size", F.struct(
+        F.coalesce("country", F.lit("Unknown")).alias("country"),
+        F.coalesce("country_code", F.lit("XX")).alias("country_code"),
+        F.coalesce("city", F.lit("Unknown")).alias("city"),
+        F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"),
+        F.coalesce("timezone", F.lit("UTC")).alias("timezone"), F.lit(False).alias("is_private"),
+    ).alias("place"))).alias("_found"))
     fixed = F.struct(
         F.lit("Private").alias("country"), F.lit("PR").alias("country_code"), F.lit("Private Network").alias("city"),
         F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
         F.lit(None).cast("string").alias("timezone"), F.lit(True).alias("is_private"))
-    return located.withColumn(output, F.when(private, fixed).otherwise(F.coalesce(*found))) \
-        .drop("_private", "_family", "_ip", *found)
+    if events.isStreaming:
+        for ip, output in columns.items():
+            levels = max(GEO_LEVELS.values()) if "prefix" in ranges.columns else GEO_LEVELS[4]
+            located = events.withColumn("_key", F.when(~is_private_ip(F.col(ip)), address_key(F.col(ip))))
+            for level in range(1, levels + 1):
+                side = lookup.select(F.col("geo_block").alias("_at"), F.col("_found").alias(f"_found_{level}"))
+                block = F.when(F.length("_key") > 2 * level, F.substring("_key", 1, 2 * level + 1))
+                located = located.join(side, block == F.col("_at"), "left").drop("_at")
+            found = [f"_found_{level}" for level in range(1, levels + 1)]
+            place = F.array_min(F.array(*found))["place"]
+            events = located.withColumn(output, F.when(is_private_ip(F.col(ip)), fixed).otherwise(place)).drop("_key", *found)
+        return events
+
+    addresses = events.select(F.explode(F.array(*columns)).alias("_ip")).distinct() \
+        .where(F.col("_ip").isNotNull() & ~is_private_ip(F.col("_ip"))).withColumn("_key", address_key(F.col("_ip")))
+    levels = F.sequence(F.lit(1), ((F.length("_key") - 1) / 2).cast("int"))
+    beginnings = F.transform(levels, lambda level: F.substr(F.col("_key"), F.lit(1), 2 * level + 1))
+    places = addresses.select("_ip", F.explode(beginnings).alias("geo_block")).join(lookup, "geo_block") \
+        .groupBy("_ip").agg(F.min("_found")["place"].alias("_place"))
+    # Rows without an address are dealt out over keys that no address has.
+    nowhere = F.concat(F.lit(" "), (F.monotonically_increasing_id() % 4096).cast("string"))
+    for ip, output in columns.items():
+        located = events.withColumn("_key", F.coalesce(F.col(ip), nowhere)).join(
+            places.withColumnRenamed("_ip", "_key"), "_key", "left")
+        events = located.withColumn(output, F.when(is_private_ip(F.col(ip)), fixed).otherwise(F.col("_place"))) \
+            .drop("_key", "_place")
+    return events
 
 
 # ---------------------------------------------------------------------- assets

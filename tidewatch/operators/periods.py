@@ -1,11 +1,13 @@
 """Ordered per-key state over time, safe for keys that hold much of the data.
 
-Four building blocks the rules, alerts and risk profiles share:
+Building blocks that rules, alerts, risk profiles and health checks share:
 
 * ``rolling_totals``  trailing-window sums at every event time of a key
 * ``running_totals``  sums from the start of a key's stretch up to each event
 * ``following_time``  time of a key's next row
 * ``fixed_periods``   first event of a key opens a period of fixed length
+* ``asof_value``      the value that a key had at a row's time
+* ``neighbours``      times before and after each row of one time line
 
 None of them ever gathers all rows of a key. Rows are first folded to one per
 (key, instant) by a map-side aggregate, then a key is cut along time.
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.basic import epoch_micros, epoch_seconds, floor_div
+from ..session import stored
 
 
 def rolling_totals(events: DataFrame, keys: list[str], ts: Column, window_seconds: int,
@@ -64,23 +67,35 @@ def fixed_periods(events: DataFrame, key: str, ts: Column, ttl_seconds: int,
     inside it are counted to it and do not extend it; the next event after its
     end opens another.
 
-    Time is counted in whole seconds, so a key has at most one folded row per
-    second of its life, however many events it holds. The opening rule is
-    inherently sequential per key: folded rows stream through a task in order
-    and only the current opening is held in memory. ``first`` is what to keep
-    of the opening event, the smallest by ``order``.
+    Time is counted in whole seconds. Rows are folded to one per second, and
+    those stay with their key's time block. Which seconds open a period is
+    sequential by nature, but needs no rows: a key's blocks send the seconds at
+    which something happened, at most one short number each, and get back the
+    openings. So a key that holds most events is spread over all its blocks.
+    ``first`` is what to keep of the opening event, the smallest by ``order``.
     """
+    # A block meets few openings, however short a period is.
+    block = min(3600, 64 * ttl_seconds)
     folded = (
         events.withColumn("_sec", epoch_seconds(ts))
         .groupBy(key, "_sec")
         .agg(F.count("*").alias("_n"), F.max(ts).alias("_last"),
              F.min_by(first, order).alias("_first"), F.min(ts).alias("_start"))
     )
-    ordered = folded.repartition(key).sortWithinPartitions(key, "_sec")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("_opened", T.LongType())])
+    blocks = folded.groupBy(key, floor_div(F.col("_sec"), block).alias("_block")).agg(
+        F.collect_list(F.struct("_sec", "_n", "_last", "_first", "_start")).alias("_rows"))
+    begin = F.col("_block") * block
+    seconds = blocks.select(key, "_block", F.array_sort(
+        F.transform("_rows", lambda row: (row["_sec"] - begin).cast("short"))).alias("_seconds"))
+    schema = T.StructType([T.StructField("_key", blocks.schema[key].dataType), T.StructField("_at", T.LongType()),
+                           T.StructField("_openings", T.ArrayType(T.LongType()))])
+    openings = seconds.repartition(key).sortWithinPartitions(key, "_block").mapInArrow(
+        _openings(ttl_seconds, block), schema)
+    spread = blocks.join(openings, blocks[key].eqNullSafe(openings["_key"]) & (F.col("_block") == F.col("_at"))) \
+        .select(key, "_openings", F.inline("_rows"))
+    opened = F.array_max(F.filter("_openings", lambda opening: opening <= F.col("_sec")))
     return (
-        ordered.mapInArrow(_opening_fold(key, ttl_seconds), schema)
-        .groupBy(key, "_opened")
+        spread.groupBy(key, opened.alias("_opened"))
         .agg(F.sum("_n").alias("n"), F.min("_start").alias("first_seen"), F.max("_last").alias("last_seen"),
              F.min_by("_first", "_sec").alias("first"))
         .withColumn("opened_at", F.timestamp_seconds("_opened"))
@@ -88,32 +103,36 @@ def fixed_periods(events: DataFrame, key: str, ts: Column, ttl_seconds: int,
     )
 
 
-def _opening_fold(key: str, ttl: int):
-    """Adds ``_opened`` to Arrow batches sorted by key and second."""
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _openings(ttl: int, block_seconds: int):
+    """For each block of a key, in order: the last opening before it and those inside it."""
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, opened = None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keys = batch.column(key)
+            keys, blocks, seconds = batch.columns
             codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            seconds = batch.column("_sec").to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-            result = np.empty(len(seconds), dtype=np.int64)
-            for start, end in zip(starts, np.append(starts[1:], len(seconds))):
-                name = keys[int(start)].as_py()
-                if start or name != current:
-                    current, opened = name, None
-                at = start
-                while at < end:
-                    if opened is None or seconds[at] >= opened + ttl:
-                        opened = int(seconds[at])
-                    stop = start + int(np.searchsorted(seconds[start:end], opened + ttl))
-                    result[at:stop] = opened
-                    at = stop
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(result)], names=[*batch.schema.names, "_opened"])
-    return fold
+            starts = blocks.to_numpy() * block_seconds
+            inside = seconds.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(seconds.value_lengths().to_numpy(zero_copy_only=False))
+            found = []
+            for row, (begin, end) in enumerate(zip([0, *ends[:-1]], ends)):
+                if row == 0 or codes[row] != codes[row - 1]:
+                    name = keys[row].as_py()
+                    if row or name != current:
+                        current, opened = name, None
+                own, at = inside[begin:end], 0
+                openings = [] if opened is None else [opened]
+                if opened is not None:
+                    at = int(np.searchsorted(own, opened + ttl - starts[row]))
+                while at < len(own):
+                    opened = int(starts[row]) + int(own[at])
+                    openings.append(opened)
+                    at += int(np.searchsorted(own[at:], opened + ttl - starts[row]))
+                found.append(openings)
+            yield pa.RecordBatch.from_arrays([keys, blocks, pa.array(found, pa.list_(pa.int64()))],
+                                             names=["_key", "_at", "_openings"])
+    return chain
 
 
 def running_totals(events: DataFrame, key: str, ts: Column, tiebreak: str, value: Column,
@@ -168,3 +187,69 @@ def following_time(rows: DataFrame, keys: list[str], ts: str, tiebreak: list[str
     inside = Window.partitionBy(*keys, "_block").orderBy(ts, *tiebreak)
     return marked.withColumn("_next", F.lead(ts).over(inside)).join(blocks, [*keys, "_block"]) \
         .withColumn(output, F.coalesce("_next", "_next_block")).drop("_block", "_next", "_next_block")
+
+
+def neighbours(rows: DataFrame, ts: str, tiebreak: list[str] | None = None, block_seconds: int = 86400,
+               fan: int = 2048) -> DataFrame:
+    """Adds ``previous`` and ``next``: the times before and after each row of one time line.
+
+    A tree of time blocks: a row looks inside its block, a block inside its
+    parent, a parent among its like, and what lies beyond an end comes
+    from the level above. No level puts more than ``fan`` rows, or those of one block, in order.
+    The rows are stored, for each level reads the one below.
+    """
+    marked = stored(rows.withColumn("_block", floor_div(epoch_seconds(F.col(ts)), block_seconds)), "time-line")
+
+    def beside(table: DataFrame, parent: str, order: list[str], first: str, last: str) -> DataFrame:
+        window = Window.partitionBy(parent).orderBy(*order)
+        return table.withColumns({"_before": F.lag(last).over(window), "_after": F.lead(first).over(window)})
+
+    blocks = marked.groupBy("_block").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last")) \
+        .withColumn("_parent", floor_div(F.col("_block"), fan))
+    parents = blocks.groupBy("_parent").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")) \
+        .withColumn("_root", floor_div(F.col("_parent"), fan))
+    parents = beside(parents, "_root", ["_parent"], "_first", "_last").select(
+        "_parent", F.col("_before").alias("_sooner"), F.col("_after").alias("_later"))
+    blocks = beside(blocks, "_parent", ["_block"], "_first", "_last").join(parents, "_parent").select(
+        "_block", F.coalesce("_before", "_sooner").alias("_sooner"), F.coalesce("_after", "_later").alias("_later"))
+    return beside(marked, "_block", [ts, *(tiebreak or [])], ts, ts).join(blocks, "_block").withColumns({
+        "previous": F.coalesce("_before", "_sooner"), "next": F.coalesce("_after", "_later")}) \
+        .drop("_block", "_before", "_after", "_sooner", "_later")
+
+
+def asof_value(rows: DataFrame, changes: DataFrame, key: str, ts: str, changed_at: str, value: str, output: str,
+               for_seconds: int | None = None, block_seconds: int = 86400) -> DataFrame:
+    """Adds ``output``: the latest ``value`` that ``changes`` gives the row's key up to its time, null
+    without one or, with ``for_seconds``, if it is that old.
+
+    Both sides meet by key and time block, so a key that holds most rows is spread over its
+    blocks; what an earlier block left is carried over the small table of blocks. Of
+    changes at one instant the greatest value counts. Rows without a key get null.
+    """
+    at = lambda column: epoch_micros(F.col(column))
+    block = lambda column: floor_div(epoch_seconds(F.col(column)), block_seconds)
+    payload = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    known = changes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), block(changed_at).alias("_block"),
+                                                          at(changed_at).alias("_at")).agg(F.max(value).alias("_value"))
+    # A row without a key belongs to no key's block, and is dealt out.
+    asked = rows.select(F.col(key).alias("_key"), F.coalesce(
+        F.when(F.col(key).isNotNull(), block(ts)), F.xxhash64(F.col(ts))).alias("_block"), at(ts).alias("_at"),
+        payload.alias("_row"))
+    found = F.struct(F.col("_at").alias("at"), F.col("_value").alias("value"))
+    both = asked.withColumn("_found", F.lit(None).cast(known.select(found).schema[0].dataType)).unionByName(
+        known.select("_key", "_block", "_at", F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), found.alias("_found")))
+    ends = known.groupBy("_key", "_block").agg(F.max(found).alias("_end")).unionByName(
+        asked.where(F.col("_key").isNotNull()).select("_key", "_block", F.lit(None).cast(
+            known.select(found).schema[0].dataType).alias("_end")).distinct()) \
+        .groupBy("_key", "_block").agg(F.max("_end").alias("_end"))
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_key").alias("_k"), F.col("_block").alias("_b"),
+                          F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    # At one instant a change comes before the rows that ask for it.
+    inside = Window.partitionBy("_key", "_block").orderBy("_at", F.col("_row").isNotNull()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = both.withColumn("_latest", F.last("_found", ignorenulls=True).over(inside)).where(F.col("_row").isNotNull()) \
+        .join(carried, (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")), "left") \
+        .withColumn("_latest", F.when(F.col("_key").isNotNull(), F.coalesce("_latest", "_carried")))
+    fresh = F.lit(True) if for_seconds is None else F.col("_at") - F.col("_latest.at") < for_seconds * 1_000_000
+    return latest.select("_row.*", F.when(fresh, F.col("_latest.value")).alias(output))

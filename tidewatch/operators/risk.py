@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import case_map, epoch_micros, floor_div
 from ..model import CRITICALITIES
-from .periods import block_stretches, running_totals
+from .periods import asof_value, block_stretches, running_totals
 
 # ---------------------------------------------------------------- fixed values
 BASE_WEIGHTS = {"low": 20.0, "medium": 50.0, "high": 75.0, "critical": 100.0}
@@ -214,3 +214,20 @@ def user_risk_at_event(events: DataFrame, points: Column, ts: str = "ts",
     named = events.filter(F.trim("username") != "")
     return running_totals(named, "username", F.col(ts), tiebreak, points, USER_RISK_DAYS * 86400) \
         .withColumn("user_risk", F.least("running", F.lit(USER_RISK_CAP))).drop("running", "stretch")
+
+
+def user_risk_of_alerts(alerts: DataFrame, events: DataFrame, points: Column, ts: str = "ts",
+                        tiebreak: str = "event_id") -> DataFrame:
+    """Alerts with ``user_risk``: their user's score when they were triggered, what happened
+    at that instant included; 0 without a user or after seven silent days."""
+    running = user_risk_at_event(events, points, ts, tiebreak).select("username", F.col(ts).alias("_at"), "user_risk")
+    return asof_value(alerts, running, "username", "triggered_at", "_at", "user_risk", "user_risk", USER_RISK_DAYS * 86400) \
+        .withColumn("user_risk", F.coalesce("user_risk", F.lit(0.0)))
+
+
+def anomaly_of_alerts(alerts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Alerts with the ``anomaly`` score that their user, host and clock hour got, or else the one they carry."""
+    keyed = alerts.withColumn("hour_start", F.date_trunc("hour", "triggered_at"))
+    found = verdicts.select("username", "hostname", "hour_start", F.col("score").alias("_score"))
+    return keyed.join(found, ["username", "hostname", "hour_start"], "left") \
+        .withColumn("anomaly", F.coalesce("_score", "anomaly")).drop("_score", "hour_start")

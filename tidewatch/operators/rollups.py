@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.basic import epoch_seconds, floor_div, name_of, rank_of
 from ..model import ANALYTIC_TABLES, SEVERITIES
 from .alerts import at_least
-from .periods import following_time
+from .periods import neighbours
+from .selection import values_at
 
 
 def since(ts: str, as_of: Column, **interval: int) -> Column:
@@ -124,9 +125,9 @@ def risk_summary(alerts: DataFrame, as_of: Column, ts: str = "triggered_at", day
 
 # ---------------------------------------------------------------------- health
 def event_rates(events: DataFrame, step: str = "5 minutes", seconds: int = 300, ts: str = "ts",
-                errors: Column | None = None) -> DataFrame:
+                errors: Column | None = None, empty: bool = True) -> DataFrame:
     """Events, per-second rate and error share for every step of the covered
-    time, empty steps included.
+    time; empty steps are included unless ``empty`` is false.
 
     The steps are generated from the first to the last counted step, so the
     number of rows is the covered time divided by the step.
@@ -134,9 +135,11 @@ def event_rates(events: DataFrame, step: str = "5 minutes", seconds: int = 300,
     bad = errors if errors is not None else F.lit(False)
     counted = events.groupBy(F.window(F.col(ts), step)["start"].alias("step_start")) \
         .agg(F.count("*").alias("events"), F.count_if(bad).alias("errors"))
-    steps = counted.agg(F.min("step_start").alias("a"), F.max("step_start").alias("b")).select(
-        F.explode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("step_start"))
-    return steps.join(counted, "step_start", "left").select(
+    if empty:
+        steps = counted.agg(F.min("step_start").alias("a"), F.max("step_start").alias("b")).select(
+            F.explode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("step_start"))
+        counted = steps.join(counted, "step_start", "left")
+    return counted.select(
         "step_start", F.coalesce("events", F.lit(0)).alias("events"),
         (F.coalesce("events", F.lit(0)) / seconds).alias("rate"),
         (F.coalesce("errors", F.lit(0)) / F.col("events")).alias("error_share"))
@@ -158,36 +161,36 @@ def trailing_rates(rates: DataFrame, steps: int = 3, seconds: int = 300) -> Data
 def held_above(rates: DataFrame, value: str, ceiling: float, for_seconds: int, seconds: int = 60) -> DataFrame:
     """Runs of neighbouring steps whose ``value`` stays above a ceiling for ``for_seconds`` or more.
 
-    A step opens a run if the one before is not above, and closes one likewise;
-    both are found by an equality join, and only the openings and closings,
-    paired by their rank, are put in order.
+    A step opens a run if the one before is not its neighbour, and closes one
+    likewise; among openings and closings, what follows an opening is its closing.
     """
-    high = rates.filter(F.col(value) > ceiling).select("step_start")
-    moved = lambda by: high.select((F.col("step_start") + F.make_interval(secs=F.lit(by))).alias("step_start"))
-    nth = F.row_number().over(Window.orderBy("step_start"))
-    opens = high.join(moved(seconds), "step_start", "left_anti").select(nth.alias("_nth"), F.col("step_start").alias("held_from"))
-    closes = high.join(moved(-seconds), "step_start", "left_anti").select(
-        nth.alias("_nth"), (F.col("step_start") + F.make_interval(secs=F.lit(seconds))).alias("held_until"))
-    return opens.join(closes, "_nth").drop("_nth") \
-        .filter(epoch_seconds(F.col("held_until")) - epoch_seconds(F.col("held_from")) >= for_seconds)
+    moved = lambda column, by: F.col(column) + F.make_interval(secs=F.lit(by))
+    high = neighbours(rates.filter(F.col(value) > ceiling).select("step_start"), "step_start")
+    opens = F.coalesce(F.col("previous") != moved("step_start", -seconds), F.lit(True))
+    closes = F.coalesce(F.col("next") != moved("step_start", seconds), F.lit(True))
+    ends = high.select("step_start", F.explode(F.array_compact(F.array(
+        F.when(opens, F.lit(0)), F.when(closes, F.lit(1))))).alias("end"))
+    runs = neighbours(ends, "step_start", ["end"]).filter("end = 0").select(
+        F.col("step_start").alias("held_from"), moved("next", seconds).alias("held_until"))
+    return runs.filter(epoch_seconds(F.col("held_until")) - epoch_seconds(F.col("held_from")) >= for_seconds)
 
 
 def silent_stretches(events: DataFrame, step: str = "5 minutes", step_seconds: int = 300,
                      for_seconds: int = 600, ts: str = "ts") -> DataFrame:
     """Runs of empty steps of ``for_seconds`` or more between two busy steps."""
     busy = events.groupBy(F.window(F.col(ts), step)["start"].alias("step_start")).agg(F.count("*").alias("events"))
-    gap = epoch_seconds(F.col("next_step")) - epoch_seconds(F.col("step_start")) - step_seconds
-    return following_time(busy, [], "step_start", [], "next_step").withColumn("_gap", gap) \
+    gap = epoch_seconds(F.col("next")) - epoch_seconds(F.col("step_start")) - step_seconds
+    return neighbours(busy, "step_start").withColumn("_gap", gap) \
         .filter(F.col("_gap") >= for_seconds) \
         .select((F.col("step_start") + F.make_interval(secs=F.lit(step_seconds))).alias("silent_from"),
-                F.col("next_step").alias("silent_until"), floor_div(F.col("_gap"), step_seconds).alias("steps"))
+                F.col("next").alias("silent_until"), floor_div(F.col("_gap"), step_seconds).alias("steps"))
 
 
 def latency_percentiles(samples: DataFrame, service: str, value: str, ts: str = "ts", step: str = "5 minutes",
                         exact: bool = True) -> DataFrame:
     """p50, p95 and p99 per service and step, between neighbours in proportion.
-    The exact form counts each value once and walks the counts in order, a sort
-    that can spill; the approximate one keeps a fixed-size summary per group."""
+    The exact form counts each value once and closes in on the ranks by cells of
+    values, so no group is sorted; the approximate one keeps a fixed-size summary per group."""
     points = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
     start = F.window(F.col(ts), step)["start"].alias("step_start")
     groups = ["service", "step_start"]
@@ -195,17 +198,13 @@ def latency_percentiles(samples: DataFrame, service: str, value: str, ts: str =
         return samples.groupBy(F.col(service).alias("service"), start) \
             .agg(*[F.percentile_approx(value, p, 10000).alias(name) for name, p in points])
     counted = samples.groupBy(F.col(service).alias("service"), start, F.col(value).cast("double").alias("_value")) \
-        .agg(F.count(value).alias("_n"))
-    sizes = counted.groupBy(*groups).agg(F.sum("_n").alias("_size"))
-    in_order = Window.partitionBy(*groups).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("_upto", F.sum("_n").over(in_order)).join(sizes, groups)
+        .agg(F.count(value).alias("_n")).where(F.col("_n") > 0)
     place = lambda p: (F.col("_size") - 1) * F.lit(p)
-    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_value")))
-    found = placed.groupBy(*groups, "_size").agg(*[
-        at(whole(place(p))).alias(f"_{name}_{side}") for name, p in points
-        for side, whole in (("low", F.floor), ("high", F.ceil))])
+    found = values_at(counted, groups, "_value", "_n", {
+        f"_{name}_{side}": whole(place(p)).cast("long") for name, p in points
+        for side, whole in (("low", F.floor), ("high", F.ceil))})
     between = lambda name, p: F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) \
-        * (place(p) - F.floor(place(p)))
+        * (place(p) - F.floor(place(p)))
     return found.select(*groups, *[between(name, p).alias(name) for name, p in points])
 
 

@@ -183,17 +183,7 @@ def match_rules(events: DataFrame, rules: list[CompiledRule]) -> DataFrame:
     rules = [rule for rule in rules if rule.enabled and not rule.aggregation]
     if not rules:
         return events.withColumns({c: F.lit(None).cast("string") for c in RULE_COLUMNS}).filter(F.lit(False))
-    typed = frozenset().union(*(rule.event_types or frozenset() for rule in rules))
-    if all(rule.event_types is not None for rule in rules):
-        events = events.filter(F.col("event_type").isin(sorted(typed)))
-    hits = None
-    for event_type in sorted(typed):
-        able = _hit_array(rules, event_type)
-        is_type = F.col("event_type") == event_type
-        hits = F.when(is_type, able) if hits is None else hits.when(is_type, able)
-    untyped = _hit_array(rules, None)
-    hits = untyped if hits is None else hits.otherwise(untyped)
-    matched = events.withColumn("_rule", F.explode(hits))
+    matched = tested_by_type(events, rules, [F.lit(position) for position in range(len(rules))], "_rule")
     literal = lambda values: F.get(F.array(*map(F.lit, values)), F.col("_rule"))
     return matched.withColumns({
         "rule_id": literal([rule.id for rule in rules]),
@@ -205,14 +195,30 @@ def match_rules(events: DataFrame, rules: list[CompiledRule]) -> DataFrame:
 RULE_COLUMNS = ["rule_id", "rule_name", "rule_severity"]
 
 
-def _hit_array(rules: list[CompiledRule], event_type: str | None) -> Column:
-    """Positions of the rules that match an event of this type."""
-    hits = [F.when(rule.match, F.lit(position)).otherwise(F.lit(-1)) for position, rule in enumerate(rules)
+def tested_by_type(events: DataFrame, rules: list[CompiledRule], found: list[Column], output: str) -> DataFrame:
+    """One row per (event, rule that matches it), with what ``found`` says of that rule as ``output``.
+
+    An event is only tested against the rules of its type.
+    """
+    typed = frozenset().union(*(rule.event_types or frozenset() for rule in rules))
+    if all(rule.event_types is not None for rule in rules):
+        events = events.filter(F.col("event_type").isin(sorted(typed)))
+    hits = None
+    for event_type in sorted(typed):
+        able = _hit_array(rules, found, event_type)
+        is_type = F.col("event_type") == event_type
+        hits = F.when(is_type, able) if hits is None else hits.when(is_type, able)
+    untyped = _hit_array(rules, found, None)
+    hits = untyped if hits is None else hits.otherwise(untyped)
+    return events.withColumn(output, F.explode(hits))
+
+
+def _hit_array(rules: list[CompiledRule], found: list[Column], event_type: str | None) -> Column:
+    """What is found of the rules that match an event of this type."""
+    hits = [F.when(rule.match, entry) for rule, entry in zip(rules, found)
             if rule.event_types is None or event_type in rule.event_types]
-    if not hits:
-        return F.array().cast("array<int>")
     # A lambda is evaluated outside whole-stage code, whose methods would grow with the rules.
-    return F.filter(F.array(*hits), lambda position: position >= 0)
+    return F.filter(F.array(*(hits or [F.when(F.lit(False), found[0])])), lambda entry: entry.isNotNull())
 
 
 def matched_conditions(rule: CompiledRule) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.basic import epoch_seconds, first_per_key, floor_div
+from ..functions.basic import epoch_micros, epoch_seconds, first_per_key, floor_div
 from ..functions.ip import is_public_ip
 from ..model import ABUSE_RESPONSE, PULSE_RESPONSE
 from .periods import following_time
+from .selection import CELLS, with_place
 
 MALICIOUS_SCORE = 80
 
@@ -192,13 +193,13 @@ def provider_support(spark) -> DataFrame:
 
 def daily_quota(calls: DataFrame, quota: int, ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
     """The first ``quota`` calls of each provider and UTC day; all when it is
-    zero or less. The ranking is limited to the quota before the shuffle."""
+    zero or less. A day is cut into time cells; those behind the quota are not
+    read again, and only a cell's calls are put in order."""
     if quota <= 0:
         return calls
-    day = F.to_date(F.col(ts))
-    order = Window.partitionBy("provider", "_day").orderBy(ts, tiebreak)
-    return calls.withColumn("_day", day).withColumn("_rank", F.row_number().over(order)) \
-        .filter(F.col("_rank") <= quota).drop("_rank", "_day")
+    at = epoch_micros(F.col(ts))
+    return with_place(calls.withColumn("_day", F.to_date(F.col(ts))), ["provider", "_day"], at, 86_400_000_000 // CELLS,
+                      [ts, tiebreak], "_place", last=quota).drop("_place", "_day")
 
 
 def merge_scores(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as A
 from ..operators import enrichment as E
+from ..operators import history as HI
 from ..operators import playbooks as P
 from ..operators import risk as H
 from ..operators import rollups as K
 from ..operators import threat_intel as TI
 from ..operators.rules import match_rules
+from ..session import work_dir
+from .baselining import BASELINES_CTE, COMBINED_CTE, combined_verdicts
 from .bindings import AS_OF, Tables, as_of, with_views
 from .catalog import query
 from .correlating import periods_sql
@@ -140,14 +143,39 @@ def alert_transition(t: Tables):
         .select("alert_id", "seq", "old_status", "new_status", "accepted", "status")
 
 
+# Commands before and after this day come as two batches.
+_SECOND_BATCH = "1998-07-01"
+_histories: dict[tuple[str, str], str] = {}
+
+
+def stored_history(t: Tables) -> str:
+    """The folder of the stored history of the given commands, written when it is first asked for."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _histories:
+        root, given = work_dir(t.spark, "alert-history"), commands(t).drop("reason", "force")
+        for number, part in enumerate((F.col("at") < _SECOND_BATCH, F.col("at") >= _SECOND_BATCH)):
+            HI.append_batch(root, t.alerts, given.where(part), number)
+        _histories[key] = root
+    return _histories[key]
+
+
 @query("alert_status_history", with_views("""
     SELECT alert_id, "at", seq, old_status, new_status, comment FROM walk WHERE accepted""", "alerts",
     ctes=lifecycle_sql()))
 def alert_status_history(t: Tables):
-    return A.status_history(A.apply_transitions(t.alerts, commands(t))) \
+    return HI.read_history(t.spark, stored_history(t)) \
         .select("alert_id", "at", "seq", "old_status", "new_status", "comment")
 
 
+@query("alert_statuses", with_views("""
+    SELECT a.alert_id, coalesce(l.status, a.status) AS status FROM alerts a
+    LEFT JOIN (SELECT alert_id, arg_max(status, n) AS status FROM walk WHERE accepted GROUP BY alert_id) l USING (alert_id)""",
+    "alerts", ctes=lifecycle_sql()))
+def alert_statuses(t: Tables):
+    """Alerts with the status that the stored batches left them in."""
+    return HI.read_statuses(stored_history(t), t.alerts, 1).select("alert_id", "status")
+
+
 @query("alert_resolve", with_views("""
     SELECT a.alert_id, coalesce(l.status, a.status) AS status, coalesce(l.changes, 0) AS change_count,
       l.resolved_at, l.acknowledged_at, l.false_positive_at, l.resolution_comment, l.resolution_reason
@@ -169,8 +197,10 @@ def alert_resolve(t: Tables):
     WHERE accepted AND "at" >= TIMESTAMP '2001-08-02' - INTERVAL 24000 HOUR AND "at" < TIMESTAMP '2001-08-02'
     GROUP BY ALL""", "alerts", ctes=lifecycle_sql()))
 def lifecycle_stats(t: Tables):
-    history = A.status_history(A.apply_transitions(t.alerts, commands(t)))
-    return K.lifecycle_summary(history, as_of("2001-08-02 00:00:00"), hours=24000)
+    """Out of the stored history; nothing is replayed."""
+    until = as_of("2001-08-02 00:00:00")
+    history = HI.read_history(t.spark, stored_history(t), until - F.make_interval(hours=F.lit(24000)), until)
+    return K.lifecycle_summary(history, until, hours=24000)
 
 
 # ------------------------------------------------------------------------ risk
@@ -217,16 +247,40 @@ def risk_score(t: Tables):
         F.round("factor_anomaly_boost", 6).alias("anomaly_boost"))
 
 
+# ------------------------------------------------------ risk, from events to scores
+_POINTS = ("CASE risk_event WHEN 'auth.failed' THEN 5.0 WHEN 'malware.detected' THEN 25.0 WHEN 'policy.violation' "
+           "THEN 10.0 WHEN 'network.command_and_control' THEN 30.0 ELSE 1.0 END::DOUBLE")
+_RISKY = f"""risky AS (SELECT *, {_POINTS} / 10.0 AS points FROM sec_events
+      WHERE username <> ''),
+    marked AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY username ORDER BY ts, event_id)
+      >= 604800000000, false)::INT AS fresh FROM risky),
+    lives AS (SELECT *, sum(fresh) OVER (PARTITION BY username ORDER BY ts, event_id) AS life FROM marked)"""
+
+
+def _risky(t: Tables):
+    return t.sec_events, H.risk_points(F.col("risk_event")) / 10.0
+
+
 @query("risk_pipeline", with_views(f"""
-    SELECT alert_id, severity, criticality, threat_score, is_malicious, risk_score, {_LEVEL} AS risk_level FROM scored""",
-    "sec_events", "assets", ctes=_CREATED + ", " + _INDICATORS + ", " + _SCORES + """,
+    SELECT alert_id, severity, criticality, threat_score, is_malicious, round(user_risk, 6) AS user_risk,
+      round(anomaly, 6) AS anomaly, risk_score, {_LEVEL} AS risk_level FROM scored""",
+    "sec_events", "assets", ctes=_CREATED + ", " + _INDICATORS + ", " + _SCORES + ", " + _RISKY + ", " + BASELINES_CTE + ", "
+    + COMBINED_CTE + """,
     event_threat AS (SELECT event_id, CAST(max(score) AS INT) AS score FROM indicators JOIN scores USING (type, value) GROUP BY 1),
+    profile AS (SELECT username, ts, max(user_risk) AS user_risk FROM (SELECT username, ts, least(sum(points) OVER
+      (PARTITION BY username, life ORDER BY ts, event_id), 50.0) AS user_risk FROM lives) GROUP BY ALL),
     risk_input AS (SELECT c.alert_id, c.severity, c.triggered_at, coalesce(s.criticality, d.criticality, 'low') AS criticality,
-        t.score AS threat_score, coalesce(t.score >= 80, false) AS is_malicious, 0.0::DOUBLE AS user_risk, 0.0::DOUBLE AS anomaly
-      FROM created c LEFT JOIN asset_keys s ON s.k = lower(c.source) LEFT JOIN asset_keys d ON d.k = lower(c.destination)
-      LEFT JOIN event_threat t USING (event_id)), """ + _FACTORS))
+        t.score AS threat_score, coalesce(t.score >= 80, false) AS is_malicious,
+        coalesce(p.user_risk, 0.0)::DOUBLE AS user_risk, coalesce(v.score, 0.0)::DOUBLE AS anomaly
+      FROM created c JOIN sec_events e USING (event_id)
+      LEFT JOIN asset_keys s ON s.k = lower(c.source) LEFT JOIN asset_keys d ON d.k = lower(c.destination)
+      LEFT JOIN event_threat t USING (event_id)
+      LEFT JOIN profile p ON p.username = e.username AND p.ts = e.ts
+      LEFT JOIN verdicts v ON v.username = e.username AND v.hostname = e.hostname AND v.hour_start = date_trunc('hour', e.ts)), """
+    + _FACTORS))
 def risk_pipeline(t: Tables):
-    """Events to scored alerts: enrichment on the event, rules, alerts, and scores read from what the event carries."""
+    """Events to scored alerts: enrichment on the event, rules, alerts, and scores read from what the event
+    carries, from the user's profile as it was then and from the anomalies of that hour."""
     indicators = TI.extract_indicators(t.rich_events)
     tagged = E.join_assets(t.rich_events, E.asset_lookup(t.assets)).withColumns({
         "_source_rank": E.criticality_rank(F.col("source_asset")),
@@ -234,9 +288,12 @@ def risk_pipeline(t: Tables):
     enriched = E.write_enrichment(tagged.join(TI.join_scores(indicators, _scores(indicators)), "event_id", "left"),
                                   E.ASSET_KEYS | {"threat_intel": "threat_intel"})
     alerts = A.create_alerts(match_rules(enriched, compiled_rules(t.rich_events)), source_rank=F.col("_source_rank"),
-                             destination_rank=F.col("_destination_rank"), keep=("username", "enrichment"))
-    scored = H.score_alerts(H.read_enrichment(alerts).withColumn("user_risk", F.lit(0.0)))
-    return scored.select("alert_id", "severity", "criticality", "threat_score", "is_malicious", "risk_score", "risk_level")
+                             destination_rank=F.col("_destination_rank"), keep=("username", "hostname", "enrichment"))
+    profiled = H.user_risk_of_alerts(H.read_enrichment(alerts), *_risky(t))
+    scored = H.score_alerts(H.anomaly_of_alerts(profiled, combined_verdicts(t)))
+    return scored.select("alert_id", "severity", "criticality", "threat_score", "is_malicious",
+                         F.round("user_risk", 6).alias("user_risk"), F.round("anomaly", 6).alias("anomaly"),
+                         "risk_score", "risk_level")
 
 
 @query("risk_level", with_views(f"SELECT alert_id, {_LEVEL} AS risk_level FROM scored", "sec_events",
@@ -283,26 +340,11 @@ def off_hours(t: Tables):
                                H.off_hours(F.col("ts"), "22:00-06:00").alias("night_shift"))
 
 
-_POINTS = ("CASE risk_event WHEN 'auth.failed' THEN 5.0 WHEN 'malware.detected' THEN 25.0 WHEN 'policy.violation' "
-           "THEN 10.0 WHEN 'network.command_and_control' THEN 30.0 ELSE 1.0 END::DOUBLE")
-
-
 @query("user_risk_increment", with_views(f"SELECT event_id, {_POINTS} AS points FROM sec_events", "sec_events"))
 def user_risk_increment(t: Tables):
     return t.sec_events.select("event_id", H.risk_points(F.col("risk_event")).alias("points"))
 
 
-_RISKY = f"""risky AS (SELECT *, {_POINTS} / 10.0 AS points FROM sec_events
-      WHERE username <> ''),
-    marked AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY username ORDER BY ts, event_id)
-      >= 604800000000, false)::INT AS fresh FROM risky),
-    lives AS (SELECT *, sum(fresh) OVER (PARTITION BY username ORDER BY ts, event_id) AS life FROM marked)"""
-
-
-def _risky(t: Tables):
-    return t.sec_events, H.risk_points(F.col("risk_event")) / 10.0
-
-
 @query("user_risk_profile", with_views(f"""
     SELECT username, round(least(sum(points), 50.0), 6) AS score, count(*) AS event_count, max(ts) AS last_updated,
       arg_max(event_type, ts) AS last_event_type

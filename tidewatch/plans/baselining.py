@@ -14,7 +14,7 @@ DAYS = 30
 _WINDOW = f"ts >= TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY AND ts < TIMESTAMP '{AS_OF}' AND username <> ''"
 _MOMENTS = ("round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS stddev, min(n) AS min_value, max(n) AS max_value, "
             "count(*) AS sample_count")
-_BASELINES = f"""
+BASELINES_CTE = f"""
     user_hour AS (SELECT username, CAST(hour(h) AS INT) AS hour_of_day, avg(n) AS mean, stddev_pop(n) AS stddev,
         min(n) AS min_value, max(n) AS max_value, count(*) AS sample_count FROM
       (SELECT username, date_trunc('hour', ts) AS h, count(*) AS n FROM sec_events WHERE {_WINDOW} GROUP BY ALL)
@@ -36,19 +36,19 @@ def rounded(rows, *names: str):
 
 
 @query("baseline_user_hour", with_views(f"SELECT username, hour_of_day, {_ROUNDED} FROM user_hour", "sec_events",
-                                        ctes=_BASELINES))
+                                        ctes=BASELINES_CTE))
 def user_hour(t: Tables):
     return rounded(G.user_hour_baseline(t.sec_events, as_of(), DAYS), "mean", "stddev")
 
 
 @query("baseline_user_host_conn", with_views(f"SELECT username, hostname, {_ROUNDED} FROM conn", "sec_events",
-                                             ctes=_BASELINES))
+                                             ctes=BASELINES_CTE))
 def user_host_conn(t: Tables):
     return rounded(G.connection_baseline(t.sec_events, as_of(), DAYS), "mean", "stddev")
 
 
 @query("baseline_user_host_ports", with_views(f"SELECT username, hostname, {_ROUNDED} FROM ports", "sec_events",
-                                              ctes=_BASELINES))
+                                              ctes=BASELINES_CTE))
 def user_host_ports(t: Tables):
     return rounded(G.port_baseline(t.sec_events, as_of(), DAYS), "mean", "stddev")
 
@@ -58,7 +58,7 @@ def user_host_ports(t: Tables):
       TIMESTAMP '{AS_OF}' AS calculated_at, {DAYS} AS window_days FROM user_hour
     UNION ALL SELECT 'user_host_conn', username, hostname, NULL, {_ROUNDED}, TIMESTAMP '{AS_OF}', {DAYS} FROM conn
     UNION ALL SELECT 'user_host_ports', username, hostname, NULL, {_ROUNDED}, TIMESTAMP '{AS_OF}', {DAYS} FROM ports
-    """, "sec_events", ctes=_BASELINES))
+    """, "sec_events", ctes=BASELINES_CTE))
 def store(t: Tables):
     return rounded(G.baseline_snapshot(t.sec_events, as_of(), DAYS), "mean", "stddev")
 
@@ -74,7 +74,7 @@ _SNAPSHOTS = f"""snapshots AS (
     SELECT username, hostname, calc_date, calculated_at, round(mean, 6) AS mean FROM
       (SELECT *, CAST(calculated_at AS DATE) AS calc_date FROM snapshots)
     QUALIFY row_number() OVER (PARTITION BY metric_type, username, hostname, hour_of_day, calc_date
-      ORDER BY calculated_at DESC) = 1""", "sec_events", ctes=_BASELINES + ", " + _SNAPSHOTS))
+      ORDER BY calculated_at DESC) = 1""", "sec_events", ctes=BASELINES_CTE + ", " + _SNAPSHOTS))
 def latest(t: Tables):
     base = G.connection_baseline(t.sec_events, as_of(), DAYS)
     at = lambda stamp, plus: base.select(
@@ -92,7 +92,7 @@ def latest(t: Tables):
       (SELECT username, hostname, mean + 1 AS mean, TIMESTAMP '2024-01-30 06:00:00' AS calculated_at FROM conn
        WHERE username LIKE '%1' UNION ALL
        SELECT username, hostname, mean, TIMESTAMP '2024-01-29 20:00:00' FROM conn WHERE NOT username LIKE '%1'
-         AND NOT username LIKE '%2')""", "sec_events", ctes=_BASELINES))
+         AND NOT username LIKE '%2')""", "sec_events", ctes=BASELINES_CTE))
 def valid(t: Tables):
     """Stored snapshots read back 25 hours before an evening: older and later ones do not answer."""
     path = work_dir(t.spark, "baselines")
@@ -134,7 +134,7 @@ _OUT = ["observed", "z_score", "is_anomalous", "score"]
 
 
 @query("anomaly_hourly", with_views(_verdict("username, hour_start", _OBS_HOUR, "user_hour", "username, hour_of_day"),
-                                    "sec_events", ctes=_BASELINES))
+                                    "sec_events", ctes=BASELINES_CTE))
 def anomaly_hourly(t: Tables):
     baseline = G.user_hour_baseline(t.sec_events, as_of(), DAYS)
     return rounded(G.hourly_anomalies(t.sec_events, baseline), "z_score", "score") \
@@ -143,7 +143,7 @@ def anomaly_hourly(t: Tables):
 
 @query("anomaly_connection", with_views(
     _verdict("username, hostname, hour_start", _OBS_CONN, "conn", "username, hostname"), "sec_events",
-    ctes=_BASELINES))
+    ctes=BASELINES_CTE))
 def anomaly_connection(t: Tables):
     baseline = G.connection_baseline(t.sec_events, as_of(), DAYS)
     return rounded(G.connection_anomalies(t.sec_events, baseline), "z_score", "score") \
@@ -152,7 +152,7 @@ def anomaly_connection(t: Tables):
 
 @query("anomaly_ports", with_views(
     _verdict("username, hostname, hour_start", _OBS_PORT, "ports", "username, hostname", "1.0"), "sec_events",
-    ctes=_BASELINES))
+    ctes=BASELINES_CTE))
 def anomaly_ports(t: Tables):
     """With the fixed current value 1 in place of the observed count."""
     baseline = G.port_baseline(t.sec_events, as_of(), DAYS)
@@ -168,7 +168,7 @@ def anomaly_score(t: Tables):
     return t.sec_events.select("event_id", F.round(G.anomaly_score(z), 6).alias("score"))
 
 
-_COMBINED = f"""
+COMBINED_CTE = f"""
     seen AS (SELECT username, hostname, date_trunc('hour', ts) AS hour_start, count(*) AS events,
       count(DISTINCT destination_port) FILTER (destination_port > 0) AS n_ports
       FROM sec_events WHERE username <> '' GROUP BY ALL),
@@ -193,7 +193,7 @@ _COMBINED = f"""
       CASE WHEN b0 OR b1 OR b2 THEN 'multiple_metrics' ELSE 'none' END AS metric FROM checks)"""
 
 
-def _combined(t: Tables):
+def combined_verdicts(t: Tables):
     return G.combined_anomalies(
         G.hourly_observations(t.sec_events), G.user_hour_baseline(t.sec_events, as_of(), DAYS),
         G.host_baselines(t.sec_events, as_of(), DAYS))
@@ -201,17 +201,17 @@ def _combined(t: Tables):
 
 @query("anomaly_combine", with_views("""
     SELECT username, hostname, hour_start, events, is_anomalous, round(score, 6) AS score, reasons, metric
-    FROM verdicts""", "sec_events", ctes=_BASELINES + ", " + _COMBINED))
+    FROM verdicts""", "sec_events", ctes=BASELINES_CTE + ", " + COMBINED_CTE))
 def anomaly_combine(t: Tables):
     reasons = F.when(F.col("is_anomalous"), F.size(F.split("reason", "; "))).otherwise(F.lit(0))
-    return rounded(_combined(t), "score").withColumn("reasons", reasons) \
+    return rounded(combined_verdicts(t), "score").withColumn("reasons", reasons) \
         .select("username", "hostname", "hour_start", "events", "is_anomalous", "score", "reasons", "metric")
 
 
 @query("anomaly_hour_memo", with_views("""
     SELECT event_id, coalesce(is_anomalous, false) AS is_anomalous, round(coalesce(score, 0.0), 6) AS score
     FROM sec_events e LEFT JOIN verdicts v ON e.username = v.username AND e.hostname = v.hostname
-      AND date_trunc('hour', e.ts) = v.hour_start""", "sec_events", ctes=_BASELINES + ", " + _COMBINED))
+      AND date_trunc('hour', e.ts) = v.hour_start""", "sec_events", ctes=BASELINES_CTE + ", " + COMBINED_CTE))
 def anomaly_hour_memo(t: Tables):
-    return rounded(G.memoized_verdicts(t.sec_events, _combined(t)), "score") \
+    return rounded(G.memoized_verdicts(t.sec_events, combined_verdicts(t)), "score") \
         .select("event_id", "is_anomalous", "score")

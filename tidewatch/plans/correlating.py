@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.basic import micros_to_ntz
-from ..operators.alerts import create_alerts, deduplicate
+from ..operators.alerts import create_alerts, create_group_alerts, deduplicate
 from ..operators.correlation import (
-    aggregate_rule, aggregate_value, expiring_counters, first_group, group_key, having_column, rolling_rule,
-    trailing_window, tumbling_fires, tumbling_rule, v2_keyed)
+    aggregate_rule, aggregate_rules, aggregate_value, expiring_counters, first_group, group_key, having_column,
+    rolling_rule, run_rules, trailing_window, tumbling_fires, tumbling_rule, v2_keyed)
 from ..operators.fields import EventFields
-from ..operators.rules import compile_rule
+from ..operators.rules import compile_rule, compile_rules
 from .bindings import Tables, with_views
 from .catalog import query
 
@@ -222,3 +222,99 @@ def brute_force_alerts(t: Tables):
     firing = matched.join(busy, ["username", "source_ip", "_day"], "left_semi").withColumns({
         "rule_id": F.lit(rule.id), "rule_name": F.lit(rule.name), "rule_severity": F.lit(rule.severity)})
     return deduplicate(create_alerts(firing)).select("dedup_key", "alert_count", "first_seen", "last_seen")
+
+
+# A folder of a hundred rules: forty on single events, forty that aggregate over a trailing
+# window, twenty of the second format. Each is built beside its SQL.
+_TYPES = ["authentication_attempt", "http_request", "dns_query", "network_traffic", "process_execution"]
+_FUNCTIONS = {"count": "count(*)", "sum": "sum(bytes_sent)", "average": "avg(bytes_sent)", "min": "min(bytes_sent)",
+              "max": "max(bytes_sent)", "distinct": "count(DISTINCT destination_port)"}
+_BOUNDS = {"count": 3, "sum": 4000000, "average": 2000000, "min": 300000, "max": 4500000, "distinct": 2}
+_SIGNS = {"greater_than": ">", "greater_than_or_equal": ">=", "less_than": "<", "not_equals": "<>"}
+
+
+def _conditions(number: int) -> tuple[list[dict], str]:
+    port, sent = number % 60, 400000 + 90000 * (number % 40)
+    return ([{"field": "destination_port", "operator": "greater_than", "value": port},
+             {"field": "bytes_sent", "operator": "greater_than_or_equal", "value": sent},
+             {"field": "username", "operator": "not_equals", "value": ""}],
+            f"event_type = '{_TYPES[number % 5]}' AND destination_port > {port} AND bytes_sent >= {sent} AND username <> ''")
+
+
+def _event_rule(number: int) -> tuple[dict, str]:
+    conditions, where = _conditions(3 * number)
+    rule = {"id": f"event-{number}", "name": f"Event {number}", "severity": "low", "conditions": conditions,
+            "triggers": [{"type": "event", "eventType": _TYPES[3 * number % 5]}]}
+    return rule, f"""SELECT 'event-{number}' AS rule_id, 'low' AS severity, CAST(event_id AS VARCHAR) AS event_id,
+        NULL AS group_key, ts AS first_seen, ts AS last_seen, 1 AS event_count, NULL AS aggregated_value,
+        NULL AS first_event_id FROM sec_events WHERE {where}"""
+
+
+def _grouped(rule_id: str, severity: str, kind: str, key: str, source: str, having: str, window: str = "") -> str:
+    return f"""SELECT '{rule_id}', '{severity}', NULL, {key}, min(ts), max(ts), count(*), CAST({_FUNCTIONS[kind]} AS DOUBLE),
+        arg_min(event_id, struct_pack(ts := ts, id := event_id)) FROM {source} GROUP BY {key}{window}
+        HAVING {_FUNCTIONS[kind]} {having}"""
+
+
+def _trailing_rule(number: int) -> tuple[dict, str]:
+    conditions, where = _conditions(number)
+    kind = ("count", "sum", "average", "min", "max")[number % 5]
+    operator = list(_SIGNS)[number // 5 % 4]
+    keys = (["source_ip"], ["username", "source_ip"], ["hostname"], [])[number // 10]
+    days, bound = number % 3 * 9, _BOUNDS[kind]
+    aggregation = {"type": kind, "groupBy": keys, "having": {"field": "bytes_sent", "operator": operator, "value": bound}}
+    if days:
+        aggregation |= {"size": days, "unit": "days"}
+        where += f" AND ts >= (SELECT max(ts) FROM sec_events WHERE {where}) - INTERVAL {days} DAY"
+    rule = {"id": f"trailing-{number}", "name": f"Trailing {number}", "severity": "high", "conditions": conditions,
+            "triggers": [{"type": "event", "eventType": _TYPES[number % 5]}], "aggregation": aggregation}
+    key = "concat_ws('|', " + ", ".join(f"coalesce({k}, 'null')" for k in keys) + ")" if keys else "'all'"
+    return rule, _grouped(rule["id"], "high", kind, key, f"(SELECT * FROM sec_events WHERE {where})",
+                          f"{_SIGNS[operator]} {bound}", "" if keys else ", event_type")
+
+
+def _tumbling_rule(number: int) -> tuple[dict, str]:
+    kind = ("count", "sum", "average", "distinct")[number % 4]
+    field = "destination_port" if kind == "distinct" else "bytes_sent"
+    key, seconds = ("username", "source_ip")[number % 2], (6, 24, 240)[number % 3] * 3600
+    rule = {"id": f"tumbling-{number}", "name": f"Tumbling {number}", "severity": "medium", "enabled": number != 13,
+            "trigger": {"source_types": [_TYPES[number % 5]]},
+            "condition": {"operator": "gte", "value": _BOUNDS[kind], "aggregation": {
+                "function": kind, "field": field, "group_by": key, "window_seconds": seconds}}}
+    source = f"(SELECT * FROM sec_events WHERE event_type = '{_TYPES[number % 5]}' AND {str(number != 13).lower()})"
+    return rule, _grouped(rule["id"], "medium", kind, f"coalesce({key}, 'unknown')", source, f">= {_BOUNDS[kind]}",
+                          f", CAST(floor(epoch(ts)) AS BIGINT) // {seconds}")
+
+
+_RULE_SET = [_event_rule(n) for n in range(40)] + [_trailing_rule(n) for n in range(40)] + [_tumbling_rule(n) for n in range(20)]
+_ALL_FOUND = " UNION ALL ".join(sql for _, sql in _RULE_SET)
+_GROUPS_FOUND = " UNION ALL ".join(sql for _, sql in [_RULE_SET[0], *_RULE_SET[40:]])
+
+
+def _compiled_set(t: Tables):
+    fields = EventFields(t.sec_events.schema)
+    rules, refused = compile_rules([rule for rule, _ in _RULE_SET], fields)
+    assert not refused
+    return rules, fields
+
+
+@query("run_rule_set", with_views(f"""
+    SELECT rule_id, severity, event_id, group_key, first_seen, last_seen, CAST(event_count AS BIGINT) AS event_count,
+      round(aggregated_value, 4) AS aggregated_value FROM ({_ALL_FOUND})""", "sec_events"))
+def run_rule_set(t: Tables):
+    """A hundred rules of both formats and all kinds over one table."""
+    rules, fields = _compiled_set(t)
+    return run_rules(t.sec_events, rules, fields).withColumn("aggregated_value", F.round("aggregated_value", 4)).drop("rule_name")
+
+
+@query("rule_set_alerts", with_views("""
+    SELECT k AS dedup_key, n AS alert_count, first_seen, last_seen FROM periods""", "sec_events", ctes=f"""
+    found AS ({_GROUPS_FOUND}),
+    raised AS (SELECT concat('dedup:', sha256(concat(rule_id, ':', CASE WHEN group_key = '' THEN 'unknown' ELSE group_key END,
+        ':unknown'))) AS dedup_key, last_seen AS ts FROM found WHERE group_key IS NOT NULL),"""
+    + periods_sql("raised", "dedup_key", "ts", 24 * 3600)))
+def rule_set_alerts(t: Tables):
+    """The groups that the set finds, as alerts: at most one a day for a rule and group."""
+    rules, fields = _compiled_set(t)
+    alerts = create_group_alerts(aggregate_rules(t.sec_events, rules, fields))
+    return deduplicate(alerts, 24 * 3600).select("dedup_key", "alert_count", "first_seen", "last_seen")

@@ -35,8 +35,7 @@ def _geo_sql(side: str) -> str:
       AND {_LONG.format('destination_ip')} BETWEEN destination.start_ip AND destination.end_ip""",
     "sec_events", "geo_ranges"))
 def join_geo(t: Tables):
-    located = E.join_geo(t.spread_events, t.geo_ranges, "source_ip", "source_geo")
-    located = E.join_geo(located, t.geo_ranges, "destination_ip", "destination_geo")
+    located = E.join_geo(t.spread_events, t.geo_ranges, {"source_ip": "source_geo", "destination_ip": "destination_geo"})
     return located.select("event_id", *[
         F.col(f"{side}_geo.{field}").alias(f"{side}_{field}")
         for side in ("source", "destination") for field in ("country", "city", "latitude")])
@@ -63,7 +62,7 @@ def join_geo_networks(t: Tables):
         .when((F.col("event_id") % 4 == 1) & (F.col("user_id") % 9 == 0), F.lit("2003::9")) \
         .when(F.col("event_id") % 4 == 1, F.concat(F.lit("2001:0db8:"), F.hex(user), F.lit("00::"), F.hex(F.col("event_id") % 65536))) \
         .otherwise(F.concat(F.lit("11."), user.cast("string"), F.lit(".1."), F.col("event_id") % 256))
-    located = E.join_geo(t.spread_events.withColumn("address", address), E.network_ranges(networks), "address", "place")
+    located = E.join_geo(t.spread_events.withColumn("address", address), E.network_ranges(networks), {"address": "place"})
     return located.select("event_id", "place.country", F.when(~F.col("place.is_private"), F.col("place.city")).alias("city"))
 
 

@@ -313,7 +313,7 @@ def health_trailing(t: Tables):
     GROUP BY run HAVING count(*) >= 2""", "sec_events"))
 def health_ceiling(t: Tables):
     """Times of two hours or more in which the rate stays above a ceiling."""
-    rates = K.event_rates(t.sec_events, step="1 hour", seconds=3600)
+    rates = K.event_rates(t.sec_events, step="1 hour", seconds=3600, empty=False)
     return K.held_above(rates, "rate", 0.004, 7200, seconds=3600)
 
 

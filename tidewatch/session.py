@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings an operator needs to give the same answer on any cluster. They are
 # all runtime settings, so they can be applied to a session that already runs.
@@ -88,3 +88,11 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         _local_root = root = _local_root or tempfile.mkdtemp(prefix="tidewatch-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written to a fresh working folder and read back: for what is used more
+    than once and costs more to make than to keep."""
+    path = work_dir(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

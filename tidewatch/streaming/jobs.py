@@ -31,8 +31,7 @@ def ingest(raw: DataFrame, ranges: DataFrame | None = None, assets: DataFrame |
     events = normalize_envelopes(fresh).withColumns({
         "source_ip": F.col("normalized.source_ip"), "destination_ip": F.col("normalized.destination_ip")})
     if ranges is not None:
-        events = join_geo(events, ranges, "source_ip", "source_geo")
-        events = join_geo(events, ranges, "destination_ip", "destination_geo")
+        events = join_geo(events, ranges, {"source_ip": "source_geo", "destination_ip": "destination_geo"})
     if assets is not None:
         events = join_assets(events, assets)
     return write_enrichment(events, GEO_KEYS | ASSET_KEYS).drop("source_ip", "destination_ip")
