@@ -24,8 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.selection import with_place
 from ..session import ship_package
 from .common import salt_of, salted, shuffle_partitions, written
 
@@ -380,11 +380,8 @@ def collocations(docs: DataFrame, min_count: int = 30, most: int = 2000, text: s
     best = scored.withColumn("score", score_of(F.col("a"), F.col("l"), F.col("r"))).groupBy("lang", "phrase", "a").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
-    # A language's best are found among the best of its parts.
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    best = best.withColumn("salt", salt_of(F.col("phrase"), 4 * SALTS)).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= most)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")) \
-        .where(F.col("rank") <= most)
+    # A score is at most a million; only the scores that can be among the best are put in order, each by itself.
+    best = with_place(written(best, "scores"), ["lang"], 1_000_000 - F.col("score"), 250,
+                      [F.desc("score"), F.desc("a"), F.asc("phrase")], "rank", last=most)
     totals = counts.where("words = 0").select("lang", F.col("total").alias("n"))
-    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
