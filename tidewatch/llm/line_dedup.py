@@ -33,7 +33,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     Rows of one id are one document. A null id counts as one document and is
     never the largest beside others. A null or empty text is one empty line. An
     empty table gives no rows. Any number of lines of a document may go; if all
-    go, the text is empty.
+    go, the text is empty. The work on a text grows with its length, however
+    many lines it has and however many of them go.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     body = F.coalesce(F.col("row").getField(text), F.lit(""))
@@ -54,10 +55,12 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
                .where(F.col("doc") < F.col("last_doc"))
                .groupBy("doc", "text_key").agg(F.collect_set("position").alias("dropped")))
 
-    parts = F.split(body, "\n")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
-    kept = F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n")
+    n_lines = F.size(F.split(body, "\n"))
+    stays = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("dropped"))
+    # The text is split once, whatever the number of its lines: the array is bound before it is looked into.
+    kept = F.get(F.transform(F.array(F.split(body, "\n")), lambda parts: F.array_join(
+        F.transform(stays, lambda i: F.get(parts, i)), "\n")), F.lit(0))
     return rows.join(dropped, ["doc", "text_key"], "left").select(
         "row", F.when(F.col("dropped").isNull(), body).otherwise(kept).alias("kept_text"),
-        F.size(parts).cast("long").alias("n_lines"),
+        n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
