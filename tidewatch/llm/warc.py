@@ -156,6 +156,17 @@ def parse_records(data: bytes):
         at += 4
 
 
+def members(data: bytes):
+    """The content of each gzip member of a file, one after the other; anything else in it is an error."""
+    while data:
+        unzip = zlib.decompressobj(31)
+        content = unzip.decompress(data)
+        if not unzip.eof:
+            raise ValueError("archive ends inside a gzip member")
+        data = unzip.unused_data
+        yield content
+
+
 class _Page:
     """The payload of a response, from segments in order."""
 
@@ -209,7 +220,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     """One row for each page of the archives: id, url, length and digest of the full payload, whether it
     is a response or a revisit and of what page; with ``payloads`` a response's payload too.
 
-    Whole records are decoded where they are read. Segments are dealt out by
+    A file may be one gzip member or one for each record. Whole records are decoded where they are read. Segments are dealt out by
     their origin's identifier, sorted by number and decoded one after the other, so that
     no page is held whole unless its payload is asked for. A missing segment, a
     wrong total length or digest is an error.
@@ -218,8 +229,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
     def parse(batch):
         for content in batch.column(0):
-            unzip, rows = zlib.decompressobj(31), []
-            for headers, block in parse_records(unzip.decompress(content.as_py())):
+            rows = []
+            for headers, block in (found for member in members(content.as_py()) for found in parse_records(member)):
                 kind, segment = headers["warc-type"], int(headers.get("warc-segment-number", 0))
                 if segment:
                     total = int(headers.get("warc-segment-total-length", 0))
