@@ -689,3 +689,36 @@ def test_run_writes_each_stage(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
         str(tmp_path / "documents.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(20))
+
+
+def test_one_long_text_in_time_that_grows_with_it(spark):
+    """200,000 lines, half of which two other documents have too."""
+    import time
+    shared = [f"a line that others have as well {i}" for i in range(100_000)]
+    long = [line for i, line in enumerate(shared) for line in (line, f"a line of its own with the number {i}")]
+    rows = [(1, "\n".join(long)), (2, "\n".join(shared)), (3, "\n".join(shared)), (4, "short")]
+    started = time.time()
+    found = {r.row.doc_id: r for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert time.time() - started < 60
+    assert found[1].n_dropped == 100_000 and found[1].kept_text == "\n".join(long[1::2])
+    assert (found[2].n_dropped, found[2].kept_text, found[3].n_dropped, found[3].kept_text) == (100_000, "", 0, rows[2][1])
+
+
+def test_archives_of_one_member_a_record(spark):
+    import gzip
+    bodies = [b"first page", b"", b"third " * 5000]
+    path = work_dir(spark, "members")
+    os.makedirs(path.removeprefix("file:"))
+    records = []
+    for number, body in enumerate(bodies):
+        digest = warc.base32(hashlib.sha1(body).hexdigest())
+        records += warc.page_records(number, 10 + number, "http://x", body, digest, None, 8000)
+    with open(f"{path.removeprefix('file:')}/part-0.warc.gz", "wb") as out:
+        out.write(b"".join(gzip.compress(record) for record in records))
+    found = {r.page_id: r.payload for r in warc.read_archives(spark, path, payloads=True).collect()}
+    assert found == {10 + number: bytearray(body) for number, body in enumerate(bodies)}
+    whole = b"".join(gzip.compress(record) for record in records)
+    with pytest.raises(Exception):
+        list(warc.members(whole + b"tail"))
+    with pytest.raises(ValueError):
+        list(warc.members(whole[:-9]))

@@ -75,3 +75,9 @@ def salted(rows: DataFrame, salts: int) -> DataFrame:
 
 def salt_of(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, salts: int = 8) -> DataFrame:
+    """Inner join of ``rows`` with narrow rows ``side``, unique by ``keys``, of which one may match a
+    third of ``rows``: these are dealt out by ``spread``, and each row of ``side`` goes to all ``salts``."""
+    return rows.withColumn("salt", salt_of(F.col(spread), salts)).join(salted(side, salts), [*keys, "salt"]).drop("salt")

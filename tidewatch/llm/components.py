@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: every node hangs its larger neighbours,
     then its smaller ones, on its smallest. The number of edges does not grow,
-    nothing is gathered by node, and each round's edges are written.
+    the edges of a node are dealt out, and each round's edges are written.
     """
     rows = edges.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
     rows = written(rows, "edges")
@@ -25,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = rows.select(F.col("high").alias("u"), F.col("low").alias("v")).union(rows.select("low", "high"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
+        large = join_hot(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
         least = large.groupBy("high").agg(F.min("low").alias("m"))
-        joined = large.join(least, "high").select(
+        joined = join_hot(large, least, ["high"], "low").select(
             F.explode(F.array(F.struct(F.col("low").alias("high"), F.col("m").alias("low")),
                               F.struct(F.col("high").alias("high"), F.col("m").alias("low")))).alias("e"))
         rows = written(joined.select("e.*").where("high <> low").distinct(), "edges")

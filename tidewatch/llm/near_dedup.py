@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, by_batch, keyed_texts, plain_id, salt_of, salted, ship_package, written
+from .common import MASK64, by_batch, join_hot, keyed_texts, plain_id, salt_of, salted, ship_package, written
 from .components import components
 
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6
@@ -242,7 +242,7 @@ def group_near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int
     nodes = classes.select(F.col("first.node").alias("node"))
     keys = signed.select("node", "keys").join(nodes, "node").select("node", F.explode("keys").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    pairs = (keys.join(leaders.select("key", "leader"), "key").where("node <> leader")
+    pairs = (join_hot(keys, leaders.select("key", "leader"), ["key"], "node").where("node <> leader")
              .select("leader", "node").distinct())
     pairs = written(pairs, "pairs")
 
@@ -259,7 +259,7 @@ def group_near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int
 
     # Each leader against its members.
     sizes = pairs.groupBy("leader").agg(_count_blocks().alias("blocks"))
-    asked = pairs.join(sizes, "leader").select(
+    asked = join_hot(pairs, sizes, ["leader"], "node").select(
         "leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("query"), "node")
     led = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("query"))
     rows = (asked.join(shingles, "node").select("leader", "query", F.lit(0).alias("data"), F.lit(0).alias("side"), "node",
@@ -278,7 +278,7 @@ def group_near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int
              .select("leader", F.col("most.root").alias("main"), F.col("n").alias("n_all"),
                      (F.col("n") - F.col("most.n")).alias("n_query")))
     apart = apart.select("leader", "main", _blocks("n_query").alias("queries"), _blocks("n_all").alias("datas"))
-    open_members = members.join(apart, "leader")
+    open_members = join_hot(members, apart, ["leader"], "node")
 
     def dealt(own, others, side):
         block = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
