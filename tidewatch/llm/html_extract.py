@@ -1,9 +1,9 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks at block-level tags. The first pass decides the clear
-blocks: by the container they stand in, and by length, link density and the
-density of stop words. The second gives each undecided block the label of its
-nearest decided neighbours.
+blocks by length, link density and the density of stop words; the container that
+a block stands in counts as one more measure. The second gives each undecided
+block the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -57,6 +57,10 @@ NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 END_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in RAW}
 
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
+SHORT_CHARS, LONG_CHARS = 70, 140
+LINKED = 0.5  # share of a block's characters inside links from which it is a link
+MENU = 3  # linked blocks in a row
+SPARSE, DENSE = 0.05, 0.12  # share of stop words
 
 
 @dataclass
@@ -93,6 +97,7 @@ def blocks(page: str) -> list[Block]:
     """Cut a page at its block-level tags."""
     found: list[Block] = []
     open_elements: list[tuple[str, bool, bool, bool]] = []  # name, article, outside, heading
+    counts: dict[str, int] = {}
     texts: list[str] = []
     link_chars = links = 0
     state = ("", False, False, False)
@@ -140,18 +145,22 @@ def blocks(page: str) -> list[Block]:
         elif name in VOID or name == "a":
             continue
         if closing:
-            for i in range(len(open_elements) - 1, -1, -1):
-                if open_elements[i][0] == name:
-                    if name not in BLOCK:
-                        end_block()
-                    del open_elements[i:]
-                    break
+            # Counted by name, so that a closing tag without a partner costs nothing.
+            if counts.get(name):
+                if name not in BLOCK:
+                    end_block()
+                while True:
+                    counts[open_elements[-1][0]] -= 1
+                    if open_elements.pop()[0] == name:
+                        break
         else:
             top = len(open_elements) - 1
             while top >= 0 and open_elements[top][0] not in BLOCK:
                 top -= 1
             if top >= 0 and (open_elements[top][0] == "p" and name in CLOSES_P
                              or open_elements[top][0] == name and name in CLOSE_THEMSELVES):
+                for element in open_elements[top:]:
+                    counts[element[0]] -= 1
                 del open_elements[top:]
             state = open_elements[-1] if open_elements else ("", False, False, False)
             outside = state[2] or marks(name, attributes, state[1])
@@ -159,6 +168,7 @@ def blocks(page: str) -> list[Block]:
                 if name not in BLOCK:
                     end_block()
                 role_main = 'role="main"' in attributes
+                counts[name] = counts.get(name, 0) + 1
                 open_elements.append((name, state[1] or name in INSIDE or role_main, outside,
                                       name in ("h1", "h2", "h3", "h4", "h5", "h6")))
         state = open_elements[-1] if open_elements else ("", False, False, False)
@@ -171,43 +181,74 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def linked_share(block: Block) -> float:
+    return block.link_chars / max(1, len("".join(block.text.split())))
+
+
 def first_pass(block: Block, has_article: bool) -> str:
-    """The label of a clear block, else ``NEAR`` or ``SHORT``."""
-    size = len(block.text)
-    linked = block.link_chars / max(1, len("".join(block.text.split())))
-    if block.outside or linked > 0.5:
-        return BAD
-    if has_article:
-        if not block.article:
-            return BAD
-        return GOOD if size >= 70 or not linked else SHORT
-    if linked > 0.2 or block.text.startswith("\N{COPYRIGHT SIGN}"):
+    """The label of a clear block, else ``NEAR`` or ``SHORT``.
+
+    Words that mark what is not the article, and links outside one, are clear. Other blocks
+    are decided by length and the density of stop words; inside a marked article, a
+    sparser text is clear, and outside of it, on a page that has one, none is.
+    """
+    size, inside = len(block.text), has_article and block.article
+    linked = linked_share(block)
+    if block.outside or not inside and linked > 0.2:
         return BAD
-    if size < 70:
-        return SHORT
+    if size < SHORT_CHARS or linked > LINKED:
+        return SHORT if inside or not has_article else BAD
     density = stop_density(block.text)
-    if density >= 0.12 and size >= 140:
+    if inside:
+        return GOOD if density >= SPARSE else NEAR
+    if has_article:
+        return NEAR if density >= DENSE and size >= LONG_CHARS else BAD
+    if density >= DENSE and size >= LONG_CHARS:
         return GOOD
-    return NEAR if density >= 0.05 or size >= 140 else SHORT
+    return NEAR if density >= SPARSE or size >= LONG_CHARS else SHORT
+
 
+def menus(labels: list[str], found: list[Block]) -> list[str]:
+    """Linked blocks in a row are a menu, wherever they stand."""
+    labels, start = list(labels), 0
+    for at in range(len(found) + 1):
+        if at == len(found) or linked_share(found[at]) <= LINKED:
+            if at - start >= MENU:
+                labels[start:at] = [BAD] * (at - start)
+            start = at + 1
+    return labels
 
-def second_pass(labels: list[str], found: list[Block]) -> list[bool]:
+
+def second_pass(labels: list[str], found: list[Block], has_article: bool) -> list[bool]:
     """Undecided blocks take the label of the nearest decided neighbours. If the two
-    differ, near-good blocks and headings before a good block stay, short ones go."""
-    decided = [i for i, label in enumerate(labels) if label in (GOOD, BAD)]
-    any_good = any(labels[i] == GOOD for i in decided)
+    differ, near-good blocks and headings before a good block stay, short ones go.
+
+    Inside a marked article only its own blocks are neighbours, and what lies between a
+    good and a bad one, or has no decided neighbour, stays. Outside of it a block needs two good
+    neighbours. Where nothing on a page is good, its undecided blocks are its text.
+    """
+    everywhere = [i for i, label in enumerate(labels) if label in (GOOD, BAD)]
+    own = [i for i in everywhere if found[i].article and not found[i].outside]
+    any_good = any(labels[i] == GOOD for i in everywhere)
     kept = []
     for i, label in enumerate(labels):
         if label in (GOOD, BAD):
             kept.append(label == GOOD)
             continue
-        if not any_good:
-            kept.append(label == NEAR)
-            continue
+        inside = has_article and found[i].article
+        decided = own if inside else everywhere
         at = bisect_left(decided, i)
-        before = at > 0 and labels[decided[at - 1]] == GOOD
-        after = at < len(decided) and labels[decided[at]] == GOOD
-        kept.append(before and after or (before or after) and label == NEAR or after and found[i].heading)
+        before = labels[decided[at - 1]] if at else None
+        after = labels[decided[at]] if at < len(decided) else None
+        if inside:
+            kept.append(GOOD in (before, after) or before == after == None)  # noqa: E711
+        elif not any_good:
+            kept.append(not has_article)
+        elif has_article:
+            kept.append(before == after == GOOD)
+        else:
+            kept.append(before == after == GOOD or GOOD in (before, after) and label == NEAR
+                        or after == GOOD and found[i].heading)
     return kept
 
 
@@ -215,15 +256,16 @@ def main_text(page: str) -> str:
     """The article's blocks in page order, one to a line; empty if there are none."""
     found = blocks(page)
     has_article = any(b.article and not b.outside for b in found)
-    labels = [first_pass(b, has_article) for b in found]
-    return "\n".join(b.text for b, keep in zip(found, second_pass(labels, found)) if keep)
+    labels = menus([first_pass(b, has_article) for b in found], found)
+    return "\n".join(b.text for b, keep in zip(found, second_pass(labels, found, has_article)) if keep)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``.
 
     A null or empty page has an empty text. Cut-off pages, unclosed elements
-    and unfinished tags are read as far as they go. Repeated rows are extracted
+    and unfinished tags are read as far as they go, in time that grows with the
+    page, however long it is. Repeated rows are extracted
     each; an empty table gives no rows; other columns are dropped.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
