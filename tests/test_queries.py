@@ -19,7 +19,8 @@ QUERIES, SQL = catalog.all_queries(), catalog.all_sql()
 SAMPLE = ["cond_not_in", "match_all_rules", "agg_rule_rolling", "agg_tumbling_fires", "baseline_store", "anomaly_combine",
           "join_geo", "join_assets", "extract_indicators", "ti_valid_asof", "join_packet_sni", "alert_dedup_week",
           "alert_resolve", "risk_score", "user_risk_profile", "alert_page", "health_silence", "mask_pii_email",
-          "privacy_erase", "extract_urls", "audit_search", "convert_v2_rules", "stream_user_risk", "import_assets_csv", "stream_rules", "stream_dedup_alerts"]
+          "privacy_erase", "extract_urls", "audit_search", "convert_v2_rules", "stream_user_risk", "import_assets_csv", "stream_rules", "stream_dedup_alerts", "run_rule_set", "rule_set_alerts", "risk_pipeline", "alert_statuses",
+          "ti_daily_quota", "health_percentiles", "health_ceiling", "lifecycle_stats"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables not present")
 
@@ -68,7 +69,7 @@ def test_no_pairwise_joins(spark, name):
     assert "SortMergeJoin" in text
 
 
-@pytest.mark.parametrize("name", ["ti_daily_quota", "agg_tumbling_fires", "scan_assets"])
+@pytest.mark.parametrize("name", ["scan_assets", "baseline_latest"])
 def test_rankings_are_limited_before_the_shuffle(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert "WindowGroupLimit" in text and "Partial" in text

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.basic import case_map, epoch_seconds, floor_div
 from ..model import ALERT_STATUSES, SEVERITIES, STATUS_MOVES
+from .paging import rows_at
 from .periods import fixed_periods
 
 DEDUP_SECONDS = 60 * 60
@@ -111,7 +112,7 @@ def allowed_move(old: Column, new: Column) -> Column:
     return (old == new) | moves
 
 
-def apply_transitions(alerts: DataFrame, commands: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def apply_transitions(alerts: DataFrame, commands: DataFrame, chunk_seconds: int = 30 * 86400) -> DataFrame:
     """Every command with the status it met, whether it was accepted, and the
     status after it.
 
@@ -327,12 +328,13 @@ def alerts_by_rule(alerts: DataFrame, rule_id: str, limit: int = 100) -> DataFra
 
 def alert_page(alerts: DataFrame, page: int, size: int, severity: str | None = None) -> DataFrame:
     """One page, newest first, with the total count and number of pages. Page
-    and count are two small jobs over the same filter, not one global window."""
+    and count are two small jobs over the same filter, not one global window; a
+    deep page is found by counts of time cells."""
     page, size = max(page, 1), max(size, 1)
     found = alerts.filter(F.col("severity") == severity.lower()) if severity else alerts
     total = found.agg(F.count("*").alias("n"))
-    rows = found.orderBy(F.desc("triggered_at"), F.desc("created_at"), "alert_id") \
-        .offset((page - 1) * size).limit(size)
+    rows = rows_at(found, [F.desc("triggered_at"), F.desc("created_at"), F.asc("alert_id")], "triggered_at",
+                   (page - 1) * size, size)
     return rows.withColumn("total_count", total.scalar()) \
         .withColumn("total_pages", F.ceil(F.col("total_count") / size).cast("bigint"))
 

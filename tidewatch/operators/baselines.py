@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -108,6 +108,42 @@ def host_baselines(events: DataFrame, as_of: Column, days: int = 7, ts: str = "t
         for name in ("conn", "ports") for part in ("mean", "stddev")])
 
 
+# -------------------------------------------------------------- partials by day
+def day_partials(observed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(by user, day and hour of day; by user, host and day) of ``hourly_observations``: counts, sums and
+    sums of squares, out of which the baselines of any number of whole days are merged."""
+    day = F.to_date("hour_start").alias("day")
+    users = observed.groupBy("username", "hour_start").agg(F.sum("events").alias("n")) \
+        .select("username", day, F.hour("hour_start").alias("hour_of_day"), "n")
+    measured = {"conn": F.col("events"), "ports": F.when(F.col("ports") > 0, F.col("ports"))}
+    hosts = observed.filter(F.col("hostname") != "").groupBy("username", "hostname", day).agg(*[part for name, value in measured.items()
+        for part in (F.count(value).alias(f"{name}_n"), F.sum(value).alias(f"{name}_sum"), F.sum(value * value).alias(f"{name}_squares"))])
+    return users, hosts
+
+
+def write_partials(observed: DataFrame, path: str) -> None:
+    """Add the partials of some days to those stored, a folder for each day."""
+    for name, rows in zip(("users", "hosts"), day_partials(observed)):
+        rows.repartition("day").write.mode("append").partitionBy("day").parquet(f"{path}/{name}")
+
+
+def merged_baselines(spark: SparkSession, path: str, as_of: Column, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(``user_hour_baseline``, ``host_baselines``) of the ``days`` whole days before ``as_of``, from
+    stored partials alone; other days are not read."""
+    last = F.to_date(as_of)
+    recent = lambda name: spark.read.parquet(f"{path}/{name}").filter(
+        (F.col("day") >= F.date_sub(last, days)) & (F.col("day") < last))
+    users = _enough(recent("users").groupBy("username", "hour_of_day").agg(*moments("n")))
+    summed = recent("hosts").groupBy("username", "hostname").agg(*[
+        F.sum(f"{name}_{part}").alias(f"{name}_{part}") for name in ("conn", "ports") for part in ("n", "sum", "squares")])
+    n, total, squares = (lambda name, part=part: F.col(f"{name}_{part}").cast("double") for part in ("n", "sum", "squares"))
+    described = {"mean": lambda name: total(name) / n(name),
+                 "stddev": lambda name: F.sqrt(n(name) * squares(name) - total(name) * total(name)) / n(name)}
+    return users, summed.select("username", "hostname", *[
+        F.when(n(name) >= MIN_SAMPLES, value(name)).alias(f"{name}_{part}")
+        for name in ("conn", "ports") for part, value in described.items()])
+
+
 def valid_baseline(snapshots: DataFrame, as_of: Column, hours: int = BASELINE_HOURS) -> DataFrame:
     """Newest snapshot of each baseline at a time, unless it has outlived its ``hours``."""
     keys = ["metric_type", "username", "hostname", "hour_of_day"]

@@ -189,32 +189,44 @@ def following_time(rows: DataFrame, keys: list[str], ts: str, tiebreak: list[str
         .withColumn(output, F.coalesce("_next", "_next_block")).drop("_block", "_next", "_next_block")
 
 
+_TIME_RANGE = 1 << 36  # seconds on either side of 1970 that a time line can cover, some 2000 years
+
+
 def neighbours(rows: DataFrame, ts: str, tiebreak: list[str] | None = None, block_seconds: int = 86400,
                fan: int = 2048) -> DataFrame:
     """Adds ``previous`` and ``next``: the times before and after each row of one time line.
 
-    A tree of time blocks: a row looks inside its block, a block inside its
-    parent, a parent among its like, and what lies beyond an end comes
-    from the level above. No level puts more than ``fan`` rows, or those of one block, in order.
-    The rows are stored, for each level reads the one below.
+    A tree of time blocks with one root: a row looks inside its block, a block
+    inside its parent, and what lies beyond an end comes from the level above. No level puts
+    more than ``fan`` rows, or those of one block, in order; a line by days has two levels. The rows are
+    stored, for each level reads the one below.
     """
-    marked = stored(rows.withColumn("_block", floor_div(epoch_seconds(F.col(ts)), block_seconds)), "time-line")
+    place = floor_div(epoch_seconds(F.col(ts)) + _TIME_RANGE, block_seconds)
+    marked = stored(rows.withColumn("_0", place), "time-line")
 
     def beside(table: DataFrame, parent: str, order: list[str], first: str, last: str) -> DataFrame:
         window = Window.partitionBy(parent).orderBy(*order)
         return table.withColumns({"_before": F.lag(last).over(window), "_after": F.lead(first).over(window)})
 
-    blocks = marked.groupBy("_block").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last")) \
-        .withColumn("_parent", floor_div(F.col("_block"), fan))
-    parents = blocks.groupBy("_parent").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")) \
-        .withColumn("_root", floor_div(F.col("_parent"), fan))
-    parents = beside(parents, "_root", ["_parent"], "_first", "_last").select(
-        "_parent", F.col("_before").alias("_sooner"), F.col("_after").alias("_later"))
-    blocks = beside(blocks, "_parent", ["_block"], "_first", "_last").join(parents, "_parent").select(
-        "_block", F.coalesce("_before", "_sooner").alias("_sooner"), F.coalesce("_after", "_later").alias("_later"))
-    return beside(marked, "_block", [ts, *(tiebreak or [])], ts, ts).join(blocks, "_block").withColumns({
+    levels, blocks = 0, -(-2 * _TIME_RANGE // block_seconds)
+    while blocks > 1:
+        levels, blocks = levels + 1, -(-blocks // fan)
+    tables, first, last = [], ts, ts
+    for level in range(levels):
+        below = tables[-1] if tables else marked
+        tables.append(below.groupBy(f"_{level}").agg(F.min(first).alias("_first"), F.max(last).alias("_last"))
+                      .withColumn(f"_{level + 1}", floor_div(F.col(f"_{level}"), fan)))
+        first, last = "_first", "_last"
+    above = None
+    for level in reversed(range(levels)):
+        found = beside(tables[level], f"_{level + 1}", [f"_{level}"], "_first", "_last")
+        found = found.withColumns({"_sooner": F.col("_before"), "_later": F.col("_after")}) if above is None else \
+            found.join(above, f"_{level + 1}").withColumns({
+                "_sooner": F.coalesce("_before", "_sooner"), "_later": F.coalesce("_after", "_later")})
+        above = found.select(f"_{level}", "_sooner", "_later")
+    return beside(marked, "_0", [ts, *(tiebreak or [])], ts, ts).join(above, "_0").withColumns({
         "previous": F.coalesce("_before", "_sooner"), "next": F.coalesce("_after", "_later")}) \
-        .drop("_block", "_before", "_after", "_sooner", "_later")
+        .drop("_0", "_before", "_after", "_sooner", "_later")
 
 
 def asof_value(rows: DataFrame, changes: DataFrame, key: str, ts: str, changed_at: str, value: str, output: str,

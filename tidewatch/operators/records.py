@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.basic import all_of
 from ..model import STRING_MAP
 from .enrichment import apply_changes
-
-
-def paged(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    page, size = max(page, 1), max(size, 1)
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size)
+from .paging import rows_at
 
 
 # ---------------------------------------------------------------------- assets
@@ -33,7 +29,8 @@ def list_assets(assets: DataFrame, search: str | None = None, asset_type: str |
         tests.append(F.col("owner").ilike(f"%{owner}%"))
     if tag:
         tests.append(F.array_contains("tags", tag))
-    return paged(assets.filter(all_of(tests)), [F.desc("created_at"), F.col("id")], page, size)
+    page, size = max(page, 1), max(size, 1)
+    return rows_at(assets.filter(all_of(tests)), [F.desc("created_at"), F.asc("id")], "created_at", (page - 1) * size, size)
 
 
 def lookup_asset(assets: DataFrame, asset_id=None, ip: str | None = None, hostname: str | None = None) -> DataFrame:
@@ -61,8 +58,7 @@ def search_audit(audit: DataFrame, user: str | None = None, action: str | None =
         tests.append(F.col("timestamp") >= since)
     if until is not None:
         tests.append(F.col("timestamp") <= until)
-    return audit.filter(all_of(tests)).orderBy(F.desc("timestamp"), "id") \
-        .offset(max(offset, 0)).limit(limit)
+    return rows_at(audit.filter(all_of(tests)), [F.desc("timestamp"), F.asc("id")], "timestamp", offset, limit)
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:

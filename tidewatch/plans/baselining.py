@@ -193,10 +193,33 @@ COMBINED_CTE = f"""
       CASE WHEN b0 OR b1 OR b2 THEN 'multiple_metrics' ELSE 'none' END AS metric FROM checks)"""
 
 
+_partials: dict[tuple[str, str], str] = {}
+
+
+def stored_partials(t: Tables) -> str:
+    """The folder of the day partials of the given events, written when they are first asked for."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _partials:
+        path = work_dir(t.spark, "partials")
+        G.write_partials(G.hourly_observations(t.sec_events), path)
+        _partials[key] = path
+    return _partials[key]
+
+
 def combined_verdicts(t: Tables):
+    """What is seen in each hour against the baselines that the stored days give."""
     return G.combined_anomalies(
-        G.hourly_observations(t.sec_events), G.user_hour_baseline(t.sec_events, as_of(), DAYS),
-        G.host_baselines(t.sec_events, as_of(), DAYS))
+        G.hourly_observations(t.sec_events), *G.merged_baselines(t.spark, stored_partials(t), as_of(), DAYS))
+
+
+@query("baseline_merged", with_views("""
+    SELECT username, hostname, round(conn.mean, 6) AS conn_mean, round(conn.stddev, 6) AS conn_stddev,
+      round(ports.mean, 6) AS ports_mean, round(ports.stddev, 6) AS ports_stddev
+    FROM conn FULL JOIN ports USING (username, hostname)""", "sec_events", ctes=BASELINES_CTE))
+def baseline_merged(t: Tables):
+    """Baselines of users and hosts out of the stored partials of each day."""
+    hosts = G.merged_baselines(t.spark, stored_partials(t), as_of(), DAYS)[1]
+    return rounded(hosts, "conn_mean", "conn_stddev", "ports_mean", "ports_stddev").where("conn_mean IS NOT NULL")
 
 
 @query("anomaly_combine", with_views("""

@@ -12,6 +12,7 @@ from .bindings import AS_OF, ORDERS_AS_OF, Tables, as_of, with_views
 from .catalog import query
 
 _SINCE = "2001-07-01 00:00:00"
+_AUDIT_COLUMNS = '"timestamp", id, user_name, action'
 _ALERT = "alert_id, rule_id, severity, status, triggered_at, created_at, risk_score"
 
 
@@ -43,6 +44,22 @@ def alert_page(t: Tables):
     return page.select(*_ALERT.split(", "), "total_count", "total_pages")
 
 
+@query("alert_page_deep", with_views(f"""
+    SELECT {_ALERT}, (SELECT count(*) FROM alerts) AS total_count,
+      CAST(ceil((SELECT count(*) FROM alerts) / 100.0) AS BIGINT) AS total_pages
+    FROM alerts ORDER BY triggered_at DESC, created_at DESC, alert_id LIMIT 100 OFFSET 14000""", "alerts"))
+def alert_page_deep(t: Tables):
+    """Page 141: found by counts, not by ordering all rows before it."""
+    page = A.alert_page(t.alerts, 141, 100)
+    return page.select(*_ALERT.split(", "), "total_count", "total_pages")
+
+
+@query("audit_search_deep", with_views(f"""
+    SELECT {_AUDIT_COLUMNS} FROM audit ORDER BY "timestamp" DESC, id LIMIT 250 OFFSET 12000""", "audit"))
+def audit_search_deep(t: Tables):
+    return R.search_audit(t.audit, limit=250, offset=12000).select("timestamp", "id", "user_name", "action")
+
+
 @query("alert_page_after", with_views(f"""
     SELECT {_ALERT} FROM alerts WHERE severity = 'critical' AND (triggered_at < TIMESTAMP '{_SINCE}'
       OR triggered_at = TIMESTAMP '{_SINCE}' AND alert_id > 100)
@@ -141,9 +158,6 @@ def asset_lookup(t: Tables):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_AUDIT_COLUMNS = '"timestamp", id, user_name, action'
-
-
 @query("audit_search", with_views(f"""
     SELECT {_AUDIT_COLUMNS} FROM audit WHERE user_name = 'user_7' AND action = 'login'
       AND "timestamp" >= TIMESTAMP '1997-01-01' AND "timestamp" <= TIMESTAMP '2000-01-01'

@@ -140,6 +140,18 @@ def privacy_erase(t: Tables):
     return audit.unionByName(alerts).unionByName(assets)
 
 
+@query("privacy_erase_files", with_views("""
+    SELECT alert_id, username, severity FROM alerts WHERE username NOT IN (SELECT user_name FROM subjects)""",
+    "alerts", ctes=_SUBJECTS))
+def privacy_erase_files(t: Tables):
+    """The stored alerts after an erasure that rewrites only the files which hold a subject."""
+    path = work_dir(t.spark, "erasure")
+    t.alerts.select("alert_id", "username", "severity").repartitionByRange(16, "username").write.partitionBy("severity").parquet(path)
+    who = subjects(t)
+    PR.erase_in_files(t.spark, path, who, "username", lambda rows: PR.erase_rows(rows, who, "username"), ["severity"])
+    return t.spark.read.parquet(path)
+
+
 @query("privacy_access_export", with_views("""
     SELECT user_name, 'audit' AS source_table, concat('', id) AS row_id, status AS body_status FROM audit
       WHERE user_name IN (SELECT user_name FROM subjects)

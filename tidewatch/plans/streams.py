@@ -12,15 +12,17 @@ from ..operators import risk as H
 from ..operators.alerts import dedup_key
 from ..operators.enrichment import asset_lookup
 from ..operators.fields import EventFields
+from ..operators.correlation import v2_having
 from ..operators.rules import compile_rule
-from ..session import work_dir
+from ..model import NORMALIZED
+from ..session import stored, work_dir
 from ..sources import envelopes as EN
 from ..streaming import jobs as J
-from ..streaming.sinks import run_append, run_update, stream_files
+from ..streaming.sinks import run_append, run_batches, run_update, stream_files
 from .bindings import Tables, views, with_metadata, with_views
 from .catalog import query
 from .correlating import ANSWERS, V2_LOGINS, _AUTH, _NET, _WINDOWED, periods_sql
-from .enriching import PACKETS_SQL, _ASSET_KEYS, _LONG, names_of, packets_of, private_sql
+from .enriching import PACKETS_SQL, _ASSET_KEYS, _INDICATORS, _LONG, _SCORES, _indicators, _scores, names_of, packets_of, private_sql
 from .parsing_logs import ROUTED_SQL, _PARSED_CTE, envelopes
 from .alerting import _POINTS
 from .predicates import RULE_MATCH_CTE, compiled_rules
@@ -90,6 +92,49 @@ def stream_ingest(t: Tables):
         body("source_asset", "$.criticality").alias("source_criticality"))
 
 
+def scored_topic(t: Tables) -> str:
+    """Envelopes that their sensors have normalized, as landed JSON lines."""
+    path = work_dir(t.spark, "scored-topic")
+    known = {"event_type", "severity", "source_ip", "destination_ip", "destination_port", "metadata", "username", "hostname"}
+    normal = F.struct(*[(F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in NORMALIZED])
+    messages = EN.encode_envelopes(t.rich_events.select(
+        F.concat(F.lit("e-"), "event_id").alias("event_id"), F.col("ts").cast("timestamp").alias("received_at"),
+        F.lit("sensor").alias("source"), F.lit("sensor").alias("source_type"), F.lit("").alias("raw"),
+        normal.alias("normalized"), F.create_map(F.lit("tag"), F.lit("kept")).alias("enrichment"),
+        F.lit("v1.0").alias("schema_version")))
+    messages.select("value").write.text(path)
+    return path
+
+
+@query("stream_ingest_scores", with_views("""
+    SELECT concat('e-', event_id) AS event_id, 'kept' AS tag, t.score AS threat_score, t.score >= 80 AS is_malicious,
+      coalesce(q.n, 0) AS pending
+    FROM sec_events LEFT JOIN (SELECT event_id, CAST(max(score) AS INT) AS score FROM indicators JOIN scores USING (type, value)
+      GROUP BY 1) t USING (event_id)
+    LEFT JOIN (SELECT event_id, count(DISTINCT (type, hash_type, value)) AS n FROM indicators
+      WHERE (type, value) NOT IN (SELECT (type, value) FROM scores) GROUP BY 1) q USING (event_id)""", "sec_events",
+    ctes=_INDICATORS + ", " + _SCORES))
+def stream_ingest_scores(t: Tables):
+    """Every batch meets the scores known when it runs: they travel on with the events, and what has
+    no score yet is queued for lookup."""
+    known = stored(_scores(_indicators(t)), "scores")
+    lines = EN.decode_envelopes(t.spark.readStream.text(scored_topic(t))).drop("decoded")
+    base = work_dir(t.spark, "scored")
+
+    def store(enriched, queue, batch_id: int) -> None:
+        EN.encode_envelopes(enriched).write.mode("overwrite").parquet(f"{base}/events/batch={batch_id}")
+        queue.write.mode("overwrite").parquet(f"{base}/queue/batch={batch_id}")
+
+    run_batches(lines, J.score_batches(lambda: known, store), "score-batches")
+    events, queue = t.spark.read.parquet(f"{base}/events"), t.spark.read.parquet(f"{base}/queue")
+    enrichment = F.from_json(F.get_json_object("value", "$.enrichment"), "map<string,string>")
+    threat = H.threat_from_enrichment(F.col("enrichment"))
+    pending = queue.groupBy(F.col("event_id").alias("key")).agg(F.count("*").alias("n"))
+    return events.withColumn("enrichment", enrichment).join(pending, "key", "left").select(
+        F.col("key").alias("event_id"), F.col("enrichment")["tag"].alias("tag"), threat["score"].alias("threat_score"),
+        threat["is_malicious"].alias("is_malicious"), F.coalesce("n", F.lit(0)).alias("pending"))
+
+
 @query("flatten_events", with_views("""
     SELECT event_id, event_type, source_ip, '2024-01' AS event_month,
       CASE kind WHEN 2 THEN CASE WHEN sp > 0 THEN sp ELSE 0 END ELSE 0 END AS source_port,
@@ -134,6 +179,47 @@ def stream_tumbling(t: Tables):
         .agg(F.max("event_count").alias("event_count"))
 
 
+_STREAMED = {"sum": ("sum(bytes_sent)", "gt", 2000000), "average": ("avg(bytes_sent)", "gte", 1500000),
+             "min": ("min(bytes_sent)", "lt", 200000), "max": ("max(bytes_sent)", "gte", 1000000)}
+
+
+def _stream_value(function: str, value: str, operator: str, bound: int):
+    signs = {"gt": ">", "gte": ">=", "lt": "<"}
+
+    @query(f"stream_tumbling_{function}", with_views(f"""
+        SELECT group_value, make_timestamp(window_id * 86400 * 1000000) AS window_start, count(*) AS event_count,
+          round(CAST({value} AS DOUBLE), 4) AS aggregated_value
+        FROM windowed GROUP BY ALL HAVING {value} {signs[operator]} {bound}""", "sec_events", ctes=_WINDOWED))
+    def build(t: Tables):
+        rule = V2_LOGINS | {"condition": {"operator": operator, "value": bound, "aggregation": V2_LOGINS["condition"]["aggregation"] | {
+            "function": function, "field": "bytes_sent"}}}
+        # A row may satisfy a bound in one batch and not in the next: the last word counts, so the bound is read last.
+        unbound = rule | {"condition": rule["condition"] | {"operator": "not_equals", "value": -1}}
+        events = event_stream(t)
+        stored = run_update(J.tumbling_counts(events, unbound, EventFields(events.schema)), f"tumbling-{function}")
+        last = stored.groupBy("group_value", F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(
+            F.max("event_count").alias("event_count"), F.max_by("aggregated_value", "event_count").alias("aggregated_value"))
+        return last.where(v2_having(rule, F.col("aggregated_value"))) \
+            .withColumn("aggregated_value", F.round("aggregated_value", 4))
+
+
+for _name, (_value, _operator, _bound) in _STREAMED.items():
+    _stream_value(_name, _value, _operator, _bound)
+
+
+@query("stream_tumbling_distinct", with_views("""
+    SELECT group_value, make_timestamp(window_id * 86400 * 1000000) AS window_start, count(*) AS event_count,
+      CAST(count(DISTINCT destination_port) AS DOUBLE) AS aggregated_value
+    FROM windowed GROUP BY ALL HAVING count(DISTINCT destination_port) >= 2""", "sec_events", ctes=_WINDOWED))
+def stream_tumbling_distinct(t: Tables):
+    """Different ports of a source and day: two counters in a row, no set in any state."""
+    rule = V2_LOGINS | {"condition": {"operator": "gte", "value": 2, "aggregation": V2_LOGINS["condition"]["aggregation"] | {
+        "function": "distinct", "field": "destination_port"}}}
+    events = with_sentinel(t, event_stream(t), event_type="authentication_attempt")
+    stored = run_append(J.tumbling_counts(events, rule, EventFields(events.schema)), "tumbling-distinct")
+    return stored.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("stream_sliding", with_views(f"""
     SELECT source_ip AS group_key, w AS window_end, CAST(sum(bytes_received) AS DOUBLE) AS aggregated_value
     FROM (SELECT *, unnest(generate_series(time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 12 HOUR,
@@ -179,9 +265,10 @@ def stream_user_risk(t: Tables):
                          F.col("session_start").cast("timestamp_ntz").alias("session_start"))
 
 
-def with_sentinel(t: Tables, events):
+def with_sentinel(t: Tables, events, **known: str):
     """Streams end; a far-future row lets the watermark close the last windows.
-    It is a second file source with one row and never reaches a result."""
+    It is a second file source with one row and never reaches a result; ``known`` are values
+    it needs to get as far as the watermark."""
     path = work_dir(t.spark, "sentinel")
     late = t.raw("events").agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast("bigint").alias("event_id"), (F.col("ts") + F.make_interval(days=F.lit(400))).cast("timestamp").alias("ts"))
@@ -190,7 +277,7 @@ def with_sentinel(t: Tables, events):
     row = t.spark.readStream.schema(schema).parquet(path)
     blank = [c for c in events.columns if c not in ("event_id", "ts", "username")]
     row = row.select("event_id", "ts", F.lit("~sentinel").alias("username"),
-                     *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in blank])
+                     *[F.lit(known.get(c)).cast(events.schema[c].dataType).alias(c) for c in blank])
     return events.unionByName(row.select(*events.columns))
 
 

@@ -69,17 +69,25 @@ def rule_alerts(events: DataFrame, rules: list[CompiledRule]) -> DataFrame:
 def tumbling_counts(events: DataFrame, rule: dict, fields: EventFields, delay: str = DEFAULT_DELAY,
                     ts: str = "ts") -> DataFrame:
     """Counters of a second-format rule per tumbling window, for update mode, by any of its functions.
-    Rows later than ``delay`` behind the newest event are dropped."""
+    Rows later than ``delay`` behind the newest event are dropped.
+
+    Streams have no distinct aggregates. A rule that counts different values is two
+    aggregates in a row, one counter for each value and then one for each window, so no
+    state holds a set; such a chain needs append mode, which gives every window once, when it is over.
+    """
     spec = rule["condition"]["aggregation"]
+    size = f"{int(spec['window_seconds'])} seconds"
     matching = events.filter(v2_match(rule, fields)).withColumn(
-        "group_value", v2_group_value(spec.get("group_by"), fields))
-    value = v2_value(rule, fields)
-    if "distinct" in (spec.get("function") or ""):  # streams have no distinct aggregates
-        value = F.size(F.collect_set(fields.resolve(spec["field"]).text)).cast("double")
-    return matching.withWatermark(ts, delay) \
-        .groupBy(F.window(ts, f"{int(spec['window_seconds'])} seconds").alias("w"), "group_value") \
-        .agg(F.count("*").alias("event_count"), value.alias("aggregated_value")) \
-        .select("group_value", F.col("w.start").alias("window_start"), "event_count", "aggregated_value") \
+        "group_value", v2_group_value(spec.get("group_by"), fields)).withWatermark(ts, delay)
+    if "distinct" in (spec.get("function") or ""):
+        item = fields.resolve(spec["field"]).text
+        values = matching.groupBy(F.window(ts, size).alias("v"), "group_value", item.alias("item")).agg(F.count("*").alias("n"))
+        counted = values.groupBy(F.window(F.window_time("v"), size).alias("w"), "group_value").agg(
+            F.sum("n").alias("event_count"), F.count("item").cast("double").alias("aggregated_value"))
+    else:
+        counted = matching.groupBy(F.window(ts, size).alias("w"), "group_value") \
+            .agg(F.count("*").alias("event_count"), v2_value(rule, fields).alias("aggregated_value"))
+    return counted.select("group_value", F.col("w.start").alias("window_start"), "event_count", "aggregated_value") \
         .filter(v2_having(rule, F.col("aggregated_value")))
 
 
