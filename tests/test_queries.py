@@ -69,7 +69,7 @@ def test_no_pairwise_joins(spark, name):
     assert "SortMergeJoin" in text
 
 
-@pytest.mark.parametrize("name", ["scan_assets", "baseline_latest"])
+@pytest.mark.parametrize("name", ["scan_assets"])
 def test_rankings_are_limited_before_the_shuffle(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert "WindowGroupLimit" in text and "Partial" in text

@@ -8,7 +8,7 @@ from tidewatch.session import work_dir
 from tidewatch.sources import tables as TB
 from tidewatch.operators.fields import EventFields
 from tidewatch.streaming.jobs import dedup_alerts, score_batches, tumbling_counts
-from tidewatch.streaming.sinks import run_batches, run_update, stream_files
+from tidewatch.streaming.sinks import run_append, run_batches, run_update, stream_files
 
 START = datetime(2024, 1, 1)
 
@@ -99,11 +99,16 @@ def test_work_dir_follows_the_session():
                                                          ("max", 150, 200.0), ("count", 2, 3.0)])
 def test_streamed_counters_use_the_rules_function(spark, tmp_path, function, bound, want):
     rows = [(START + timedelta(seconds=i), "a", v) for i, v in enumerate([50, 50, 200])]
-    for number in range(2):  # two files, two batches
-        spark.createDataFrame(rows[2 * number:2 * number + 2], "ts timestamp, user string, points int").coalesce(1) \
+    rows += [(START + timedelta(seconds=3), "a", 50)] if function == "distinct" else []
+    rows.append((START + timedelta(hours=5), "late", 1))  # ends the window
+    for number in range(3):  # a file is a batch
+        spark.createDataFrame(rows[2 * number:2 * number + 2] or rows[-1:], "ts timestamp, user string, points int").coalesce(1) \
             .write.mode("append").parquet(str(tmp_path / "in"))
     events = stream_files(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=1)
     rule = {"id": "r", "severity": "low", "trigger": {}, "condition": {"operator": "gt", "value": bound, "aggregation": {
         "function": function, "field": "points", "group_by": "user", "window_seconds": 3600}}}
-    stored = run_update(tumbling_counts(events, rule, EventFields(events.schema)), "test-tumbling")
+    run = run_append if function == "distinct" else run_update
+    stored = run(tumbling_counts(events, rule, EventFields(events.schema)), "test-tumbling").where("group_value = 'a'")
     assert stored.agg(F.max("aggregated_value")).first()[0] == want
+    if function == "distinct":
+        assert [r.event_count for r in stored.collect()] == [4]
