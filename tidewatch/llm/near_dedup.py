@@ -25,7 +25,7 @@ from .common import MASK64, by_batch, join_hot, keyed_texts, plain_id, salt_of,
 from .components import components
 
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6
-BLOCK = 512  # members of one side of a comparison
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # members of one side of a comparison, and about how many shingles they have
 SALTS = 32
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _WHITE = np.zeros(256, bool)
@@ -202,8 +202,9 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _blocks(column):
-    return F.ceil(F.col(column) / BLOCK).cast("int")
+def _blocks(members, shingles):
+    """Into how many blocks so many members are dealt, so that a task holds neither too many nor too long ones."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
 def group_near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80, doc_id: str = "doc_id",
@@ -240,10 +241,10 @@ def group_near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int
     classes = (signed.where("digest IS NOT NULL").groupBy("digest")
                .agg(F.min(F.struct("doc", "node")).alias("first"), F.count("*").alias("n")))
     nodes = classes.select(F.col("first.node").alias("node"))
-    keys = signed.select("node", "keys").join(nodes, "node").select("node", F.explode("keys").alias("key"))
+    keys = signed.select("node", "n_shingles", "keys").join(nodes, "node").select("node", "n_shingles", F.explode("keys").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     pairs = (join_hot(keys, leaders.select("key", "leader"), ["key"], "node").where("node <> leader")
-             .select("leader", "node").distinct())
+             .select("leader", "node", "n_shingles").distinct())
     pairs = written(pairs, "pairs")
 
     def sets(batch):
@@ -258,7 +259,7 @@ def group_near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int
     shingles = written(shingles.dropDuplicates(["node"]), "shingles")
 
     # Each leader against its members.
-    sizes = pairs.groupBy("leader").agg(_count_blocks().alias("blocks"))
+    sizes = pairs.groupBy("leader").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
     asked = join_hot(pairs, sizes, ["leader"], "node").select(
         "leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("query"), "node")
     led = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("query"))
@@ -270,14 +271,14 @@ def group_near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int
 
     # Members of one leader that are still apart.
     roots = components(first_links)
-    members = pairs.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
+    members = pairs.join(roots, "node", "left").select("leader", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     members = written(members, "members")
-    parts = members.groupBy("leader", "root").agg(F.count("*").alias("n"))
-    apart = (parts.groupBy("leader").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
-             .where(F.col("n") > F.col("most.n"))
-             .select("leader", F.col("most.root").alias("main"), F.col("n").alias("n_all"),
-                     (F.col("n") - F.col("most.n")).alias("n_query")))
-    apart = apart.select("leader", "main", _blocks("n_query").alias("queries"), _blocks("n_all").alias("datas"))
+    parts = members.groupBy("leader", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    apart = (parts.groupBy("leader").agg(F.max(F.struct("n", "root", "size")).alias("most"), F.sum("n").alias("n"),
+                                         F.sum("size").alias("size")).where(F.col("n") > F.col("most.n")))
+    apart = apart.select("leader", F.col("most.root").alias("main"), _blocks(
+        F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("queries"),
+        _blocks(F.col("n"), F.col("size")).alias("datas"))
     open_members = join_hot(members, apart, ["leader"], "node")
 
     def dealt(own, others, side):
@@ -310,10 +311,6 @@ def group_near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int
                        (first["node"] == F.col("node")).alias("is_first"))
 
 
-def _count_blocks():
-    return F.ceil(F.count("*") / BLOCK).cast("int")
-
-
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; kept if the document is its component's smallest id."""
