@@ -24,6 +24,7 @@ from .html_extract import STOP_WORDS
 from .quality_rules import CAPITALS, LETTERS, SYMBOLS, repeated_words
 
 SLOTS = 1 << 14  # hashed features
+MOST_SLOTS = 2048  # trigrams that a text is known by: 12 KB, whatever its length
 TRAINING_DOCS = 4000  # at most so many documents train the scorer: those of the smallest hashes of id and text
 KEEP = 0.1  # documents that score less are rejected; low, so that clean ones stay
 STOPS = {w.encode() for w in STOP_WORDS}
@@ -97,7 +98,8 @@ def votes(n_words: int, shares: dict[str, float]) -> list[int]:
 
 
 def features(data: bytes, n_words: int, shares: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values: each measure's level, and the shares of the text's hashed byte trigrams."""
+    """Slots and values: each measure's level, and the shares of the text's hashed byte trigrams, of
+    which a long text keeps the ``MOST_SLOTS`` largest."""
     levels = [crc32(f"{name}:{min(20, int(20 * shares[name]))}".encode()) % SLOTS for name in MEASURES]
     levels.append(crc32(b"words:%d" % n_words.bit_length()) % SLOTS)
     slots, values = np.array(levels), np.ones(len(levels))
@@ -106,6 +108,8 @@ def features(data: bytes, n_words: int, shares: dict[str, float]) -> tuple[np.nd
         grams = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(18)
         counts = np.bincount(grams, minlength=SLOTS)
         found = np.flatnonzero(counts)
+        if len(found) > MOST_SLOTS:
+            found = np.sort(found[np.argsort(-counts[found], kind="stable")[:MOST_SLOTS]])
         slots, values = np.concatenate((slots, found)), np.concatenate((values, counts[found] / len(grams)))
     return slots, values
 
@@ -196,22 +200,22 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training_do
 
     def convert(batch):
         found = []
-        for value in batch.column(0).to_pylist():
-            data = (value or "").encode()
+        for value in batch.column(1).to_pylist():
+            data = value.encode()
             n, shares = measures(data)
             slots, values = features(data, n, shares)
             found.append((_base3(votes(n, shares)), slots.astype("<u2").tobytes(), values.astype("<f4").tobytes()))
-        codes, slots, values = zip(*found)
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(slots, pa.binary()),
-                                          pa.array(values, pa.binary())], ["code", "slots", "amounts"])
+        codes, slots, values = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64()), pa.array(slots, pa.binary()),
+                                          pa.array(values, pa.binary())], ["h", "code", "slots", "amounts"])
 
-    # Hashes of different rows are even, so those below a bound are about as many as wanted, and few rows are ordered.
-    # Where equal rows leave too few, the bound is raised.
+    # Hashes of different rows are even, so those below a bound are about as many as wanted. Their features are taken
+    # where they are read, so no text leaves its task. Where equal rows leave too few, the bound is raised.
     share = 1.25 * training_docs / max(1, sum(counted.values()))
     while True:
         bound = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
-        chosen = rows.where(F.col("h") <= bound).dropDuplicates(["h"]).orderBy("h").limit(training_docs).select("text")
-        sample = by_batch(chosen, convert, "code long, slots binary, amounts binary").collect()
+        taken = by_batch(rows.where(F.col("h") <= bound), convert, "h long, code long, slots binary, amounts binary")
+        sample = taken.dropDuplicates(["h"]).orderBy("h").limit(training_docs).select("code", "slots", "amounts").collect()
         if len(sample) >= training_docs or share >= 1:
             break
         share *= 8
