@@ -102,18 +102,19 @@ def join_geo(events: DataFrame, ranges: DataFrame, columns: dict[str, str]) -> D
     themselves meet the result once for each column. A stream knows no distinct
     addresses: there each level of blocks is one more join with the table.
     """
-    lookup = geo_blocks(ranges).groupBy("geo_block").agg(F.min(F.struct("geo_size", F.struct(
+    lookup = geo_blocks(ranges).select("geo_block", F.struct("geo_size", F.struct(
         F.coalesce("country", F.lit("Unknown")).alias("country"),
         F.coalesce("country_code", F.lit("XX")).alias("country_code"),
         F.coalesce("city", F.lit("Unknown")).alias("city"),
         F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"),
         F.coalesce("timezone", F.lit("UTC")).alias("timezone"), F.lit(False).alias("is_private"),
-    ).alias("place"))).alias("_found"))
+    ).alias("place")).alias("_found"))
     fixed = F.struct(
         F.lit("Private").alias("country"), F.lit("PR").alias("country_code"), F.lit("Private Network").alias("city"),
         F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
         F.lit(None).cast("string").alias("timezone"), F.lit(True).alias("is_private"))
     if events.isStreaming:
+        lookup = lookup.groupBy("geo_block").agg(F.min("_found").alias("_found"))
         for ip, output in columns.items():
             levels = max(GEO_LEVELS.values()) if "prefix" in ranges.columns else GEO_LEVELS[4]
             located = events.withColumn("_key", F.when(~is_private_ip(F.col(ip)), address_key(F.col(ip))))
@@ -126,19 +127,20 @@ def join_geo(events: DataFrame, ranges: DataFrame, columns: dict[str, str]) -> D
             events = located.withColumn(output, F.when(is_private_ip(F.col(ip)), fixed).otherwise(place)).drop("_key", *found)
         return events
 
-    addresses = events.select(F.explode(F.array(*columns)).alias("_ip")).distinct() \
-        .where(F.col("_ip").isNotNull() & ~is_private_ip(F.col("_ip"))).withColumn("_key", address_key(F.col("_ip")))
+    addresses = events.select(F.explode(F.array(*columns)).alias("_ip")).distinct().where("_ip IS NOT NULL") \
+        .withColumn("_key", address_key(F.col("_ip")))
     levels = F.sequence(F.lit(1), ((F.length("_key") - 1) / 2).cast("int"))
     beginnings = F.transform(levels, lambda level: F.substr(F.col("_key"), F.lit(1), 2 * level + 1))
-    places = addresses.select("_ip", F.explode(beginnings).alias("geo_block")).join(lookup, "geo_block") \
+    blocks = F.when(is_private_ip(F.col("_ip")), F.array(F.lit("private"))).otherwise(beginnings)
+    private = events.sparkSession.range(1).select(F.lit("private").alias("geo_block"), F.struct(
+        F.lit(0.0).alias("geo_size"), fixed.alias("place")).alias("_found"))
+    places = addresses.select("_ip", F.explode(blocks).alias("geo_block")).join(lookup.unionByName(private), "geo_block") \
         .groupBy("_ip").agg(F.min("_found")["place"].alias("_place"))
     # Rows without an address are dealt out over keys that no address has.
     nowhere = F.concat(F.lit(" "), (F.monotonically_increasing_id() % 4096).cast("string"))
     for ip, output in columns.items():
-        located = events.withColumn("_key", F.coalesce(F.col(ip), nowhere)).join(
-            places.withColumnRenamed("_ip", "_key"), "_key", "left")
-        events = located.withColumn(output, F.when(is_private_ip(F.col(ip)), fixed).otherwise(F.col("_place"))) \
-            .drop("_key", "_place")
+        events = events.withColumn("_key", F.coalesce(F.col(ip), nowhere)) \
+            .join(places.withColumnsRenamed({"_ip": "_key", "_place": output}), "_key", "left").drop("_key")
     return events
 
 

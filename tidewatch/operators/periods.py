@@ -72,12 +72,13 @@ def fixed_periods(events: DataFrame, key: str, ts: Column, ttl_seconds: int,
     sequential by nature, but needs no rows: a key's blocks send the seconds at
     which something happened, at most one short number each, and get back the
     openings. So a key that holds most events is spread over all its blocks.
-    ``first`` is what to keep of the opening event, the smallest by ``order``.
+    ``first`` is what to keep of the opening event, the smallest by ``order``. Events
+    without a time belong to no period.
     """
     # A block meets few openings, however short a period is.
     block = min(3600, 64 * ttl_seconds)
     folded = (
-        events.withColumn("_sec", epoch_seconds(ts))
+        events.withColumn("_sec", epoch_seconds(ts)).where(F.col("_sec").isNotNull())
         .groupBy(key, "_sec")
         .agg(F.count("*").alias("_n"), F.max(ts).alias("_last"),
              F.min_by(first, order).alias("_first"), F.min(ts).alias("_start"))
@@ -91,7 +92,8 @@ def fixed_periods(events: DataFrame, key: str, ts: Column, ttl_seconds: int,
                            T.StructField("_openings", T.ArrayType(T.LongType()))])
     openings = seconds.repartition(key).sortWithinPartitions(key, "_block").mapInArrow(
         _openings(ttl_seconds, block), schema)
-    spread = blocks.join(openings, blocks[key].eqNullSafe(openings["_key"]) & (F.col("_block") == F.col("_at"))) \
+    # Null-safe on both sides: an inferred null test would make this branch's exchange another one than the openings'.
+    spread = blocks.join(openings, blocks[key].eqNullSafe(openings["_key"]) & F.col("_block").eqNullSafe(F.col("_at"))) \
         .select(key, "_openings", F.inline("_rows"))
     opened = F.array_max(F.filter("_openings", lambda opening: opening <= F.col("_sec")))
     return (
