@@ -337,3 +337,24 @@ def test_erasure_that_was_cut_off_is_completed(spark, monkeypatch):
     monkeypatch.setattr(PR._File, "delete", delete)
     PR.finish_erasure(spark, path)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [i for i in range(40) if i % 4 != 1]
+
+
+def test_lifecycle_is_an_exchange_a_step(spark):
+    """Commands to known and unknown alerts, some without a time, over few rows a batch; no join, three exchanges."""
+    rng = random.Random(11)
+    names = ["new", *A.STATUS_MOVES, "odd"]
+    alerts = spark.createDataFrame([(i, rng.choice(names[:-1])) for i in range(12)], "alert_id int, status string")
+    rows = [(rng.randrange(15), None if n % 9 == 0 else at(rng.choice([5, rng.randrange(10**7)])), n, rng.choice(names), n % 5 == 0)
+            for n in range(500)]
+    commands = spark.createDataFrame(rows, "alert_id int, at timestamp_ntz, seq int, new_status string, force boolean")
+    found = A.apply_transitions(alerts, commands, 86400)
+    text = plan(found)
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 3
+    status, want = {r.alert_id: r.status for r in alerts.collect()}, {}
+    for alert, when, seq, new, force in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or EPOCH, r[2])):
+        if alert in status:
+            old = status[alert]
+            ok = new != "odd" and (force or new == old or new in A.STATUS_MOVES[old])
+            status[alert] = new if ok else old
+            want[seq] = (alert, old, ok, status[alert])
+    assert {r.seq: (r.alert_id, r.old_status, r.accepted, r.status) for r in found.collect()} == want

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,17 +113,23 @@ def allowed_move(old: Column, new: Column) -> Column:
     return (old == new) | moves
 
 
+UNKNOWN = len(ALERT_STATUSES)  # the state of an alert nobody knows; commands leave it there
+
+
 def apply_transitions(alerts: DataFrame, commands: DataFrame, chunk_seconds: int = 30 * 86400) -> DataFrame:
-    """Every command with the status it met, whether it was accepted, and the
-    status after it.
+    """Every command to one of the alerts with the status it met, whether it was
+    accepted, and the status after it.
 
     ``commands``: alert_id, at, seq, new_status, and optionally ``force``, which
     skips the transition table. Commands of one alert depend on each other, but
-    what a run of commands does to each of the seven statuses is a small table,
+    what a run of commands does to each of the statuses is a small table,
     and such tables compose. So runs (one alert, one ``chunk_seconds`` stretch)
     are summed up in parallel, only those summaries pass through an alert's own
     order, and then all runs are replayed in parallel from their start status.
     Rows stream through in order; no run is ever gathered.
+
+    What a status is at the beginning, of an alert or of a run, travels as a row that
+    sorts before the commands, so nothing is joined: each step is one exchange.
     """
     codes = {name: code for code, name in enumerate(ALERT_STATUSES)}
     names = dict(enumerate(ALERT_STATUSES))
@@ -130,31 +137,35 @@ def apply_transitions(alerts: DataFrame, commands: DataFrame, chunk_seconds: int
     run = ["alert_id", "_chunk"]
     coded = commands.withColumns({
         "force": force, "_code": case_map(F.col("new_status"), codes, -1),
-        "_chunk": floor_div(epoch_seconds(F.col("at")), chunk_seconds),
-    }).join(alerts.select("alert_id"), "alert_id", "left_semi")
+        # Commands without a time come first.
+        "_chunk": F.coalesce(floor_div(epoch_seconds(F.col("at")), chunk_seconds), F.lit(-(1 << 62)))}).where("alert_id IS NOT NULL")
 
     key_fields = [coded.schema["alert_id"], T.StructField("_chunk", T.LongType())]
     effects = coded.select(*run, "at", "seq", "_code", "force") \
         .repartition(*run).sortWithinPartitions(*run, "at", "seq") \
         .mapInArrow(_run_effects, T.StructType([*key_fields, T.StructField("_effect", T.ArrayType(T.IntegerType()))]))
-    begins = alerts.select("alert_id", case_map(F.col("status"), codes, 0).alias("_begin"))
-    starts = effects.join(begins, "alert_id").repartition("alert_id").sortWithinPartitions(*run) \
+    # An alert begins with a table that leads every status to its own.
+    begins = alerts.select(F.col("alert_id").cast(coded.schema["alert_id"].dataType).alias("alert_id"),
+                           F.lit(None).cast("long").alias("_chunk"), F.array_repeat(
+        case_map(F.col("status"), codes, 0).cast("int"), UNKNOWN + 1).alias("_effect"))
+    starts = effects.unionByName(begins).repartition("alert_id").sortWithinPartitions(*run) \
         .mapInArrow(_run_starts, T.StructType([*key_fields, T.StructField("_start", T.IntegerType())]))
-    replay = coded.join(starts, run).repartition(*run).sortWithinPartitions(*run, "at", "seq")
+    replay = coded.unionByName(starts, allowMissingColumns=True).withColumn("_is_command", F.col("_start").isNull()) \
+        .repartition(*run).sortWithinPartitions(*run, "_is_command", "at", "seq")
     decided = replay.mapInArrow(_replay_runs, T.StructType([
         *replay.schema.fields, T.StructField("_old", T.IntegerType()), T.StructField("accepted", T.BooleanType())]))
     old = case_map(F.col("_old"), names)
     return decided.withColumns({
         "old_status": old, "status": F.when(F.col("accepted"), F.col("new_status")).otherwise(old),
-    }).drop("_chunk", "_code", "_start", "_old")
+    }).drop("_chunk", "_code", "_start", "_is_command", "_old")
 
 
 def _moves() -> np.ndarray:
     """Status after wanting ``column`` in ``row``; a forbidden move stays put. The
-    extra last column stands for a status nobody knows."""
+    extra last column stands for a status nobody knows, the last row for such an alert."""
     table = [[ALERT_STATUSES.index(want) if want == have or want in STATUS_MOVES[have] else row
               for want in ALERT_STATUSES] + [row] for row, have in enumerate(ALERT_STATUSES)]
-    return np.array(table, dtype=np.int32)
+    return np.array([*table, [UNKNOWN] * (UNKNOWN + 1)], dtype=np.int32)
 
 
 def _group_starts(*columns: pa.Array) -> np.ndarray:
@@ -177,8 +188,9 @@ def _steps(starts: np.ndarray, total: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _commands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return (batch.column("_code").to_numpy(zero_copy_only=False),
-            batch.column("force").to_numpy(zero_copy_only=False).astype(bool))
+    """Wanted status and force of each row; a row that is no command wants a status nobody knows."""
+    return (batch.column("_code").fill_null(-1).to_numpy(zero_copy_only=False),
+            batch.column("force").fill_null(False).to_numpy(zero_copy_only=False).astype(bool))
 
 
 def _key(batch: pa.RecordBatch, row: int) -> tuple:
@@ -187,7 +199,7 @@ def _key(batch: pa.RecordBatch, row: int) -> tuple:
 
 def _run_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums up each run as the end status for every possible start status."""
-    moves, unchanged = _moves(), np.arange(len(ALERT_STATUSES), dtype=np.int32)
+    moves, unchanged = _moves(), np.arange(UNKNOWN + 1, dtype=np.int32)
     open_run, open_effect, alert_type = None, None, None
 
     def emit(alerts, chunks, effects) -> pa.RecordBatch:
@@ -212,7 +224,9 @@ def _run_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield emit_open()
         for runs, rows in _steps(starts, batch.num_rows):
             wanted = codes[rows][:, None]
-            effects[runs] = np.where(forced[rows][:, None] & (wanted >= 0), wanted, moves[effects[runs], wanted])
+            after = np.where(forced[rows][:, None] & (wanted >= 0), wanted, moves[effects[runs], wanted])
+            after[:, UNKNOWN] = UNKNOWN
+            effects[runs] = after
         # The last run may go on in the next batch.
         done = pa.array(starts[:-1])
         if len(done):
@@ -223,14 +237,14 @@ def _run_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _run_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Carries an alert's status through the summaries of its runs, in order."""
-    current, state = None, 0
+    """Carries an alert's status through the summaries of its runs, in order; the first leads to its own status."""
+    current, state = None, UNKNOWN
     for batch in batches:
         if batch.num_rows == 0:
             continue
         starts = _group_starts(batch.column("alert_id"))
         effects = batch.column("_effect").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        states = batch.column("_begin").to_numpy(zero_copy_only=False)[starts].astype(np.int32)
+        states = np.full(len(starts), UNKNOWN, dtype=np.int32)
         if batch.column("alert_id")[0].as_py() == current:
             states[0] = state
         result = np.empty(batch.num_rows, dtype=np.int32)
@@ -238,30 +252,32 @@ def _run_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             result[rows] = states[alerts]
             states[alerts] = effects[rows, states[alerts]]
         current, state = batch.column("alert_id")[int(starts[-1])].as_py(), int(states[-1])
-        yield pa.RecordBatch.from_arrays([batch.column("alert_id"), batch.column("_chunk"), pa.array(result)],
-                                         names=["alert_id", "_chunk", "_start"])
+        made = pa.RecordBatch.from_arrays([batch.column("alert_id"), batch.column("_chunk"), pa.array(result)],
+                                          names=["alert_id", "_chunk", "_start"])
+        yield made.filter(pc.is_valid(batch.column("_chunk")))
 
 
 def _replay_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replays the commands of each run from its start status."""
-    moves, open_run, state = _moves(), None, 0
+    """Replays the commands of each run from its start status, which its first row tells."""
+    moves, open_run, state = _moves(), None, UNKNOWN
     for batch in batches:
         if batch.num_rows == 0:
             continue
         codes, forced = _commands(batch)
         starts = _group_starts(batch.column("alert_id"), batch.column("_chunk"))
-        states = batch.column("_start").to_numpy(zero_copy_only=False)[starts].astype(np.int32)
+        states = batch.column("_start").fill_null(UNKNOWN).to_numpy(zero_copy_only=False)[starts].astype(np.int32)
         if open_run == _key(batch, 0):
             states[0] = state
         olds, accepted = np.empty(batch.num_rows, dtype=np.int32), np.empty(batch.num_rows, dtype=bool)
         for runs, rows in _steps(starts, batch.num_rows):
             old, wanted = states[runs], codes[rows]
-            ok = (wanted >= 0) & (forced[rows] | (moves[old, wanted] == wanted))
+            ok = (wanted >= 0) & (old != UNKNOWN) & (forced[rows] | (moves[old, wanted] == wanted))
             olds[rows], accepted[rows] = old, ok
             states[runs] = np.where(ok, wanted, old)
         open_run, state = _key(batch, int(starts[-1])), int(states[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(olds), pa.array(accepted)],
-                                         names=[*batch.schema.names, "_old", "accepted"])
+        made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(olds), pa.array(accepted)],
+                                          names=[*batch.schema.names, "_old", "accepted"])
+        yield made.filter(pc.and_(batch.column("_is_command"), pa.array(olds != UNKNOWN)))
 
 
 def status_history(decided: DataFrame) -> DataFrame:
