@@ -425,7 +425,9 @@ def test_trees():
     rng = random.Random(2)
     text = "\n".join(prose(rng, 40) for _ in range(30))
     tree = merkle.Tree.of(text)
-    assert merkle.Tree.parse(tree.fingerprint()).sections == tree.sections
+    parsed = merkle.Tree.parse(tree.fingerprint())
+    assert (parsed.root, parsed.size, parsed.sections) == (tree.root, tree.size, tree.sections)
+    assert parsed.sketch.tolist() == tree.sketch.tolist()
     lines = text.split("\n")
     lines[11] = lines[11].replace(" ", " changed ", 1)
     edited = merkle.Tree.of("\n".join(lines))
@@ -454,6 +456,52 @@ def test_fingerprints_of_near_copies_across_256_bytes(spark):
     assert short.near_next == long.near_next > 0.9 and min(short.near_edited, long.near_edited) > 0.6
 
 
+def brute_likeness(left, right):
+    """Shared pieces of two texts counted one by one, each different piece once."""
+    def pieces(text):
+        data, found, begin, start = text.encode(), set(), 0, 0
+        for end in [*merkle._piece_ends(data), len(data)]:
+            found.add(zlib.crc32(data[max(begin, min(start, end - merkle.CONTEXT)):end]))
+            start = end
+            begin = end if data[end - 1] == 10 else begin
+        return found
+    left, right = pieces(left), pieces(right)
+    return 2 * len(left & right) / (len(left) + len(right))
+
+
+@pytest.mark.parametrize("words", [60, 400, 4000, 40_000])
+def test_sketches_tell_likeness_at_a_bounded_size(words):
+    rng = random.Random(words)
+    errors = []
+    for part in (0.02, 0.1, 0.3, 0.5, 0.8):
+        text = prose(rng, words).split()
+        at, n = rng.randrange(len(text)), int(part * len(text))
+        changed = text[:]
+        changed[at:at + n] = prose(rng, n).split()
+        left, right = " ".join(text), " ".join(changed)
+        trees = merkle.Tree.of(left), merkle.Tree.of(right)
+        errors.append(abs(merkle.likeness(*trees) - brute_likeness(left, right)))
+        assert merkle.likeness(*trees) < 1
+        assert len(trees[0].fingerprint()) < 32 + 8 * merkle.SKETCH + 60
+    assert max(errors) < 0.1 and sum(errors) / 5 < 0.04
+    if words == 60:
+        assert max(errors) < 0.01  # all pieces are known
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    """Ten MB of lines, one of which is changed, and many rows without an id."""
+    rng = random.Random(1)
+    lines = [prose(rng, 12) for _ in range(1000)] * 120
+    text = "\n".join(lines)
+    lines[70_000] += " changed"
+    left, right = merkle.Tree.of(text), merkle.Tree.of("\n".join(lines))
+    assert 0.99 < merkle.likeness(left, right) < 1
+    assert merkle.edited_paragraphs(left.fingerprint(), right.fingerprint()) == [70_000]
+    assert len(left.fingerprint()) < 0.2 * len(text)
+    found = merkle.compare_with_edits(frame(spark, [(None, f"text {i % 50}") for i in range(3000)] + [(1, text)])).collect()
+    assert len(found) == 3001 and {r.near_next for r in found if r.near_next == 1.0}
+
+
 # WARC
 
 def page_frame(spark, rows):

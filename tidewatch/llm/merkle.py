@@ -8,15 +8,19 @@ cut alike, so short and long ones can be compared. Equal roots mean
 equal texts; where roots differ, equal branches are skipped and the differing
 ones locate the edits.
 
-A fingerprint is the tree as text: ``root;section/section/...``, a section is
-``hash.paragraph.paragraph...`` and a paragraph ``hash:piece piece ...`` with
-six hex digits a piece: about one and a half times as long as the text.
+A fingerprint is the tree as text: ``root;pieces;sketch;section/section/...``. A
+section is ``hash.paragraph.paragraph...``, eight hex digits each. The pieces
+themselves are known by their number and a sketch, the least ``SKETCH`` of their
+hashes: at most 2 KB whatever the length of the text, and a text with fewer different pieces
+is known by all of them. The least hashes of two sketches together are an even sample of
+all pieces of both, so the share that both have tells how like the texts are, with a standard
+error of 0.03 at most.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 from itertools import groupby
 from zlib import crc32
 
@@ -32,6 +36,7 @@ PIECE_MASK = np.uint32(3)  # a piece ends at one position in 4,
 LONGEST = 128  # and at the latest after so many bytes
 CONTEXT = 12  # bytes of its paragraph up to its end that tell a shorter piece from others
 SECTION_MASK = 3  # a section ends at one paragraph in 4
+SKETCH = 256  # least hashes of pieces that a fingerprint keeps
 _MULTIPLIER = 0x9E3779B1
 
 
@@ -58,12 +63,21 @@ def _piece_ends(data: bytes) -> list[int]:
     return np.flatnonzero(ends[:size]).tolist()
 
 
+def _sketch(pieces: list[int]) -> np.ndarray:
+    """The least of the pieces' hashes, in order, each once."""
+    hashes = np.array(pieces, np.uint32)
+    hashes ^= hashes >> np.uint32(16)
+    hashes *= np.uint32(0x7FEB352D)
+    hashes ^= hashes >> np.uint32(15)
+    hashes *= np.uint32(0x846CA68B)
+    return np.unique(hashes ^ hashes >> np.uint32(16))[:SKETCH]
+
+
 class Tree:
-    """The tree of one text; a node is (hash, children, pieces below)."""
+    """The tree of one text: its root, its sections (hash, hashes of paragraphs), and the number and sketch of its pieces."""
 
-    def __init__(self, root: str, sections: list):
-        self.root, self.sections = root, sections
-        self.size = sum(s[2] for s in sections)
+    def __init__(self, root: str, size: int, sketch: np.ndarray, sections: list):
+        self.root, self.size, self.sketch, self.sections = root, size, sketch, sections
 
     @classmethod
     def of(cls, text: str) -> Tree:
@@ -72,64 +86,44 @@ class Tree:
         top, section_hash = hashlib.blake2b(digest_size=16), hashlib.blake2b(digest_size=16)
         start = begin = 0
         for end in [*_piece_ends(data), len(data)] if data else ():
-            pieces.append(crc32(data[max(begin, min(start, end - CONTEXT)):end]) & 0xFFFFFF)
+            pieces.append(crc32(data[max(begin, min(start, end - CONTEXT)):end]))
             start = end
             if data[end - 1] == 10 or end == len(data):
                 digest = hashlib.blake2b(data[begin:end], digest_size=16).digest()
-                paragraphs.append((digest[:4].hex(), pieces, len(pieces)))
+                paragraphs.append(digest[:4].hex())
                 section_hash.update(digest)
-                begin, pieces = end, []
+                begin = end
                 if digest[4] & SECTION_MASK == 0 or end == len(data):
                     digest = section_hash.digest()
                     top.update(digest)
-                    sections.append((digest[:4].hex(), paragraphs, sum(p[2] for p in paragraphs)))
+                    sections.append((digest[:4].hex(), paragraphs))
                     paragraphs, section_hash = [], hashlib.blake2b(digest_size=16)
-        return cls(top.hexdigest(), sections)
+        return cls(top.hexdigest(), len(pieces), _sketch(pieces), sections)
 
     @classmethod
     def parse(cls, fingerprint: str) -> Tree:
-        root, _, rest = fingerprint.partition(";")
-        sections = []
-        for part in rest.split("/") if rest else ():
-            name, *below = part.split(".")
-            paragraphs = []
-            for paragraph in below:
-                digest, _, codes = paragraph.partition(":")
-                pieces = [int(codes[i:i + 6], 16) for i in range(0, len(codes), 6)]
-                paragraphs.append((digest, pieces, len(pieces)))
-            sections.append((name, paragraphs, sum(p[2] for p in paragraphs)))
-        return cls(root, sections)
+        root, size, sketch, rest = fingerprint.split(";")
+        names = (part.split(".") for part in rest.split("/")) if rest else ()
+        return cls(root, int(size), np.frombuffer(bytes.fromhex(sketch), ">u4").astype(np.uint32),
+                   [(name, below) for name, *below in names])
 
     def fingerprint(self) -> str:
-        return self.root + ";" + "/".join(
-            ".".join([name, *(digest + ":" + "".join(["%06x" % p for p in pieces]) for digest, pieces, _ in paragraphs)])
-            for name, paragraphs, _ in self.sections)
-
-
-def _shared(left: list, right: list) -> int:
-    """Pieces in both: whole equal branches first, then what is below the others."""
-    if not left or not right:
-        return 0
-    if isinstance(left[0], int):
-        return (Counter(left) & Counter(right)).total()
-    pool = defaultdict(list)
-    for node in right:
-        pool[node[0]].append(node)
-    both, rest = 0, []
-    for node in left:
-        if pool.get(node[0]):
-            pool[node[0]].pop()
-            both += node[2]
-        else:
-            rest.extend(node[1])
-    return both + _shared(rest, [child for nodes in pool.values() for node in nodes for child in node[1]])
+        return ";".join((self.root, str(self.size), self.sketch.astype(">u4").tobytes().hex(),
+                         "/".join(".".join((name, *below)) for name, below in self.sections)))
 
 
 def likeness(left: Tree, right: Tree) -> float:
-    """1 for equal roots, else twice the shared pieces by all pieces."""
+    """1 for equal roots alone, else twice the shared pieces by all pieces, as far as the sketches tell."""
     if left.root == right.root:
         return 1.0
-    return 2 * _shared(left.sections, right.sections) / max(1, left.size + right.size)
+    both = np.union1d(left.sketch, right.sketch)
+    if max(len(left.sketch), len(right.sketch)) == SKETCH:
+        both = both[:SKETCH]
+    if not len(left.sketch) or not len(right.sketch):
+        return 0.0
+    shared = np.isin(both, left.sketch, assume_unique=True) & np.isin(both, right.sketch, assume_unique=True)
+    share = float(shared.sum()) / len(both)
+    return min(2 * share / (1 + share), 1 - 1 / (left.size + right.size + 1))
 
 
 def edited_paragraphs(before: str, after: str) -> list[int]:
@@ -138,12 +132,12 @@ def edited_paragraphs(before: str, after: str) -> list[int]:
     if old.root == new.root:
         return []
     same = Counter(s[0] for s in old.sections)
-    known = Counter(p[0] for s in old.sections for p in s[1])
+    known = Counter(p for s in old.sections for p in s[1])
     found, number = [], 0
-    for name, paragraphs, _ in new.sections:
+    for name, paragraphs in new.sections:
         equal = same[name] > 0
         same[name] -= equal
-        for digest, _, _ in paragraphs:
+        for digest in paragraphs:
             if not equal and known[digest] <= 0:
                 found.append(number)
             known[digest] -= 1
