@@ -261,6 +261,27 @@ def test_repeated_strings_of_hot_triggers(spark, monkeypatch, hot):
     assert ordered(map(tuple, suffix_dedup.deduplicated(frame(spark, rows)).collect())) == brute_digests(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_texts_of_short_periods(spark, monkeypatch, hot):
+    """Texts of one character or a short word again and again send few phrases, and lose what they should."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = [(1, "a" * 3000), (2, "a" * 2000 + "b" * 700), (3, "xy" * 900 + "a" * 60), (4, "y" + "xy" * 400 + "end"),
+            (5, "abc" * 500), (6, "b" * 700 + "cab" * 100), (7, "a" * 49), (8, "b" * 49 + "a" * 50)]
+    found = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.deduplicated(frame(spark, rows)).collect()}
+    want = {}
+    for doc, text in rows:
+        gone = set()
+        for i in range(len(text) - 49):
+            if any(text[i:i + 50] in other for smaller, other in rows if smaller < doc):
+                gone.update(range(i, i + 50))
+        left = "".join(c for i, c in enumerate(text) if i not in gone)
+        want[doc] = (len(gone), hashlib.sha256(left.encode()).hexdigest())
+    assert found == want
+    parser = suffix_dedup._Parser(4)
+    parser.add(1, 1, b"z" * 1_000_000)
+    assert sum(len(part) for row in parser.flush() for part in row[2:] if isinstance(part, bytes)) < 200_000
+
+
 def test_long_texts_are_parsed_in_strides(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRIDE", 256)
     monkeypatch.setattr(suffix_dedup, "FLUSH", 2000)
