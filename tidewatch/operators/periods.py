@@ -36,9 +36,9 @@ def rolling_totals(events: DataFrame, keys: list[str], ts: Column, window_second
     Each key is cut into blocks of ``block_windows`` windows; only events in
     the last window of a block are copied into the next block, so the copy
     costs 1/block_windows of the rows and a hot key spreads over all blocks. By
-    default a block is a day, or one window where that is longer.
+    default a block is as many windows as an hour holds, one at least.
     """
-    block_windows = block_windows or max(1, 86400 // window_seconds)
+    block_windows = block_windows or max(1, 3600 // window_seconds)
     span = window_seconds * 1_000_000
     block = span * block_windows
     fold = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
