@@ -317,6 +317,29 @@ def test_erasure_touches_only_files_with_a_subject(spark):
     assert PR.erase_in_files(spark, path, subjects, "owner", erase, ["kind"]) == []
 
 
+def test_erasure_of_everybody_leaves_an_empty_table(spark):
+    from tidewatch.operators import privacy as PR
+    path = work_dir(spark, "erase-all")
+    rows = spark.createDataFrame([(i, f"user_{i % 3}", f"kind_{i % 2}") for i in range(30)], "id int, owner string, kind string")
+    rows.write.partitionBy("kind").parquet(path)
+    subjects = rows.select(F.col("owner").alias("user_name")).distinct()
+    erase = lambda found: PR.erase_rows(found, subjects, "owner")
+    assert PR.erase_in_files(spark, path, subjects, "owner", erase, ["kind"])
+    assert spark.read.schema(rows.schema).parquet(path).collect() == []
+    assert PR.erase_in_files(spark, path, subjects, "owner", erase, ["kind"]) == []
+
+
+def test_erasure_query_where_everybody_is_a_subject(spark, tmp_path):
+    from tidewatch.plans import catalog
+    spark.range(50).selectExpr("id AS c_custkey", "7 AS c_nationkey", "9500.0D AS c_acctbal") \
+        .write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(100).selectExpr(
+        "id AS o_orderkey", "id % 50 AS o_custkey", "'O' AS o_orderstatus", "1000.0D AS o_totalprice",
+        "timestamp_ntz'1997-01-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    left = catalog.all_queries()["privacy_erase_files"](spark, str(tmp_path))
+    assert left.columns == ["alert_id", "username", "severity"] and left.collect() == []
+
+
 def test_erasure_that_was_cut_off_is_completed(spark, monkeypatch):
     from tidewatch.operators import privacy as PR
     path = work_dir(spark, "erase-cut")

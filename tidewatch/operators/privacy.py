@@ -44,9 +44,12 @@ def erase_in_files(spark: SparkSession, path: str, subjects: DataFrame, owner: s
     A scan of the owner column alone finds the files; only they are read,
     rewritten into a hidden folder and swapped. All others stay as they are. What is to
     be swapped is noted in the table's folder first, so an erasure that was cut
-    off is completed by the next one, or by ``finish_erasure``.
+    off is completed by the next one, or by ``finish_erasure``. Where no row stays, no file
+    stays either: such a table is read with its schema given.
     """
     finish_erasure(spark, path)
+    if not any(map(_visible, _File(spark, path).files())):
+        return []
     rows = spark.read.parquet(path)
     gone = subjects.select(F.col("user_name").alias("_subject"))
     holding = rows.select(F.col(owner).alias("_owner"), F.col("_metadata.file_path").alias("file")) \
@@ -80,6 +83,11 @@ def finish_erasure(spark: SparkSession, path: str) -> None:
     note.delete()
 
 
+def _visible(inside: str) -> bool:
+    """Whether Spark reads a file of a table's folder."""
+    return not any(name.startswith(("_", ".")) and "=" not in name for name in inside.split("/"))
+
+
 class _File:
     """A file or folder of any store that Spark reads."""
 
