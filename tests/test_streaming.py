@@ -112,3 +112,31 @@ def test_streamed_counters_use_the_rules_function(spark, tmp_path, function, bou
     assert stored.agg(F.max("aggregated_value")).first()[0] == want
     if function == "distinct":
         assert [r.event_count for r in stored.collect()] == [4]
+
+
+def test_ingested_batches_meet_places_and_assets_by_sorting(spark, tmp_path):
+    """Two batches; ranges inside each other, over the end of the IPv4 space and wholly beyond it, whose blocks nobody gathers."""
+    from tidewatch.model import ENVELOPE
+    from tidewatch.operators.enrichment import asset_lookup, geo_blocks, join_geo
+    from tidewatch.streaming.jobs import enrich_batches
+    rows = [(1, 0x0B000000, 0x0BFFFFFF, "wide"), (2, 0x0B010200, 0x0B0102FF, "narrow"), (3, 0xFFFFFF00, (1 << 32) + 65535, "end")]
+    rows += [(n, (1 << 32) + n * 65536, (1 << 32) + n * 65536 + 65535, "beyond") for n in range(4, 400)]
+    ranges = spark.createDataFrame(rows, "range_id long, start_ip long, end_ip long, country string").selectExpr(
+        "*", "'C' country_code", "'city' city", "0D latitude", "0D longitude", "'UTC' timezone")
+    assert [r.geo_block for r in geo_blocks(ranges.where("range_id > 2")).collect()] == ["4ffffff"]
+    assets = spark.createDataFrame([(1, "box", "high", "me", "host", ["t"], "11.1.2.3", "Box", START)],
+                                   "id long, name string, criticality string, owner string, asset_type string, tags array<string>, "
+                                   "ip_address string, hostname string, updated_at timestamp")
+    for name, ip in (("a", "11.1.2.3"), ("b", "11.9.9.9"), ("c", "255.255.255.7"), ("d", "16.0.4.1"), ("e", "10.0.0.1")):
+        spark.createDataFrame([(name, ip)], "event_id string, ip string").selectExpr(
+            *[f"{'event_id' if f.name == 'event_id' else 'named_struct(' + ', '.join(repr(n.name) + ', ' + ('ip' if n.name == 'source_ip' else f'cast(null as {n.dataType.simpleString()})') for n in f.dataType) + ')' if f.name == 'normalized' else f'cast(null as {f.dataType.simpleString()})'} AS {f.name}"
+              for f in ENVELOPE]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stream_files(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=3)
+    body = enrich_batches(spark, lambda: ranges, lambda: asset_lookup(assets), lambda found, n: found.selectExpr(
+        "event_id", "get_json_object(enrichment['source_geo'], '$.country') place", "get_json_object(enrichment['source_asset'], '$.name') asset")
+        .write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}")), str(tmp_path / "batch"))
+    run_batches(stream, body, "test-enrich")
+    found = {r.event_id: (r.place, r.asset) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {"a": ("narrow", "box"), "b": ("wide", None), "c": ("end", None), "d": (None, None), "e": ("Private", None)}
+    plan = join_geo(spark.createDataFrame([("11.1.2.3",)], "ip string"), ranges, {"ip": "place"})._jdf.queryExecution().toString()
+    assert "SortMergeJoin [geo_block" in plan

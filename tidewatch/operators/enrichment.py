@@ -44,9 +44,11 @@ def geo_blocks(ranges: DataFrame) -> DataFrame:
     A block lies wholly inside its range, so an address lies in a range if one of
     its beginnings is a block of the range: an equality. A level of IPv4 adds what the coarser
     ones left over at the two ends, at most 255 blocks each; an IPv6 network is at
-    most 256 blocks of one level.
+    most 256 blocks of one level. What lies beyond the last IPv4 address holds none and gets no block.
     """
     start, after = F.col("start_ip"), F.col("end_ip") + 1
+    size, space = (after - start).cast("double"), 1 << 32
+    after = F.when(after > space, F.lit(space)).otherwise(after)
     parts = []
     for level in range(1, 5):
         shift = 32 - 8 * level
@@ -59,7 +61,7 @@ def geo_blocks(ranges: DataFrame) -> DataFrame:
                 _blocks(first, F.when(whole, F.shiftleft(left, 8)).otherwise(last)),
                 F.when(whole, _blocks(F.shiftleft(right, 8), last)).otherwise(_blocks(last, last)))
         parts.append(F.transform(found, _written(2 * level)))
-    blocks, size = F.concat(*parts), (after - start).cast("double")
+    blocks = F.concat(*parts)
     if "prefix" in ranges.columns:
         bits, digits = F.col("bits"), F.col("prefix")
         whole = F.greatest(F.floor((bits - 1) / 8), F.lit(0)).cast("int")  # bytes before the one that the network ends in
@@ -100,7 +102,9 @@ def join_geo(events: DataFrame, ranges: DataFrame, columns: dict[str, str]) -> D
 
     Distinct addresses are located first, by equality with the blocks; the events
     themselves meet the result once for each column. A stream knows no distinct
-    addresses: there each level of blocks is one more join with the table.
+    addresses: there each level of blocks is one more join with the blocks of that level.
+    A range is up to hundreds of blocks, which Spark does not foresee when it measures
+    the table of ranges, so blocks are joined by sorting and never sent to the driver.
     """
     lookup = geo_blocks(ranges).select("geo_block", F.struct("geo_size", F.struct(
         F.coalesce("country", F.lit("Unknown")).alias("country"),
@@ -119,7 +123,7 @@ def join_geo(events: DataFrame, ranges: DataFrame, columns: dict[str, str]) -> D
             levels = max(GEO_LEVELS.values()) if "prefix" in ranges.columns else GEO_LEVELS[4]
             located = events.withColumn("_key", F.when(~is_private_ip(F.col(ip)), address_key(F.col(ip))))
             for level in range(1, levels + 1):
-                side = lookup.select(F.col("geo_block").alias("_at"), F.col("_found").alias(f"_found_{level}"))
+                side = lookup.where(F.length("geo_block") == 2 * level + 1).hint("merge").select(F.col("geo_block").alias("_at"), F.col("_found").alias(f"_found_{level}"))
                 block = F.when(F.length("_key") > 2 * level, F.substring("_key", 1, 2 * level + 1))
                 located = located.join(side, block == F.col("_at"), "left").drop("_at")
             found = [f"_found_{level}" for level in range(1, levels + 1)]
@@ -134,7 +138,7 @@ def join_geo(events: DataFrame, ranges: DataFrame, columns: dict[str, str]) -> D
     blocks = F.when(is_private_ip(F.col("_ip")), F.array(F.lit("private"))).otherwise(beginnings)
     private = events.sparkSession.range(1).select(F.lit("private").alias("geo_block"), F.struct(
         F.lit(0.0).alias("geo_size"), fixed.alias("place")).alias("_found"))
-    places = addresses.select("_ip", F.explode(blocks).alias("geo_block")).join(lookup.unionByName(private), "geo_block") \
+    places = addresses.select("_ip", F.explode(blocks).alias("geo_block")).join(lookup.unionByName(private).hint("merge"), "geo_block") \
         .groupBy("_ip").agg(F.min("_found")["place"].alias("_place"))
     # Rows without an address are dealt out over keys that no address has.
     nowhere = F.concat(F.lit(" "), (F.monotonically_increasing_id() % 4096).cast("string"))

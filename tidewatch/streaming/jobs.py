@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -28,7 +28,12 @@ def ingest(raw: DataFrame, ranges: DataFrame | None = None, assets: DataFrame |
     """Raw envelopes to normalized envelopes with places and assets in their
     ``enrichment``. Repeats of an event id inside the watermark are dropped."""
     fresh = raw.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["event_id"])
-    events = normalize_envelopes(fresh).withColumns({
+    return enrich(normalize_envelopes(fresh), ranges, assets)
+
+
+def enrich(envelopes: DataFrame, ranges: DataFrame | None = None, assets: DataFrame | None = None) -> DataFrame:
+    """Normalized envelopes with places and assets in their ``enrichment``."""
+    events = envelopes.withColumns({
         "source_ip": F.col("normalized.source_ip"), "destination_ip": F.col("normalized.destination_ip")})
     if ranges is not None:
         events = join_geo(events, ranges, {"source_ip": "source_geo", "destination_ip": "destination_geo"})
@@ -37,6 +42,20 @@ def ingest(raw: DataFrame, ranges: DataFrame | None = None, assets: DataFrame |
     return write_enrichment(events, GEO_KEYS | ASSET_KEYS).drop("source_ip", "destination_ip")
 
 
+def enrich_batches(spark: SparkSession, ranges: Callable[[], DataFrame], assets: Callable[[], DataFrame],
+                   store: Callable[[DataFrame, int], None], folder: str) -> Callable[[DataFrame, int], None]:
+    """Body of a foreachBatch after ``ingest`` without tables: every batch meets the places and
+    assets of its own time; ``store`` gets enriched envelopes and the batch number.
+
+    The batch is written to ``folder``, where the next one replaces it, and read by ``spark``: a session
+    of a stream with state plans without measuring, and would send tables to the driver.
+    """
+    def body(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+        store(enrich(spark.read.schema(batch.schema).parquet(folder), ranges(), assets()), batch_id)
+    return body
+
+
 def attach_scores(envelopes: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A batch of normalized envelopes with the known reputation scores of their
     indicators in ``enrichment``, and the indicators still to be looked up."""
