@@ -381,3 +381,16 @@ def test_lifecycle_is_an_exchange_a_step(spark):
             status[alert] = new if ok else old
             want[seq] = (alert, old, ok, status[alert])
     assert {r.seq: (r.alert_id, r.old_status, r.accepted, r.status) for r in found.collect()} == want
+
+
+def test_history_is_stored_without_a_second_replay(spark, monkeypatch):
+    """A range of times would be sought by running all commands first."""
+    from pyspark.sql import DataFrame
+    monkeypatch.delattr(DataFrame, "repartitionByRange")
+    alerts = spark.createDataFrame([(i, "new") for i in range(6)], "alert_id int, status string")
+    commands = spark.createDataFrame([(i % 6, at(i * 86400 * 20), i, "acknowledged" if i < 6 else "resolved") for i in range(12)],
+                                     "alert_id int, at timestamp_ntz, seq int, new_status string")
+    root = work_dir(spark, "history-once")
+    HI.append_batch(root, alerts, commands, 0)
+    assert {r.status for r in HI.read_statuses(root, alerts, 0).collect()} == {"resolved"}
+    assert HI.read_history(spark, root).count() == 12

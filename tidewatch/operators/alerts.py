@@ -114,6 +114,9 @@ def allowed_move(old: Column, new: Column) -> Column:
 
 
 UNKNOWN = len(ALERT_STATUSES)  # the state of an alert nobody knows; commands leave it there
+# A table that leads each state to another is one number: so many bits for each state.
+_BITS = UNKNOWN.bit_length()
+_PLACES = np.left_shift(np.int64(1), np.arange(UNKNOWN + 1, dtype=np.int64) * _BITS)
 
 
 def apply_transitions(alerts: DataFrame, commands: DataFrame, chunk_seconds: int = 30 * 86400) -> DataFrame:
@@ -143,11 +146,11 @@ def apply_transitions(alerts: DataFrame, commands: DataFrame, chunk_seconds: int
     key_fields = [coded.schema["alert_id"], T.StructField("_chunk", T.LongType())]
     effects = coded.select(*run, "at", "seq", "_code", "force") \
         .repartition(*run).sortWithinPartitions(*run, "at", "seq") \
-        .mapInArrow(_run_effects, T.StructType([*key_fields, T.StructField("_effect", T.ArrayType(T.IntegerType()))]))
+        .mapInArrow(_run_effects, T.StructType([*key_fields, T.StructField("_effect", T.LongType())]))
     # An alert begins with a table that leads every status to its own.
     begins = alerts.select(F.col("alert_id").cast(coded.schema["alert_id"].dataType).alias("alert_id"),
-                           F.lit(None).cast("long").alias("_chunk"), F.array_repeat(
-        case_map(F.col("status"), codes, 0).cast("int"), UNKNOWN + 1).alias("_effect"))
+                           F.lit(None).cast("long").alias("_chunk"),
+                           (case_map(F.col("status"), codes, 0).cast("long") * int(_PLACES.sum())).alias("_effect"))
     starts = effects.unionByName(begins).repartition("alert_id").sortWithinPartitions(*run) \
         .mapInArrow(_run_starts, T.StructType([*key_fields, T.StructField("_start", T.IntegerType())]))
     replay = coded.unionByName(starts, allowMissingColumns=True).withColumn("_is_command", F.col("_start").isNull()) \
@@ -203,10 +206,8 @@ def _run_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_run, open_effect, alert_type = None, None, None
 
     def emit(alerts, chunks, effects) -> pa.RecordBatch:
-        offsets = pa.array(np.arange(len(effects) + 1, dtype=np.int32) * len(unchanged))
-        return pa.RecordBatch.from_arrays(
-            [alerts, chunks, pa.ListArray.from_arrays(offsets, pa.array(effects.ravel(), pa.int32()))],
-            names=["alert_id", "_chunk", "_effect"])
+        return pa.RecordBatch.from_arrays([alerts, chunks, pa.array(effects.astype(np.int64) @ _PLACES)],
+                                          names=["alert_id", "_chunk", "_effect"])
 
     def emit_open() -> pa.RecordBatch:
         return emit(pa.array([open_run[0]], alert_type), pa.array([open_run[1]], pa.int64()), open_effect[None, :])
@@ -243,14 +244,14 @@ def _run_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows == 0:
             continue
         starts = _group_starts(batch.column("alert_id"))
-        effects = batch.column("_effect").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        effects = batch.column("_effect").to_numpy(zero_copy_only=False)
         states = np.full(len(starts), UNKNOWN, dtype=np.int32)
         if batch.column("alert_id")[0].as_py() == current:
             states[0] = state
         result = np.empty(batch.num_rows, dtype=np.int32)
         for alerts, rows in _steps(starts, batch.num_rows):
             result[rows] = states[alerts]
-            states[alerts] = effects[rows, states[alerts]]
+            states[alerts] = effects[rows] >> (states[alerts] * _BITS) & ((1 << _BITS) - 1)
         current, state = batch.column("alert_id")[int(starts[-1])].as_py(), int(states[-1])
         made = pa.RecordBatch.from_arrays([batch.column("alert_id"), batch.column("_chunk"), pa.array(result)],
                                           names=["alert_id", "_chunk", "_start"])
