@@ -140,3 +140,13 @@ def test_ingested_batches_meet_places_and_assets_by_sorting(spark, tmp_path):
     assert found == {"a": ("narrow", "box"), "b": ("wide", None), "c": ("end", None), "d": (None, None), "e": ("Private", None)}
     plan = join_geo(spark.createDataFrame([("11.1.2.3",)], "ip string"), ranges, {"ip": "place"})._jdf.queryExecution().toString()
     assert "SortMergeJoin [geo_block" in plan
+
+
+def test_scores_of_a_batch_read_the_indicators_that_were_kept(spark):
+    from tidewatch.streaming.jobs import attach_scores
+    rows = spark.createDataFrame([("a", None)], "event_id string, enrichment map<string,string>")
+    found = spark.createDataFrame([("a", "ipv4", None, "8.8.8.8", "source_ip"), ("a", "ipv4", None, "9.9.9.9", "destination_ip")],
+                                  "event_id string, type string, hash_type string, value string, enrichment_key string")
+    known = spark.createDataFrame([("ipv4", "8.8.8.8", True, 90)], "type string, value string, is_malicious boolean, score int")
+    enriched, queue = attach_scores(rows, known, found)
+    assert "90" in enriched.collect()[0].enrichment["threat_intel"] and [r.value for r in queue.collect()] == ["9.9.9.9"]

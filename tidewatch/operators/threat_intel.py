@@ -33,10 +33,11 @@ def ip_type(ip: Column) -> Column:
 
 
 def hash_type(text: Column) -> Column:
+    """By length, which is asked first because few texts have one of these."""
     kind = F.lit(None).cast("string")
     for length, name in HASH_TYPES.items():
-        kind = F.when(text.rlike(HASH) & (F.length(text) == length), F.lit(name)).otherwise(kind)
-    return kind
+        kind = F.when(F.length(text) == length, F.lit(name)).otherwise(kind)
+    return F.when(F.length(text).isin(list(HASH_TYPES)) & text.rlike(HASH), kind)
 
 
 def metadata_key(key: Column) -> Column:

@@ -56,11 +56,17 @@ def enrich_batches(spark: SparkSession, ranges: Callable[[], DataFrame], assets:
     return body
 
 
-def attach_scores(envelopes: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A batch of normalized envelopes with the known reputation scores of their
-    indicators in ``enrichment``, and the indicators still to be looked up."""
-    indicators = extract_indicators(envelopes.select(
+def envelope_indicators(envelopes: DataFrame) -> DataFrame:
+    return extract_indicators(envelopes.select(
         "event_id", "normalized.source_ip", "normalized.destination_ip", "normalized.metadata"))
+
+
+def attach_scores(envelopes: DataFrame, scores: DataFrame,
+                  indicators: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A batch of normalized envelopes with the known reputation scores of their
+    indicators in ``enrichment``, and the indicators still to be looked up. Both read the
+    ``indicators``, which cost more to find than to keep: give those of the batch if kept."""
+    indicators = envelope_indicators(envelopes) if indicators is None else indicators
     scored = envelopes.join(join_scores(indicators, scores), "event_id", "left")
     return write_enrichment(scored, {"threat_intel": "threat_intel"}), lookup_queue(indicators, scores)
 
@@ -71,10 +77,12 @@ def score_batches(scores: Callable[[], DataFrame],
     own time; ``store`` gets enriched envelopes, the lookup queue and the batch number."""
     def body(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
+        found = envelope_indicators(kept).persist()
         try:
-            enriched, queue = attach_scores(kept, scores())
+            enriched, queue = attach_scores(kept, scores(), found)
             store(enriched, queue, batch_id)
         finally:
+            found.unpersist()
             kept.unpersist()
     return body
 
