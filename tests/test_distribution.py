@@ -394,3 +394,16 @@ def test_history_is_stored_without_a_second_replay(spark, monkeypatch):
     HI.append_batch(root, alerts, commands, 0)
     assert {r.status for r in HI.read_statuses(root, alerts, 0).collect()} == {"resolved"}
     assert HI.read_history(spark, root).count() == 12
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark):
+    from tidewatch.plans.bindings import Tables
+    key = "tidewatch.inputPartitions"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        dealt = Tables(spark, "/nowhere").spread(spark.range(1000).coalesce(1))
+        parts = [len(p) for p in dealt.rdd.glom().collect()]
+        assert len(parts) == 4 and min(parts) > 200
+    finally:
+        spark.conf.set(key, before)

@@ -152,11 +152,11 @@ class Tables:
         return rows.selectExpr(*[part.replace('"timestamp"', "`timestamp`") for part in select_list])
 
     def spread(self, rows: DataFrame) -> DataFrame:
-        """The rows as they are read, unless the session says into how many parts to
-        deal them (``tidewatch.inputPartitions``): for tables of one small file, whose only row group no
-        scan can split. Set in local sessions; never by the size of the input."""
-        parts = self.spark.conf.get("tidewatch.inputPartitions", None)
-        return rows.repartition(int(parts)) if parts else rows
+        """The rows dealt out evenly, for work that costs far more a row than sending it does: no scan can
+        split a row group, so a file of few large ones would keep most cores idle. Into as many parts as
+        the session says (``tidewatch.inputPartitions``), else as a shuffle has; never by the size of the input."""
+        return rows.repartition(int(self.spark.conf.get("tidewatch.inputPartitions", None)
+                                    or self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     @cached_property
     def sec_events(self) -> DataFrame:
