@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -19,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 import corpus_pipeline  # noqa: E402
 from tidewatch.llm import (bpe, components, html_extract, line_dedup, merkle, near_dedup, packing,  # noqa: E402
                            quality_classifier, quality_rules, suffix_dedup, warc)
+from tidewatch.llm.common import written  # noqa: E402
 from tidewatch.session import work_dir  # noqa: E402
 
 PATTERN = public_tokenizers.PATTERN
@@ -302,6 +304,50 @@ def test_texts_of_one_id_whose_hashes_share_32_bits(spark):
     assert got == ordered([(1, passage), (7, "261846"), (7, other), (None, "short")])
 
 
+def test_rows_of_many_shards_are_small():
+    """With more shards than a document has phrases, what says whose a phrase is takes fewer bytes than the phrase's hashes."""
+    rng = random.Random(3)
+    parser = suffix_dedup._Parser(600)
+    for doc in range(400):
+        parser.add(doc, rng.getrandbits(63), prose(rng, 300).encode())
+    rows = parser.flush()
+    phrases = sum(len(r[-1]) for r in rows if r[1] == suffix_dedup.PHRASES) // 10
+    assert phrases > 10_000
+    assert sum(len(part) for r in rows for part in r[2:] if isinstance(part, bytes)) < 25 * phrases
+
+
+def test_rows_between_the_steps_come_back():
+    """Ids from the least to the largest, hot starts and strings without ends, below and above the size that is compressed."""
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 500):
+        docs = np.sort(rng.choice([-2**63, -5, 0, 7, 2**40, 2**63 - 1], n))
+        keys = np.where(docs == 7, np.arange(n) // 3, docs)
+        starts = rng.integers(0, 2**31 - 300, n)
+        ends = starts + rng.integers(0, 255, n) | np.where(np.arange(n) % 2, 1 << 31, 0)
+        h1, h2 = (rng.integers(0, 2**64, n, np.uint64) for _ in range(2))
+        for kind in (suffix_dedup.ASKED, suffix_dedup.STRINGS):
+            names = ["h1", "h2", *["ends"] * (kind == suffix_dedup.ASKED)]
+            row = suffix_dedup._row(0, kind, docs, keys, starts, ends, h1, h2)
+            found = suffix_dedup._columns([dict(zip(["shard", "kind", *suffix_dedup.PARTS], row))] * 2, names)
+            for name, want in {"docs": docs, "keys": keys, "starts": starts, "h1": h1, "h2": h2, "ends": ends}.items():
+                assert name not in names[2:] and name == "ends" or found[name].tolist() == [*want.tolist()] * 2
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    rows = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "step")
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(setting, None) == was
+    assert rows.count() == 7
+
+
 def test_unrepeated_rows_keep_their_columns(docs):
     got = suffix_dedup.keep_unrepeated(docs)
     assert got.columns == docs.columns
