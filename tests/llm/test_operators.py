@@ -348,6 +348,18 @@ def test_written_steps_leave_no_shuffle_files(spark):
     assert rows.count() == 7
 
 
+def test_unrepeated_texts_are_shuffled_once(spark, docs):
+    """What follows the cutting of the texts shuffles nothing."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        plan = suffix_dedup.keep_unrepeated(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, was)
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan.split("ArrowEvalPython")[0]
+
+
 def test_unrepeated_rows_keep_their_columns(docs):
     got = suffix_dedup.keep_unrepeated(docs)
     assert got.columns == docs.columns
