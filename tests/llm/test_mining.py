@@ -262,6 +262,27 @@ def test_collocations(spark):
     assert sorted(map(tuple, found.collect())) == want and len(want) > 60
 
 
+def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
+    """Not even where all files are smaller than the size up to which Spark broadcasts: each phrase is exploded by salt."""
+    plans = {}
+
+    def noted(rows, label, *more):
+        plans.setdefault(label, []).append(rows._jdf.queryExecution().executedPlan().toString())
+        return written(rows, label, *more)
+
+    written = collocations.written
+    monkeypatch.setattr(collocations, "written", noted)
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "1g")
+    try:
+        assert collocations.collocations(frame(spark, some_texts()), 4, 30).count() > 0
+    finally:
+        spark.conf.set(setting, was)
+    assert {"steps", "scores"} <= set(plans)
+    assert all("Join" in p and "Broadcast" not in p for p in [*plans["steps"], *plans["scores"]])
+
+
 def test_paths_join_edges_without_branch_or_end(spark):
     line = "a b c d e f g"
     texts = [line] * 6 + ["z " + line + " y"] * 2 + ["p q r s t u v w x"] * 3 + ["s t u v k"] * 3 + ["r s t u"] * 2

@@ -295,6 +295,12 @@ def _flows(lang: str, bodies: list[bytes], min_count: int) -> pa.RecordBatch:
 
 
 # ----------------------------------------------------------------------- graph
+def _sorted(side: DataFrame) -> DataFrame:
+    """A side that grows with the input, to be joined by sorting. Spark sizes it by the compressed files below it, whatever was
+    exploded since, and would send the driver a broadcast many times the size that it allows for one."""
+    return side.hint("merge")
+
+
 def unary_paths(counts: DataFrame) -> DataFrame:
     """(lang, phrase, total): the frequent edges of the graph, those that can only follow each
     other joined to one path. Every phrase of four words in a path occurs ``total`` times.
@@ -310,15 +316,15 @@ def unary_paths(counts: DataFrame) -> DataFrame:
     out_of = edges.select("lang", F.substring_index("phrase", " ", WORDS - 1).alias("node"), "total",
                           F.col("phrase").alias("next"))
     key = ["lang", "node", "total"]
-    links = into.join(nodes, key).join(out_of, key).select("lang", F.col("next").alias("edge"), F.col("edge").alias("at"))
-    steps = edges.select("lang", F.col("phrase").alias("edge"), "total").join(links, ["lang", "edge"], "left").select(
+    links = into.join(_sorted(nodes), key).join(_sorted(out_of), key).select("lang", F.col("next").alias("edge"), F.col("edge").alias("at"))
+    steps = edges.select("lang", F.col("phrase").alias("edge"), "total").join(_sorted(links), ["lang", "edge"], "left").select(
         "lang", "edge", "total", F.coalesce("at", "edge").alias("at"), F.col("at").isNotNull().cast("long").alias("steps"))
     steps, before = written(steps, "steps"), -1
     while (now := steps.agg(F.sum("steps")).first()[0] or 0) != before:
         before = now
         linked = steps.where("steps > 0")
         onward = steps.select("lang", F.col("edge").alias("at"), F.col("at").alias("further"), F.col("steps").alias("more"))
-        linked = linked.join(onward, ["lang", "at"]).select(
+        linked = linked.join(_sorted(onward), ["lang", "at"]).select(
             "lang", "edge", "total", F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps"))
         steps = written(steps.where("steps = 0").unionByName(linked), "steps")
     tail = F.struct("steps", F.substring_index("edge", " ", -1).alias("word"))
@@ -363,7 +369,7 @@ def collocations(docs: DataFrame, min_count: int = 30, most: int = 2000, text: s
     inside = inside.unionByName(triples.select("lang", "total", F.explode(_windows(words, 2)).alias("phrase")))
     longer = inside.groupBy("lang", "phrase").agg(F.max("total").alias("longer"))
     eighty, hundred = (F.lit(n).cast("decimal(3,0)") for n in (80, 100))
-    lone = candidates.join(longer, ["lang", "phrase"], "left").where(
+    lone = candidates.join(_sorted(longer), ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (hundred * F.col("longer").cast("decimal(19,0)") < eighty * F.col("a").cast("decimal(19,0)")))
 
     # A common word is part of many candidates, so parts are looked up by salt.
@@ -374,7 +380,7 @@ def collocations(docs: DataFrame, min_count: int = 30, most: int = 2000, text: s
         "lang", "phrase", "a", "cut.k", F.posexplode("cut.parts").alias("side", "part"))
     cuts = cuts.withColumn("salt", salt_of(F.col("phrase"), SALTS))
     known = salted(counts.where("words BETWEEN 1 AND 3").select("lang", F.col("phrase").alias("part"), "total"), SALTS)
-    scored = cuts.join(known, ["lang", "part", "salt"]).groupBy("lang", "phrase", "a", "k").agg(
+    scored = cuts.join(_sorted(known), ["lang", "part", "salt"]).groupBy("lang", "phrase", "a", "k").agg(
         F.max(F.when(F.col("side") == 0, F.col("total"))).alias("l"),
         F.max(F.when(F.col("side") == 1, F.col("total"))).alias("r"))
     best = scored.withColumn("score", score_of(F.col("a"), F.col("l"), F.col("r"))).groupBy("lang", "phrase", "a").agg(
