@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import order_id, salt_of, salted
+from .common import keyed_texts, salt_of, salted
 
 WHITE = " \t\n\x0b\x0c\r"
 SALTS = 32
@@ -41,9 +41,9 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     rows = rows.select("row", F.coalesce(F.col("row").getField(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"),
                        F.xxhash64(body).alias("text_key"))
 
-    plain = docs.select(order_id(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # The text's key is taken before the text is exploded: else each line would carry the text and hash it anew.
     keys = F.transform(F.split("text", "\n"), line_key)
-    lines = plain.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(keys).alias("position", "key"))
+    lines = keyed_texts(docs, doc_id, text).select("doc", "text_key", F.posexplode(keys).alias("position", "key"))
     lines = (lines.where(F.char_length("key") >= min_chars)
              .select("doc", "text_key", "position", F.unhex(F.md5("key")).alias("line")))
 
